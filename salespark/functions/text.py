@@ -8,14 +8,20 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and their plain forms; both strings are aligned.
-_MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters that decompose to an ASCII letter plus marks, with that letter (aligned strings)."""
+    pairs = [(chr(code), unicodedata.normalize("NFKD", chr(code))) for code in range(0xC0, 0x250)]
+    kept = [(marked, parts[0]) for marked, parts in pairs if len(parts) > 1 and parts[0].isascii()]
+    return "".join(m for m, _ in kept), "".join(p for _, p in kept)
+
+
+_MARKED, _PLAIN = _plain_letters()
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents (composed letters and stray combining marks)."""
-    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{M}", "")
+    return F.regexp_replace(F.lower(F.translate(text, _MARKED, _PLAIN)), r"\p{M}", "")
 
 
 def normalize_name(text: Column) -> Column:

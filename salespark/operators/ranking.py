@@ -10,8 +10,8 @@ RANGES = 256
 _SAMPLES_PER_RANGE = 4
 
 
-def range_of(df: DataFrame, key: Column, ranges: int = RANGES) -> Column:
-    """Number of the sorted range a key falls into (0, 1, …), never decreasing in the key.
+def with_range(df: DataFrame, key: Column, name: str = "_range", ranges: int = RANGES) -> DataFrame:
+    """Add the number of the sorted range a key falls into (0, 1, …), never decreasing in the key.
 
     The split points come from a bounded sample taken by hash order, so they are the same on every
     re-computation; the sample only balances the work and never changes a result.
@@ -21,7 +21,8 @@ def range_of(df: DataFrame, key: Column, ranges: int = RANGES) -> Column:
     points = F.sort_array(F.collect_list("k"))
     splits = F.filter(points, lambda _, i: i % _SAMPLES_PER_RANGE == _SAMPLES_PER_RANGE - 1)
     split_points = sample.agg(splits.alias("splits")).scalar()
-    return F.size(F.filter(split_points, lambda s: s < key))
+    keyed = df.select("*", split_points.alias("_splits"), key.alias("_key"))
+    return keyed.withColumn(name, F.size(F.filter("_splits", lambda s: s < F.col("_key")))).drop("_splits", "_key")
 
 
 def running_total(
@@ -34,9 +35,7 @@ def running_total(
     """
     within = list(within or [])
     weight = F.lit(1) if weight is None else weight
-    keyed = df.withColumns(
-        {"_range": range_of(df, F.struct(*within, *order)), "_weight": weight.cast("bigint")}
-    )
+    keyed = with_range(df, F.struct(*within, *order)).withColumn("_weight", weight.cast("bigint"))
     totals = keyed.groupBy(*within, "_range").agg(F.sum("_weight").alias("_total"))
     before = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*within, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
