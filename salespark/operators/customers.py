@@ -49,45 +49,54 @@ def reference_day(df: DataFrame) -> Column:
     return df.agg(F.date_add(F.to_date(F.max("date")), 1).alias("reference")).scalar()
 
 
-def rfm_table(df: DataFrame, reference: date | Column | None = None) -> DataFrame:
-    """(customer_id, recency, frequency, monetary): whole days since the last order, orders, revenue."""
+def rfm_table(df: DataFrame, reference: date | Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """(customer_id, recency, frequency, monetary): whole days since the last order, orders, revenue.
+
+    With `by`, one table per group, each measured from the day after its own last sale.
+    """
+    by = list(by or [])
     known = df.where(F.col("customer_id").isNotNull())
-    if reference is None:
-        reference = reference_day(known.select("date"))
-    elif not isinstance(reference, Column):
-        reference = F.lit(reference)
-    table = known.groupBy("customer_id").agg(
+    table = known.groupBy(*by, "customer_id").agg(
         F.to_date(F.max("date")).alias("last"),
         order_count(df.columns).alias("frequency"),
         exact_sum("revenue").alias("monetary"),
     )
-    return table.select("customer_id", F.datediff(reference, F.col("last")).alias("recency"), "frequency", "monetary")
+    if by:
+        ends = df.groupBy(*by).agg(F.date_add(F.to_date(F.max("date")), 1).alias("_reference"))
+        table, reference = table.join(ends, by), F.col("_reference")
+    elif reference is None:
+        reference = reference_day(known.select("date"))
+    elif not isinstance(reference, Column):
+        reference = F.lit(reference)
+    recency = F.datediff(reference, F.col("last")).alias("recency")
+    return table.select(*by, "customer_id", recency, "frequency", "monetary")
 
 
-def quintile_limits(customers: DataFrame) -> DataFrame:
-    """One row with the values at ranks n/5, 2n/5, 3n/5, 4n/5 of each metric (recency newest last).
+def quintile_limits(customers: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The values at ranks n/5, 2n/5, 3n/5, 4n/5 of each metric (recency newest last), one row per group.
 
     A score only depends on how many of these order statistics a value exceeds, so nothing is ranked
     in one task and customers are never joined back to their rank.
     """
-    signed = customers.select((-F.col("recency")).alias("recency"), "frequency", "monetary")
-    spread = value_distribution(signed, METRICS)
-    counts = spread.groupBy("metric").agg(F.max("upto").alias("total"))
-    ranked = spread.join(F.broadcast(counts), "metric")  # three rows, one per metric
+    by = list(by or [])
+    signed = customers.select(*by, (-F.col("recency")).alias("recency"), "frequency", "monetary")
+    spread = value_distribution(signed, METRICS, by)
+    counts = spread.groupBy(*by, "metric").agg(F.max("upto").alias("total"))
+    ranked = spread.join(counts, [*by, "metric"])
 
     def limit(step: int) -> Column:
         rank = F.floor(F.col("total") * step / F.lit(5))
         found = F.min(F.when(F.col("upto") >= rank, F.col("value")))
         return F.when(F.max(rank) < 1, F.lit(float("-inf"))).otherwise(found)
 
-    limits = ranked.groupBy("metric").agg(F.array(*[limit(s) for s in (1, 2, 3, 4)]).alias("limits"))
-    return limits.agg(F.map_from_entries(F.collect_list(F.struct("metric", "limits"))).alias("limits"))
+    limits = ranked.groupBy(*by, "metric").agg(F.array(*[limit(s) for s in (1, 2, 3, 4)]).alias("limits"))
+    return limits.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("metric", "limits"))).alias("limits"))
 
 
-def add_scores(customers: DataFrame) -> DataFrame:
+def add_scores(customers: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Add r/f/m_score from 1 to 5; equal values share the score of the start of their tie."""
-    limits = quintile_limits(customers).scalar()
-    scored = customers.select("*", limits.alias("limits"))
+    limits = quintile_limits(customers, by)
+    scored = customers.join(limits, by) if by else customers.select("*", limits.scalar().alias("limits"))
     signed = {"recency": -F.col("recency"), "frequency": F.col("frequency"), "monetary": F.col("monetary")}
 
     def score(metric: str) -> Column:
@@ -115,9 +124,9 @@ def segment_name(r: Column, f: Column) -> Column:
     return name
 
 
-def segment_rows(rfm: DataFrame) -> DataFrame:
+def segment_rows(rfm: DataFrame, by: list[str] | None = None) -> DataFrame:
     """RFM table with scores and segment."""
-    return add_scores(rfm).withColumn("segment", segment_name(F.col("r_score"), F.col("f_score")))
+    return add_scores(rfm, by).withColumn("segment", segment_name(F.col("r_score"), F.col("f_score")))
 
 
 def _position_of(names: list[str], column: str) -> Column:
@@ -145,18 +154,19 @@ def summarize_segments(customers: DataFrame, by: list[str] | None = None) -> Dat
     ).orderBy(*by, "position")
 
 
-def pareto_share(customers: DataFrame, top_fraction: float = 0.2) -> DataFrame:
-    """One row: % of revenue from the best-paying share of customers.
+def pareto_share(customers: DataFrame, top_fraction: float = 0.2, by: list[str] | None = None) -> DataFrame:
+    """% of revenue from the best-paying share of customers, one row per group.
 
     Uses the cumulative counts of distinct amounts; a tie at the border is taken only in part.
     """
-    spread = value_distribution(customers, ["monetary"])
-    sized = spread.join(F.broadcast(spread.groupBy("metric").agg(F.max("upto").alias("total"))), "metric")
+    by = list(by or [])
+    spread = value_distribution(customers, ["monetary"], by)
+    sized = spread.join(spread.groupBy(*by, "metric").agg(F.max("upto").alias("total")), [*by, "metric"])
     top_n = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(top_fraction)))
     better = F.col("total") - F.col("upto")
     taken = F.greatest(F.lit(0), F.least(F.col("n"), top_n - better))
-    best = exact_sum(F.col("value") * taken)
-    return sized.agg((best / F.nullif(exact_sum(F.col("value") * F.col("n")), F.lit(0.0)) * 100).alias("pareto_pct"))
+    best, all_of_it = exact_sum(F.col("value") * taken), exact_sum(F.col("value") * F.col("n"))
+    return sized.groupBy(*by).agg((best / F.nullif(all_of_it, F.lit(0.0)) * 100).alias("pareto_pct"))
 
 
 def customer_kpis(customers: DataFrame, top_fraction: float = 0.2) -> DataFrame:

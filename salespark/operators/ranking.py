@@ -57,9 +57,10 @@ def surrogate_codes(df: DataFrame, column: str, prefix: str, width: int, name: s
     return coded.select(column, F.format_string(f"{prefix}%0{width}d", F.col("pos")).alias(name))
 
 
-def value_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(metric, value, n, upto): distinct values of each column, their counts and cumulative counts."""
+def value_distribution(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by…, metric, value, n, upto): distinct values of each column, their counts and cumulative counts."""
+    by = list(by or [])
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
-    counts = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("metric", "value")
-    counts = counts.agg(F.count(F.lit(1)).alias("n"))
-    return running_total(counts, ["value"], F.col("n"), within=["metric"])
+    rows = df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull())
+    counts = rows.groupBy(*by, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    return running_total(counts, ["value"], F.col("n"), within=[*by, "metric"])
