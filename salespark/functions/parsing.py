@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +11,6 @@ ENGLISH_GROUPING = r",\d{3}\."
 DOT_GROUPING = r"^[^\d.,]*-?\d{1,3}(\.\d{3})+[^\d.,]*$"
 # Spreadsheet serials 20,000–80,000 count days from 1899-12-30.
 SERIAL_EPOCH = "1899-12-30"
-SERIAL_RANGE = (20_000, 80_000)
-
-
 
 
 def style_evidence(text: Column) -> Column:
@@ -33,26 +29,21 @@ def style_evidence(text: Column) -> Column:
 
 
 def number_value(text: Column, brazilian: Column) -> Column:
-    """One written number as a double; null when nothing readable is left."""
+    """One written number as a double; null when nothing readable is left.
+
+    The last separator is the decimal one; without a comma, several dots (or any dot in a Brazilian
+    column) separate thousands. Parentheses mean a negative amount.
+    """
     raw = F.trim(text)
     kept = F.regexp_replace(raw, r"[^\d,.\-]", "")
-    accounting = F.startswith(raw, F.lit("(")) & F.endswith(raw, F.lit(")")) & ~F.startswith(kept, F.lit("-"))
-    kept = F.when(accounting, F.concat(F.lit("-"), kept)).otherwise(kept)
-
-    has_comma, has_dot = F.contains(kept, F.lit(",")), F.contains(kept, F.lit("."))
-    tail = F.reverse(kept)
-    comma_last = F.instr(tail, ",") < F.instr(tail, ".")
-    no_dots = F.replace(kept, F.lit("."), F.lit(""))
-    as_point = F.replace(kept, F.lit(","), F.lit("."))
-    dots = F.length(kept) - F.length(no_dots)
     plain = (
-        F.when(has_comma & has_dot & comma_last, F.replace(no_dots, F.lit(","), F.lit(".")))
-        .when(has_comma & has_dot, F.replace(kept, F.lit(","), F.lit("")))
-        .when(has_comma, as_point)
-        .when((dots > 1) | (brazilian & has_dot), no_dots)
+        F.when(raw.rlike(r",[^.,]*$"), F.translate(kept, ",.", "."))
+        .when(F.contains(raw, F.lit(",")), F.translate(kept, ",", ""))
+        .when(brazilian | raw.rlike(r"\..*\."), F.translate(kept, ".", ""))
         .otherwise(kept)
     )
-    return plain.try_cast("double")
+    accounting = raw.rlike(r"^\([^-]*\)$")
+    return F.concat(F.when(accounting, "-").otherwise(""), plain).try_cast("double")
 
 
 def parse_numbers(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -63,41 +54,43 @@ def parse_numbers(df: DataFrame, source: str, target: str) -> DataFrame:
     return df.withColumn(target, number_value(F.col(source), style))
 
 
-def _year_month_day(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d")
+_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:\D.*)?$"
+_DAY_FIRST = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})(?:\D.*)?$"
+_SHORT_YEAR_2000 = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ]([0-6]\d|7[0-5])(?:\D.*)?$"
+_SHORT_YEAR_1900 = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{2})(?:\D.*)?$"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_SERIAL = r"^[2-7]\d{4}(\.\d+)?$|^80000$"
+_NAMED_DAY = r"^(\d{1,2}) +([A-Za-z]{3})[a-z]*\.?,? +(\d{4})$"
+_NAMED_MONTH = r"^([A-Za-z]{3})[a-z]*\.? +(\d{1,2}),? +(\d{4})$"
 
 
 def date_value(text: Column) -> Column:
-    """One written day: year first, spreadsheet serial, day first, or with an English month name."""
-    text = F.trim(text)
+    """One written day: year first, spreadsheet serial, day first, or with an English month name.
 
-    year_first = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:\D|$)"
-    is_year_first = text.rlike(year_first)
-    by_year = _year_month_day(*[F.regexp_extract(text, year_first, i) for i in (1, 2, 3)])
-
-    serial = F.when(text.rlike(r"^\d{5}(\.\d+)?$"), text.try_cast("double"))
-    is_serial = F.coalesce(serial.between(*SERIAL_RANGE), F.lit(False))
-    by_serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(serial).cast("int"))
-
-    # day first; a month above 12 means the two were written the other way round
-    day_first = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4}|\d{2})(?:\D|$)"
-    first, second, year = [F.regexp_extract(text, day_first, i) for i in (1, 2, 3)]
-    century = F.when(F.length(year) == 4, "").when(year <= "75", "20").otherwise("19")
-    year = F.concat(century, year)
-    by_day = F.coalesce(_year_month_day(year, second, first), _year_month_day(year, first, second))
-
-    compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
-    words = F.initcap(F.regexp_replace(F.lower(text), r"[,.]", ""))
-    named = F.coalesce(
-        *[
-            F.when(text.rlike("[A-Za-z]{3}"), F.try_to_date(words, pattern))
-            for pattern in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")
+    Every numeric style is rewritten to year-month-day and cast once. In a day-first style a month
+    above 12 means the two numbers were written the other way round.
+    """
+    text = F.trim(text)
+    numeric = F.lit(None).cast("string")
+    for pattern, order in reversed(
+        [
+            (_YEAR_FIRST, "$1-$2-$3"),
+            (_DAY_FIRST, "$3-$2-$1"),
+            (_SHORT_YEAR_2000, "20$3-$2-$1"),
+            (_SHORT_YEAR_1900, "19$3-$2-$1"),
+            (_COMPACT, "$1-$2-$3"),
         ]
+    ):
+        numeric = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, order)).otherwise(numeric)
+    swapped = F.when(~text.rlike(r"^\d{4}"), F.regexp_replace(numeric, r"^(\d+)-(\d+)-(\d+)$", "$1-$3-$2"))
+    named = F.when(text.rlike(_NAMED_DAY), F.regexp_replace(text, _NAMED_DAY, "$1 $2 $3")).when(
+        text.rlike(_NAMED_MONTH), F.regexp_replace(text, _NAMED_MONTH, "$2 $1 $3")
     )
-    return (
-        F.when(is_year_first, by_year)
-        .when(is_serial, by_serial)
-        .otherwise(F.coalesce(F.when(text.rlike(day_first), by_day), compact, named))
+    serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(text.try_cast("double")).cast("int"))
+    return F.when(text.rlike(_SERIAL), serial).otherwise(
+        F.coalesce(
+            numeric.try_cast("date"), swapped.try_cast("date"), F.try_to_date(F.initcap(named), "d MMM yyyy")
+        )
     )
 
 

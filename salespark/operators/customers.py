@@ -80,9 +80,7 @@ def quintile_limits(customers: DataFrame, by: list[str] | None = None) -> DataFr
     """
     by = list(by or [])
     signed = customers.select(*by, (-F.col("recency")).alias("recency"), "frequency", "monetary")
-    spread = value_distribution(signed, METRICS, by)
-    counts = spread.groupBy(*by, "metric").agg(F.max("upto").alias("total"))
-    ranked = spread.join(counts, [*by, "metric"])
+    ranked = value_distribution(signed, METRICS, by)
 
     def limit(step: int) -> Column:
         rank = F.floor(F.col("total") * step / F.lit(5))
@@ -160,8 +158,7 @@ def pareto_share(customers: DataFrame, top_fraction: float = 0.2, by: list[str]
     Uses the cumulative counts of distinct amounts; a tie at the border is taken only in part.
     """
     by = list(by or [])
-    spread = value_distribution(customers, ["monetary"], by)
-    sized = spread.join(spread.groupBy(*by, "metric").agg(F.max("upto").alias("total")), [*by, "metric"])
+    sized = value_distribution(customers, ["monetary"], by)
     top_n = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(top_fraction)))
     better = F.col("total") - F.col("upto")
     taken = F.greatest(F.lit(0), F.least(F.col("n"), top_n - better))

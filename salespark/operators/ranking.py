@@ -26,23 +26,36 @@ def with_range(df: DataFrame, key: Column, name: str = "_range", ranges: int = R
 
 
 def running_total(
-    df: DataFrame, order: list[str], weight: Column | None = None, within: list[str] | None = None, name: str = "upto"
+    df: DataFrame,
+    order: list[str],
+    weight: Column | None = None,
+    within: list[str] | None = None,
+    name: str = "upto",
+    total: str | None = None,
 ) -> DataFrame:
     """Add the inclusive running total of `weight` (default: rows) in the given order, per `within` group.
 
     Rows are split into sorted ranges; each range is totalled on its own and shifted by the totals of
     the ranges before it (at most RANGES rows per group), so a group holding most rows is spread out.
+    `total` names an extra column with the group's whole weight.
     """
     within = list(within or [])
     weight = F.lit(1) if weight is None else weight
     keyed = with_range(df, F.struct(*within, *order)).withColumn("_weight", weight.cast("bigint"))
-    totals = keyed.groupBy(*within, "_range").agg(F.sum("_weight").alias("_total"))
-    before = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*within, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    sums = keyed.groupBy(*within, "_range").agg(F.sum("_weight").alias("_sum"))
+    group = Window.partitionBy(*(within or [F.lit(0)]))
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select(
+        *within,
+        "_range",
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+        F.sum("_sum").over(group).alias("_all"),
+    )
     inside = Window.partitionBy(*within, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.withColumn("_local", F.sum("_weight").over(inside))
-    joined = local.join(totals, [*within, "_range"])
-    return joined.select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
+    joined = local.join(shifts, [*within, "_range"])
+    extra = [F.col("_all").alias(total)] if total else []
+    return joined.select(*df.columns, (F.col("_local") + F.col("_before")).alias(name), *extra)
 
 
 def row_positions(df: DataFrame, order: list[str], within: list[str] | None = None, name: str = "pos") -> DataFrame:
@@ -58,9 +71,9 @@ def surrogate_codes(df: DataFrame, column: str, prefix: str, width: int, name: s
 
 
 def value_distribution(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by…, metric, value, n, upto): distinct values of each column, their counts and cumulative counts."""
+    """(by…, metric, value, n, upto, total): distinct values per column, their counts, cumulative and total counts."""
     by = list(by or [])
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
     rows = df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull())
     counts = rows.groupBy(*by, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    return running_total(counts, ["value"], F.col("n"), within=[*by, "metric"])
+    return running_total(counts, ["value"], F.col("n"), within=[*by, "metric"], total="total")

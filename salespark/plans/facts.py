@@ -9,6 +9,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salespark.functions import formatting as fmt
 from salespark.operators import anomalies, customers, forecasting, kpis, periods, series, trends, variance
@@ -63,62 +64,83 @@ def _segment_rows(base: DataFrame) -> DataFrame:
     return sizes.join(customers.pareto_share(enough, by=["series"]), "series").join(listed, "series")
 
 
+# columns of every part, null in groups (or requests) without it
+PART_COLUMNS = {
+    "breakdown": "by_category ARRAY<STRUCT<name: STRING, revenue: DOUBLE>>, by_region ARRAY<STRUCT<name: STRING, revenue: DOUBLE>>",
+    "trend": "slope_pct DOUBLE, r2 DOUBLE, p_value DOUBLE, significant BOOLEAN, direction STRING",
+    "declining": "declining ARRAY<STRUCT<category: STRING, change_pct: DOUBLE>>",
+    "bridge": "bridge STRUCT<total_change: DOUBLE, volume_effect: DOUBLE, price_effect: DOUBLE, mix_effect: DOUBLE>",
+    "anomalies": "anomalies ARRAY<STRUCT<order: DOUBLE, ds: DATE, kind: STRING, value: DOUBLE, expected: DOUBLE, deviation_pct: DOUBLE>>",
+    "forecast": "forecast STRUCT<last_day: DATE, horizon: BIGINT, total: DOUBLE, total_error: DOUBLE, best_model: STRING>",
+    "customers": "n_customers BIGINT, pareto_pct DOUBLE, segments ARRAY<STRUCT<position: INT, segment: STRING, "
+    "customers: BIGINT, revenue: DOUBLE, revenue_pct: DOUBLE>>",
+}
+PARTS = ("kpis", *PART_COLUMNS)
+
+
+def _trend_rows(current: DataFrame) -> DataFrame:
+    sold_days = series.days_with_sales(current, ["series"])
+    test = trends.mann_kendall(sold_days).select("series", "p_value", "significant", "direction")
+    return trends.fit_trend(sold_days).join(test, "series")
+
+
+def _declining_rows(current: DataFrame) -> DataFrame:
+    rows = trends.declining_categories(current, by=["series"])
+    return rows.groupBy("series").agg(
+        F.array_sort(F.collect_list(F.struct("category", "change_pct"))).alias("declining")
+    )
+
+
+def _bridge_rows(tagged: DataFrame) -> DataFrame:
+    totals = variance.bridge_totals(variance.bridge_by_segment(tagged, "category", ["series"]), ["series"])
+    effects = F.struct("total_change", "volume_effect", "price_effect", "mix_effect")
+    return totals.select("series", effects.alias("bridge"))
+
+
+def _forecast_rows(base: DataFrame, end: Column | None) -> DataFrame:
+    daily = series.daily_series(base, "revenue", ["series"], end)
+    totals = forecasting.forecast(daily, FORECAST_HORIZON).totals()
+    last_days = daily.groupBy("series").agg(F.max("ds").alias("last_day"))
+    cited = F.struct("last_day", "horizon", "total", "total_error", "best_model")
+    return totals.join(last_days, "series").select("series", cited.alias("forecast"))
+
+
 def build_facts(
     history: DataFrame,
     filters: SalesFilters,
     by: list[str] | None = None,
-    has_customers: bool = True,
+    parts: tuple[str, ...] = PARTS,
     data_end: date | Column | None = None,
     dates: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per group. `history` is the whole base; anomalies, forecast and segments use all of it
-    (with the segment filters), the rest the selected period. Parts without enough data stay null."""
+    """One row per group. `history` is the whole base; anomalies, forecast and customers use all of it
+    (with the segment filters), the rest the selected period. Parts without enough data stay null.
+
+    A base without customer codes is asked without the `customers` part. Every part ends in one row
+    per group, so the final joins are small whatever the base's size.
+    """
     base = periods.apply_segments(history, filters).withColumn("series", series.series_key(by or []))
     tagged = periods.tag_periods(base, filters, dates if dates is not None else history)
     current = tagged.where(F.col("period") == CURRENT_TAG)
     end = F.lit(data_end) if isinstance(data_end, date) else data_end
-
-    sold_days = series.days_with_sales(current, ["series"])
-    test = trends.mann_kendall(sold_days).select("series", "p_value", "significant", "direction")
-    declining = trends.declining_categories(current, by=["series"])
-    decline_item = F.struct("category", "change_pct")
-    declining = declining.groupBy("series").agg(F.array_sort(F.collect_list(decline_item)).alias("declining"))
-    bridge = variance.bridge_totals(variance.bridge_by_segment(tagged, "category", ["series"]), ["series"])
-    bridge = bridge.select(
-        "series", F.struct("total_change", "volume_effect", "price_effect", "mix_effect").alias("bridge")
-    )
-    daily = series.daily_series(base, "revenue", ["series"], end)
-    predicted = forecasting.forecast(daily, FORECAST_HORIZON).totals()
-    last_days = daily.groupBy("series").agg(F.max("ds").alias("last_day"))
-    predicted = predicted.join(last_days, "series").select(
-        "series", F.struct("last_day", "horizon", "total", "total_error", "best_model").alias("forecast")
-    )
-
+    makers = {
+        "breakdown": lambda: _ranked(current, "category", "by_category").join(
+            _ranked(current, "region", "by_region"), "series"
+        ),
+        "trend": lambda: _trend_rows(current),
+        "declining": lambda: _declining_rows(current),
+        "bridge": lambda: _bridge_rows(tagged),
+        "anomalies": lambda: _anomaly_rows(base, current, end),
+        "forecast": lambda: _forecast_rows(base, end),
+        "customers": lambda: _segment_rows(base),
+    }
     facts = base.select("series").distinct().join(_kpi_rows(tagged), "series", "left")
-    parts = [
-        _ranked(current, "category", "by_category"),
-        _ranked(current, "region", "by_region"),
-        trends.fit_trend(sold_days),
-        test,
-        declining,
-        bridge,
-        _anomaly_rows(base, current, end),
-        predicted,
-    ]
-    if has_customers:
-        parts.append(_segment_rows(base))
-    for part in parts:
-        facts = facts.join(part, "series", "left")
-    if not has_customers:
-        facts = facts.withColumns(
-            {
-                "n_customers": F.lit(None).cast("bigint"),
-                "pareto_pct": F.lit(None).cast("double"),
-                "segments": F.lit(None).cast(
-                    "array<struct<position: int, segment: string, customers: bigint, revenue: double, revenue_pct: double>>"
-                ),
-            }
-        )
+    for name, columns in PART_COLUMNS.items():
+        if name in parts:
+            facts = facts.join(makers[name](), "series", "left")
+        else:
+            absent = T.StructType.fromDDL(columns)
+            facts = facts.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
     return facts.withColumns(
         {
             "period_label": F.lit(filters.period_label),

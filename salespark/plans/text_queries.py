@@ -9,6 +9,7 @@ from salespark.functions import parsing, text
 from salespark.functions.numeric import exact_sum
 from salespark.operators import evaluation, importing, schema, textnum
 from salespark.plans.catalog import query, rounded, with_sales
+from salespark.session import stage
 from salespark.sources.star import sales, table
 
 
@@ -66,6 +67,11 @@ def parsed_dates(spark, sf):
 
 
 def typed_sales(spark, sf):
+    """The typed table below, written as the file an import starts from."""
+    return stage(_typed_rows(spark, sf), "typed")
+
+
+def _typed_rows(spark, sf):
     """Order lines as people type them: mixed date styles, Brazilian money, gaps and returns."""
     day, price = F.to_date("o_orderdate"), F.col("l_extendedprice")
     form = F.pmod("l_orderkey", F.lit(4))

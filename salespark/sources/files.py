@@ -57,7 +57,7 @@ def read_raw(spark: SparkSession, folder: str, file_name: str = "*_{table}_datas
 
 def detect_csv_format(spark: SparkSession, path: str) -> tuple[str, str]:
     """(separator, encoding): the separator from the header line, UTF-8 unless any line fails to decode."""
-    broken = spark.read.text(path).where(F.contains(F.col("value"), F.lit("�"))).limit(1).count()
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     encoding = "ISO-8859-1" if broken else "UTF-8"
     header = spark.read.option("encoding", encoding).csv(path, sep="\x01").limit(1).first()
     if header is None:
