@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ DOT_GROUPING = r"^[^\d.,]*-?\d{1,3}(\.\d{3})+[^\d.,]*$"
 SERIAL_EPOCH = "1899-12-30"
 
 
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """Apply a rule to a value that it uses many times, evaluating the value once.
+
+    It also keeps a large rule out of the surrounding generated method: several of them in one
+    projection would make that method too big for the JVM to compile.
+    """
+    return F.get(F.transform(F.array(value), rule), 0)
+
+
 def style_evidence(text: Column) -> Column:
     """Aggregate: does this column write a lone dot as a thousands separator?
 

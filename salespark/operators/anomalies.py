@@ -6,6 +6,8 @@ A day stands out when its residual on the log scale is extreme by the robust sco
 
 from __future__ import annotations
 
+from datetime import date
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -198,15 +200,20 @@ def top_in_period(found: DataFrame, start, end, limit: int) -> DataFrame:
     return found.where(F.col("ds").between(F.lit(start), F.lit(end))).orderBy(*by_severity()).limit(limit)
 
 
-def label_events(days: DataFrame, windows: DataFrame) -> DataFrame:
-    """Add `event`: the last matching window of (name, start, end, position), else "outros".
+def label_events(days: DataFrame, windows: list[tuple[str, date, date]]) -> DataFrame:
+    """Add `event`: the last matching window of (name, start, end), or "outros".
 
-    The windows are a short list written by a person; each day joins those that contain it.
+    The windows are a short list written by a person, so each day looks them up in a constant array:
+    the interval match needs no join.
     """
-    inside = (F.col("ds") >= F.col("start")) & (F.col("ds") <= F.col("end"))
-    names = days.select("ds").distinct().join(windows, inside).groupBy("ds")
-    names = names.agg(F.max_by("name", "position").alias("event"))
-    return days.join(names, "ds", "left").fillna({"event": OTHER_EVENT})
+    known = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"))
+            for name, start, end in windows
+        ]
+    )
+    matching = F.filter(known, lambda w: F.col("ds").between(w["start"], w["end"]))
+    return days.withColumn("event", F.coalesce(F.try_element_at(matching, F.lit(-1))["name"], F.lit(OTHER_EVENT)))
 
 
 def event_counts(labelled: DataFrame) -> DataFrame:

@@ -16,10 +16,8 @@ EXPECTED_NUMBERS = "ARRAY<STRUCT<label: STRING, value: DOUBLE, percent: BOOLEAN,
 
 
 def passages(answer: Column, near: Column) -> Column:
-    """The lines or sentences that mention `near`; the whole answer without it."""
-    parts = F.split(answer, r"\n|;|\.\s")
-    mentions = F.filter(parts, lambda p: F.contains(fold(p), fold(near)))
-    return F.when(near.isNull(), F.array(answer)).otherwise(mentions)
+    """The lines or sentences that mention `near`."""
+    return F.filter(F.split(answer, r"\n|;|\.\s"), lambda p: F.contains(fold(p), fold(near)))
 
 
 def _number_label(n: Column) -> Column:
@@ -34,15 +32,14 @@ def rescore(df: DataFrame) -> DataFrame:
     forbidden; adds missing_numbers, missing_texts, forbidden_found, unexpected_numbers and
     expects_numbers. `hallucinated` is kept as stored.
     """
-    answer = F.col("answer")
+    answer, cited = F.col("answer"), F.col("_cited")
+
+    def among(numbers: Column, n: Column) -> Column:
+        return F.exists(numbers, lambda c: (c["is_percent"] == n["percent"]) & matches(c, n["value"]))
 
     def found(n: Column) -> Column:
-        return F.exists(
-            passages(answer, n["near"]),
-            lambda part: F.exists(
-                extract_numbers(part), lambda c: (c["is_percent"] == n["percent"]) & matches(c, n["value"])
-            ),
-        )
+        nearby = F.exists(passages(answer, n["near"]), lambda part: among(extract_numbers(part), n))
+        return F.when(n["near"].isNull(), among(cited, n)).otherwise(nearby)
 
     missing_numbers = F.transform(F.filter("numbers", lambda n: ~found(n)), _number_label)
     missing_texts = F.transform(
@@ -50,21 +47,21 @@ def rescore(df: DataFrame) -> DataFrame:
         lambda group: F.array_join(group, " ou "),
     )
     forbidden = F.filter("forbidden", lambda t: F.contains(F.lower(answer), F.lower(t)))
-    cited = F.transform(extract_numbers(answer), lambda c: c["text"])
+    nothing = F.array().cast("array<string>")
     return (
-        df.withColumn("_folded", fold(answer))
+        df.withColumns({"_folded": fold(answer), "_cited": extract_numbers(answer)})
         .withColumns(
             {
                 "missing_numbers": missing_numbers,
                 "missing_texts": missing_texts,
                 "forbidden_found": forbidden,
-                "unexpected_numbers": F.when(F.col("kind") == ROBUSTNESS, cited).otherwise(
-                    F.array().cast("array<string>")
-                ),
+                "unexpected_numbers": F.when(
+                    F.col("kind") == ROBUSTNESS, F.transform(cited, lambda c: c["text"])
+                ).otherwise(nothing),
                 "expects_numbers": F.size("numbers") > 0,
             }
         )
-        .drop("_folded")
+        .drop("_folded", "_cited")
     )
 
 

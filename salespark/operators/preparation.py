@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from salespark.functions.numeric import exact_sum
 from salespark.operators.ranking import surrogate_codes
 from salespark.operators.series import fill_gaps
+from salespark.session import stage
 
 # Valid window, excluded statuses and defaults for unmapped categories.
 WINDOW = (datetime(2017, 1, 1), datetime(2018, 8, 21, 23, 59, 59))
@@ -175,6 +176,7 @@ def prepare_orders(
         .join(items_per_order(raw["order_items"]), "order_id")
         .join(review_per_order(raw["order_reviews"]), "order_id", "left")
     )
+    joined = stage(joined, "orders")  # read twice: for the codes and for the table itself
     codes = surrogate_codes(joined, "customer_unique_id", "C", 5, "customer")
     coded = joined.join(codes, "customer_unique_id", "left")
     return coded.select(
@@ -233,7 +235,10 @@ def prepare_sales(
     orders: DataFrame,
     groups: Mapping[str, Mapping[str, str]] = CATEGORY_GROUPS,
 ) -> DataFrame:
-    """The flat sales table: one row per valid order and category group."""
+    """The flat sales table: one row per valid order and category group.
+
+    `orders` is read three times, so pass the written table (`save_prepared`, or `session.stage`).
+    """
     info = orders.select("order_id", "purchased_at", "region", "customer")
     kept = raw["order_items"].join(info.select("order_id"), "order_id", "left_semi")
     lines = order_lines(categorized_items(kept, raw["products"], groups)).join(info, "order_id", "left")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # Sorted ranges used for global ordering; a range holds about 1/RANGES of the rows.
 RANGES = 256
 _SAMPLES_PER_RANGE = 4
+_BLOCK = 16
+
+
+def _count_below(points: Column) -> Column:
+    return F.size(F.filter(points, lambda s: s < F.col("_key")))
 
 
 def with_range(df: DataFrame, key: Column, name: str = "_range", ranges: int = RANGES) -> DataFrame:
@@ -22,7 +27,11 @@ def with_range(df: DataFrame, key: Column, name: str = "_range", ranges: int = R
     splits = F.filter(points, lambda _, i: i % _SAMPLES_PER_RANGE == _SAMPLES_PER_RANGE - 1)
     split_points = sample.agg(splits.alias("splits")).scalar()
     keyed = df.select("*", split_points.alias("_splits"), key.alias("_key"))
-    return keyed.withColumn(name, F.size(F.filter("_splits", lambda s: s < F.col("_key")))).drop("_splits", "_key")
+    # two short scans instead of one long one: first which block of split points, then which point in it
+    block_ends = F.filter("_splits", lambda _, i: i % _BLOCK == _BLOCK - 1)
+    keyed = keyed.withColumn("_passed", _BLOCK * _count_below(block_ends))
+    inside = F.slice("_splits", F.col("_passed") + 1, F.lit(_BLOCK))
+    return keyed.withColumn(name, F.col("_passed") + _count_below(inside)).drop("_splits", "_key", "_passed")
 
 
 def running_total(

@@ -21,21 +21,27 @@ YEARS = (1990, 2100)
 SLACK = 1e-9
 
 
-def _parsed(piece: Column) -> Column:
-    """Fields of one matched piece of text."""
-    currency, raw, scale_word, pct = (F.regexp_extract(piece, NUMBER_PATTERN, i) for i in (1, 2, 3, 4))
-    raw = F.replace(raw, F.lit("−"), F.lit("-"))
-    digits = F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+_MARK = "\u0001"
+
+
+def _taken_apart(piece: Column) -> Column:
+    """One matched piece with its currency, number, scale and % (the pattern's four adjoining groups)."""
+    marked = F.regexp_replace(piece, NUMBER_PATTERN, f"$1{_MARK}$2{_MARK}$3{_MARK}$4")
+    return F.struct(piece.alias("piece"), F.split(marked, _MARK).alias("groups"))
+
+
+def _parsed(found: Column) -> Column:
+    """Typed fields of one matched piece."""
+    currency, raw, scale_word, pct = (F.get(found["groups"], i) for i in range(4))
     comma = F.instr(raw, ",")
-    word = F.lower(F.trim(scale_word))
     return F.struct(
-        F.trim(piece).alias("text"),
-        digits.try_cast("double").alias("number"),
+        F.trim(found["piece"]).alias("text"),
+        F.translate(raw, ",−.", ".-").try_cast("double").alias("number"),
         raw.alias("raw"),
         F.when(comma > 0, F.length(raw) - comma).otherwise(0).alias("decimals"),
         (F.length(currency) > 0).alias("has_currency"),
         F.substring(currency, 1, 1).isin("-", "−").alias("negative_currency"),
-        word.alias("scale_word"),
+        F.lower(F.trim(scale_word)).alias("scale_word"),
         (F.length(pct) > 0).alias("is_percent"),
     )
 
@@ -54,7 +60,7 @@ def _cited(p: Column) -> Column:
     value = base * scale
     half_step = 0.5 * F.pow(F.lit(10.0), -p["decimals"]) * scale
     capped = F.least(half_step, F.abs(value) * MAX_SCALED_ROUNDING)
-    signed = p["negative_currency"] | F.substring(p["raw"], 1, 1).isin("+", "-")
+    signed = p["negative_currency"] | F.substring(p["raw"], 1, 1).isin("+", "-", "−")
     return F.struct(
         p["text"].alias("text"),
         value.alias("value"),
@@ -79,7 +85,8 @@ def extract_numbers(text: Column) -> Column:
     """
     without_dates = F.regexp_replace(text, DATE_PATTERN, " ")
     pieces = F.regexp_extract_all(without_dates, F.lit(NUMBER_PATTERN), F.lit(0))
-    return F.transform(F.filter(F.transform(pieces, _parsed), _is_metric), _cited)
+    parsed = F.transform(F.transform(pieces, _taken_apart), _parsed)
+    return F.transform(F.filter(parsed, _is_metric), _cited)
 
 
 def matches(cited: Column, reference: Column) -> Column:

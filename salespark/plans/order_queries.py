@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from salespark.operators import delivery, preparation
 from salespark.operators.ranking import surrogate_codes as codes_of
 from salespark.plans.catalog import query, rounded
+from salespark.session import stage
 from salespark.sources.raw_star import EXCLUDED, GROUPS, STATE_REGION, WINDOW, raw_tables, shipments
 
 _NATION = "CAST(replace(n_name, 'NATION_', '') AS INTEGER)"
@@ -41,7 +42,7 @@ sales AS (SELECT code AS order_id, purchased_at AS date, category, region, produ
 
 def _orders(spark, sf):
     raw = raw_tables(spark, sf)
-    return raw, preparation.prepare_orders(raw, WINDOW, EXCLUDED, STATE_REGION)
+    return raw, stage(preparation.prepare_orders(raw, WINDOW, EXCLUDED, STATE_REGION), "prepared")
 
 
 @query(RAW_CTE + "SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders FROM valid GROUP BY ALL")
@@ -64,7 +65,8 @@ def review_per_order(spark, sf):
 
 @query(RAW_CTE + "SELECT * FROM prepared")
 def prepared_orders(spark, sf):
-    return rounded(_orders(spark, sf)[1], 4, value=2, freight=2)
+    raw = raw_tables(spark, sf)
+    return rounded(preparation.prepare_orders(raw, WINDOW, EXCLUDED, STATE_REGION), 4, value=2, freight=2)
 
 
 @query("SELECT p_name, printf('N%04d', row_number() OVER (ORDER BY p_name)) AS code FROM (SELECT DISTINCT p_name FROM part)")

@@ -302,6 +302,6 @@ def text_table_file(spark, sf):
 def saved_orders(spark, sf):
     """The orders table without its linking code, written and loaded."""
     raw = raw_tables(spark, sf)
-    orders = preparation.prepare_orders(raw, WINDOW, EXCLUDED, STATE_REGION)
+    orders = stage(preparation.prepare_orders(raw, WINDOW, EXCLUDED, STATE_REGION), "prepared")
     _, path = files.save_prepared(preparation.prepare_sales(raw, orders, GROUPS), orders, _folder(spark, "orders"), False)
     return files.load_orders(spark, path).agg(F.count(F.lit(1)).alias("lines"))

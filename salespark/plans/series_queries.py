@@ -103,10 +103,7 @@ labelled AS (SELECT 'total' AS series, ds, y, coalesce(event, 'outros') AS event
 def _labelled(spark, sf):
     daily = revenue(spark, sf)
     mean = daily.agg(F.avg("y").alias("m")).scalar()
-    windows = spark.createDataFrame([(n, a, b, i) for i, (n, a, b) in enumerate(EVENTS)],
-                                    "name STRING, start STRING, end STRING, position INT")
-    windows = windows.select("name", F.to_date("start").alias("start"), F.to_date("end").alias("end"), "position")
-    return anomalies.label_events(daily.where(F.col("y") > mean), windows)
+    return anomalies.label_events(daily.where(F.col("y") > mean), EVENTS)
 
 
 @query(with_sales(EVENT_CTE + " SELECT * FROM labelled", DAILY_CTE))

@@ -10,7 +10,7 @@ from salespark.functions.numeric import exact_sum
 from salespark.operators import evaluation, importing, schema, textnum
 from salespark.plans.catalog import query, rounded, with_sales
 from salespark.session import stage
-from salespark.sources.star import sales, table
+from salespark.sources.star import sales, spread, table
 
 
 # ---------------------------------------------------------------- import
@@ -30,7 +30,7 @@ def folded_documents(spark, sf):
 CASE WHEN o_orderkey % 2 = 0 THEN -o_totalprice ELSE o_totalprice END AS accounting FROM orders""")
 def parsed_numbers(spark, sf):
     total = F.col("o_totalprice")
-    written = table(spark, sf, "orders").select(
+    written = spread(table(spark, sf, "orders")).select(
         "o_orderkey",
         fmt.format_brl(total).alias("brl_text"),
         F.format_number(total, 2).alias("english_text"),
@@ -40,6 +40,7 @@ def parsed_numbers(spark, sf):
         .otherwise(fmt.format_number(total, 2))
         .alias("accounting_text"),
     )
+    written = stage(written, "numbers")
     names = ["brl", "english", "plain", "grouped", "accounting"]
     styles = importing.number_styles(written, {n: f"{n}_text" for n in names})
     judged = written.select("*", styles.alias("styles"))
@@ -85,7 +86,7 @@ def _typed_rows(spark, sf):
     returned = (F.col("l_linenumber") == 7) & (F.col("l_quantity") < 5)
     list_cost = (price.cast("decimal(12,2)") * F.lit("0.65").cast("decimal(4,2)")).cast("decimal(18,2)")
     cost = F.replace(list_cost.cast("string"), F.lit("."), F.lit(","))
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = spread(table(spark, sf, "lineitem")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(
         typed_day.alias("Data da Venda"),
         fmt.format_brl(F.when(returned, -price).otherwise(price)).alias("Valor Total"),
@@ -249,7 +250,7 @@ def answered_orders(spark, sf):
         F.when(key % 31 == 0, " chave AIzaSy").otherwise(""),
     )
     refusal = "Não tenho essa informação nos dados disponíveis."
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", total.alias("total"), pct.alias("pct"),
         cited_pct.cast("double").alias("cited_pct"), (thousands * 1000).alias("cited_thousands"),
         F.when(robust & (key % 2 == 0), refusal).otherwise(said).alias("answer"),
@@ -282,7 +283,7 @@ def cited_numbers(spark, sf):
 
 @query()
 def document_numbers(spark, sf):
-    return textnum.cited_rows(table(spark, sf, "documents"), "text", "doc_id")
+    return textnum.cited_rows(spread(table(spark, sf, "documents")), "text", "doc_id")
 
 
 # ---------------------------------------------------------------- answer scoring

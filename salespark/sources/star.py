@@ -34,6 +34,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan with fewer splits than cores, before costly work on every row.
+
+    A large table has more splits than cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def sales(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
     """Sales rows with only the asked columns, joining only the tables those columns need.
 

@@ -92,11 +92,8 @@ def test_planted_days_are_found(daily):
     assert (row.hits, row.planted) == (3, 3) and row.false_alarm_pct < 1
 
 
-def test_event_labels(spark, daily):
-    windows = spark.createDataFrame(
-        [("a", dt.date(2024, 1, 1), dt.date(2024, 1, 5), 0), ("b", dt.date(2024, 1, 4), dt.date(2024, 1, 6), 1)],
-        "name STRING, start DATE, end DATE, position INT",
-    )
+def test_event_labels(daily):
+    windows = [("a", dt.date(2024, 1, 1), dt.date(2024, 1, 5)), ("b", dt.date(2024, 1, 4), dt.date(2024, 1, 6))]
     labels = [r.event for r in anomalies.label_events(daily(range(7)), windows).orderBy("ds").collect()]
     assert labels == ["a", "a", "a", "b", "b", "b", "outros"]
 
