@@ -41,7 +41,7 @@ def _parsed(found: Column) -> Column:
         F.when(comma > 0, F.length(raw) - comma).otherwise(0).alias("decimals"),
         (F.length(currency) > 0).alias("has_currency"),
         F.substring(currency, 1, 1).isin("-", "−").alias("negative_currency"),
-        F.lower(F.trim(scale_word)).alias("scale_word"),
+        F.lower(F.regexp_replace(scale_word, r"(?U)\s", "")).alias("scale_word"),
         (F.length(pct) > 0).alias("is_percent"),
     )
 

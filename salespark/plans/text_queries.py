@@ -377,19 +377,21 @@ def report_scoreboard(spark, sf):
     return rounded(evaluation.report_scoreboard(reports))
 
 
-@query("""SELECT 'q' || o_orderkey AS id FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 41 <> 0)""")
+def stored_answers(spark, sf):
+    """Finished orders as answered cases; the urgent ones ended in an error."""
+    finished = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
+    error = F.when(F.col("o_orderpriority") == "1-URGENT", "erro").alias("error")
+    return finished.select(F.concat(F.lit("q"), F.col("o_orderkey")).alias("id"), error)
+
+
+@query("""SELECT 'q' || o_orderkey AS id FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT')""")
 def open_cases(spark, sf):
-    keys = table(spark, sf, "orders").select("o_orderkey")
-    cases = keys.select(F.concat(F.lit("q"), F.col("o_orderkey")).alias("id"))
-    stored = keys.where(F.col("o_orderkey") % 3 == 0).select(
-        F.concat(F.lit("q"), F.col("o_orderkey")).alias("id"), F.when(F.col("o_orderkey") % 41 == 0, "erro").alias("error")
-    )
-    return evaluation.open_cases(cases, stored)
+    cases = table(spark, sf, "orders").select(F.concat(F.lit("q"), F.col("o_orderkey")).alias("id"))
+    return evaluation.open_cases(cases, stored_answers(spark, sf))
 
 
-@query("""SELECT 'q' || o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 AND (o_orderkey % 2 = 1 OR o_orderkey % 41 <> 0)""")
+@query("""SELECT 'q' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice < 250000 OR o_orderpriority <> '1-URGENT')""")
 def kept_results(spark, sf):
-    keys = table(spark, sf, "orders").select("o_orderkey")
-    code = F.concat(F.lit("q"), F.col("o_orderkey")).alias("id")
-    stored = keys.where(F.col("o_orderkey") % 3 == 0).select(code, F.when(F.col("o_orderkey") % 41 == 0, "erro").alias("error"))
-    return evaluation.kept_results(stored, keys.where(F.col("o_orderkey") % 2 == 0).select(code)).select("id")
+    asked = table(spark, sf, "orders").where(F.col("o_totalprice") >= 250000)
+    asked = asked.select(F.concat(F.lit("q"), F.col("o_orderkey")).alias("id"))
+    return evaluation.kept_results(stored_answers(spark, sf), asked).select("id")

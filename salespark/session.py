@@ -24,16 +24,20 @@ def build_session(app: str = "salespark", cores: str = "*", shuffle_partitions:
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a folder of our own only for a local session without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="salespark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="salespark-")
+    return _local_folders[context.applicationId]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
