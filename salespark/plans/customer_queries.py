@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from salespark.operators import customers
 from salespark.plans.catalog import query, rounded
 from salespark.session import stage
-from salespark.sources.star import sales
+from salespark.sources.star import sales, table
 
 RFM_COLUMNS = ["customer_id", "order_id", "date", "revenue"]
 RFM_CTE = """WITH base AS (SELECT printf('C%05d', o_custkey) AS customer_id, l_orderkey, o_orderdate,
@@ -114,8 +114,6 @@ def silhouette_by_k(spark, sf):
 def region_segments(spark, sf):
     """One region, with recency still measured from the end of the whole base."""
     base = sales(spark, sf, [*RFM_COLUMNS, "region"]).where(F.col("region") == "ASIA")
-    from salespark.sources.star import table
-
     reference = table(spark, sf, "orders").agg(F.date_add(F.to_date(F.max("o_orderdate")), 1).alias("r")).scalar()
-    found = customers.segment_customers(base, reference, with_clusters=False)
-    return found.segments.select("segment", "customers")
+    table_of_region = stage(customers.rfm_table(base, reference), "rfm")
+    return customers.summarize_segments(customers.segment_rows(table_of_region)).select("segment", "customers")
