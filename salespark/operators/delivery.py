@@ -19,10 +19,14 @@ LOWEST_DELAY = -1000
 BAD_SCORE = 2
 
 
+def _second_of_day(moment: Column) -> Column:
+    return F.hour(moment) * 3600 + F.minute(moment) * 60 + F.extract(F.lit("SECOND"), moment)
+
+
 def whole_days(later: Column, earlier: Column) -> Column:
-    """Complete days between two moments, rounded down (also when negative)."""
-    micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return F.floor(micros / F.lit(86_400_000_000)).cast("int")
+    """Complete days between two moments, rounded down (also when negative); no time zone is involved."""
+    unfinished = (_second_of_day(later) < _second_of_day(earlier)).cast("int")
+    return F.datediff(later, earlier) - unfinished
 
 
 def delivered_orders(orders: DataFrame, delivered_status: str = "delivered") -> DataFrame:

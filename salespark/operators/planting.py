@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salespark.operators.anomalies import PEAK
-from salespark.operators.ranking import row_positions
+from salespark.operators.ranking import running_total
 
 
 def inject_anomalies(df: DataFrame, plan: list[tuple[str, str, float]]) -> DataFrame:
     """Apply (day, kind, factor): a peak repeats the day's rows, a drop keeps every round(1/factor)-th row.
 
-    Positions within a dropped day are counted over sorted ranges, so a day holding much of the table
-    is not sorted in one task. The plan is a constant list, folded into the projection.
+    Positions within a dropped day are counted over sorted ranges of its distinct rows. The plan is a constant list, folded into the projection.
     """
     copies = {day: round(factor) for day, kind, factor in plan if kind == PEAK}
     keep_every = {day: round(1 / factor) for day, kind, factor in plan if kind != PEAK}
@@ -28,8 +27,14 @@ def inject_anomalies(df: DataFrame, plan: list[tuple[str, str, float]]) -> DataF
     repeated = df.where(~is_dropped).withColumn("_n", F.coalesce(per_day(copies), F.lit(1)))
     result = repeated.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns)
     if dropped:
-        rows = df.where(is_dropped).withColumn("_day", F.to_date("date"))
-        placed = row_positions(rows, sorted(columns), within=["_day"], name="_pos")
-        kept = placed.where((F.col("_pos") - 1) % per_day(keep_every) == 0)
-        result = result.unionByName(kept.select(*columns))
+        # equal rows are counted once, so neither a large day nor a mass of copies ends in one task
+        rows = df.where(is_dropped).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.withColumn("_day", F.to_date("date"))
+        placed = running_total(rows, sorted(columns), F.col("_n"), within=["_day"], name="_upto")
+        every = per_day(keep_every)
+        up_to = F.floor((F.col("_upto") - 1) / every)
+        before = F.floor((F.col("_upto") - F.col("_n") - 1) / every)
+        kept = placed.withColumn("_kept", up_to - before).where(F.col("_kept") > 0)
+        copies = kept.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_kept").cast("int"))))
+        result = result.unionByName(copies.select(*columns))
     return result

@@ -78,6 +78,9 @@ def test_planting(frame):
     out = planting.inject_anomalies(df, [("2025-01-01", "queda", 0.15), ("2025-01-02", "pico", 3.0)])
     counts = {str(r.d): r.n for r in out.groupBy(F.to_date("date").alias("d")).agg(F.count("*").alias("n")).collect()}
     assert counts == {"2025-01-01": 3, "2025-01-02": 6, "2025-01-03": 1}
+    copies = frame([("2025-01-01", "same", 10.0)] * 20 + [("2025-01-01", "zz", 1.0)], "date STRING, order_id STRING, revenue DOUBLE")
+    kept = planting.inject_anomalies(copies, [("2025-01-01", "queda", 0.2)]).groupBy("order_id").count().collect()
+    assert {r.order_id: r["count"] for r in kept} == {"same": 4, "zz": 1}
 
 
 def test_planted_days_are_found(daily):
