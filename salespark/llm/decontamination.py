@@ -25,12 +25,13 @@ from pyspark.sql import Window as W
 from salespark.llm.common import ascii_lower
 from salespark.session import stage
 
-#: Contract: words are runs of digits, letters a-z and anything outside ASCII, after lower-casing A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words after lower-casing A-Z: all of ASCII but digits and letters a-z.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    parts = F.filter(F.split(ascii_lower(text), BETWEEN_WORDS, -1), lambda word: word != "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
 
 
 def _hash(array: Column, start: Column | int, length: int) -> Column:
