@@ -1,0 +1 @@
+"""Fixtures come from the parent folder; this file keeps the folder's tests importable on their own."""
