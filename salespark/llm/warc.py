@@ -251,11 +251,13 @@ def compressed_records(source: Source) -> Iterator[Found]:
 
 
 def salvage(file: pa.NativeFile) -> Iterator[Found]:
-    source = Source(file)
-    start = source.read(0, 3)
-    # a damaged start doesn't decide: the kind is what occurs first
-    if start == MAGIC or source.find(re.compile(re.escape(MAGIC)), 0, 3) < source.find(_VERSION_LINE, 0, 10):
-        return compressed_records(source)
+    source, magic = Source(file), re.compile(re.escape(MAGIC))
+    # a damaged start doesn't decide: the kind is that of the first intact beginning
+    line, at = source.find(_VERSION_LINE, 0, 10), source.find(magic, 0, 3)
+    while at < line:
+        if _inflate(source, at):
+            return compressed_records(source)
+        at = source.find(magic, at + 1, 3)
     return plain_records(source)
 
 

@@ -146,3 +146,70 @@ def test_routing_prefers_fresh_words_and_fills_quotas():
     assert sum(map(sum, flow)) == 24 and [f[0] for f in flow] == [10, 10, 2]
     assert mixing.route([((0,), 5)], [50]) == [[5, 5]]
     assert mixing.route([((), 5)], []) == [[0, 0]]
+
+
+# --- nearest neighbours
+
+
+def exact(rows, every=20, k=20):
+    import numpy as np
+
+    ids = np.array([r[0] for r in rows])
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    out = {}
+    for i in np.nonzero(ids % every == 0)[0]:
+        score = np.einsum("d,jd->j", x[i], x)
+        order = [j for j in np.lexsort((ids, -score)) if j != i][:k]
+        out[int(ids[i])] = [(int(ids[j]), float(score[j])) for j in order]
+    return out
+
+
+def recall(found, truth):
+    hits = total = 0
+    for query, best in truth.items():
+        mine = found.get(query, [])
+        assert [r for r, _, _ in mine] == list(range(1, len(mine) + 1)) and len(mine) == len(best)
+        assert sorted(mine, key=lambda r: (-r[2], r[1])) == mine
+        scores = dict(best)
+        assert all(abs(s - scores[v]) < 1e-12 for _, v, s in mine if v in scores)
+        hits += len({v for _, v, _ in mine} & set(scores))
+        total += len(best)
+    return hits / max(total, 1)
+
+
+def grouped(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return out
+
+
+def test_neighbours_recall(spark):
+    from salespark.llm import neighbours
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    truth = exact([tuple(r) for r in vectors.collect()])
+    assert recall(grouped(catalog.op8_neighbours(spark, "/root/testdata/sf0.1")), truth) >= 0.9
+    assert recall(grouped(neighbours.nearest(vectors, cell_rows=200, query_rows=30)), truth) >= 0.9
+
+
+def test_neighbours_of_awkward_rows(spark):
+    from salespark.llm import neighbours
+
+    bad = [(40, None), (60, [0.0, 0.0, 0.0]), (80, [1.0, None, 0.0]), (100, [float("nan"), 1.0, 1.0]), (120, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (140, [1.0, 2.0])]
+    good = [(i, [1.0, float(i % 7), -float(i % 3)]) for i in range(150) if i not in (40, 60, 80, 100, 120, 140)] + [(1000 + i, [2.0, 2.0, 2.0]) for i in range(60)]
+    table = spark.createDataFrame([*bad, *good, good[3]], "vec_id long, embedding array<float>").selectExpr("*", "1 as label", "2 as entry", "3 as ids", "4 as cell", "5 as score")
+    found = grouped(neighbours.nearest(table, cell_rows=16, query_rows=3, confidence=0.9999))
+    truth = exact(good)
+    assert found.keys() == truth.keys()
+    assert recall(found, truth) > 0.97
+    few = grouped(neighbours.nearest(table.where("vec_id in (0, 1, 2)")))
+    assert {k: [(v, s) for _, v, s in r] for k, r in few.items()} == exact([g for g in good if g[0] in (0, 1, 2)])
+    assert neighbours.nearest(table.limit(0)).count() == 0
+
+
+def test_chi_square_quantiles():
+    from salespark.llm.neighbours import chi_square_quantile
+
+    assert abs(chi_square_quantile(0.95, 8) - 15.507) < 0.001
+    assert abs(chi_square_quantile(0.5, 2) - 1.3863) < 0.001
