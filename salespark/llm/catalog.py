@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salespark.llm import chat, language, mixing, neighbours, oracles, secrets, simhash, warc
+from salespark.llm import chat, language, mixing, neighbours, oracles, secrets, simhash, substrings, warc
 from salespark.llm.common import table
 from salespark.llm.decontamination import decontaminate
 
@@ -50,6 +50,15 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, F.array("source"))
@@ -57,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", only["size"].alias("source_size"), only["target"].alias("target"), "taken")
 
 
-_QUERIES = [op1_decontamination, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_simhash, op7_warc, op8_neighbours, op10_mixing]
+_QUERIES = [op1_decontamination, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_simhash, op7_warc, op8_neighbours, op9_substring_dedup, op10_mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
