@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salespark.llm import chat, language, mixing, neighbours, oracles, secrets, simhash, substrings, warc
+from salespark.llm import chat, language, mixing, neighbours, oracles, pii, secrets, simhash, substrings, warc
 from salespark.llm.common import table
 from salespark.llm.decontamination import decontaminate
 
+#: Of this catalogue only; a user passes a secret one.
+PII_KEY = "catalogue"
+
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,6 +44,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymize(docs, PII_KEY)
+    return found.select("doc_id", "text", *[F.coalesce(F.col("entities")[k], F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS])
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.page_records(warc.read_archives(files))
@@ -66,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", only["size"].alias("source_size"), only["target"].alias("target"), "taken")
 
 
-_QUERIES = [op1_decontamination, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_simhash, op7_warc, op8_neighbours, op9_substring_dedup, op10_mixing]
+_QUERIES = [op1_decontamination, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_simhash, op6_pii, op7_warc, op8_neighbours, op9_substring_dedup, op10_mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
