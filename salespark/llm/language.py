@@ -83,37 +83,86 @@ class LanguageModel:
     grams: dict[int, dict[str, int]]
     rows: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray | None:
-        for size in range(LONGEST_GRAM, 0, -1):
-            known = self.grams.get(size, {})
-            hits = [known[g] for g in grams(word, size) if g in known]
-            if hits:
-                return self.rows[hits].mean(axis=0)
-        return None
-
-    def score(self, text: str | None, cache: dict[str, np.ndarray | None]) -> tuple[str, float]:
-        total, letters = np.zeros(len(self.languages)), False
-        for found in letter_runs(text or ""):
-            rows, times = [], []
-            for word, n in Counter(found).items():
-                letters = letters or any(map(str.isalpha, word))
-                row = self.words.get(word)
-                if row is not None:
+    def unseen(self, word: str) -> list[int]:
+        """Rows of the longest known n-grams; none if not even a letter is known."""
+        padded = f" {word} "
+        for size in range(min(LONGEST_GRAM, len(padded)), 0, -1):
+            known = self.grams.get(size)
+            if known and (hits := [row for i in range(len(padded) - size + 1) if (row := known.get(padded[i : i + size])) is not None]):
+                return hits
+        return []
+
+
+class Scorer:
+    """Scores texts with a model. Unseen words get rows of their own, which later texts use again."""
+
+    def __init__(self, model: LanguageModel, most: int = 200_000):
+        self.model, self.most = model, most
+        self.cache: dict[str, int] = {}
+        self.extra = np.zeros((0, len(model.languages)))
+
+    def _add(self, fresh: list[str]) -> None:
+        rows = [self.model.unseen(word) for word in fresh]
+        counts = np.array([len(r) for r in rows])
+        sums = np.zeros((len(rows), len(self.model.languages)))
+        np.add.at(sums, np.repeat(np.arange(len(rows)), counts), self.model.rows[[x for r in rows for x in r]])
+        self.extra = np.vstack([self.extra, sums / np.maximum(counts, 1)[:, None]])
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        languages, words = self.model.languages, self.model.words
+        if len(self.cache) > self.most:
+            self.cache, self.extra = {}, self.extra[:0]
+        base, cache = len(self.model.rows), self.cache
+        rows, times, ends, letters, fresh = [], [], [], [], []
+        for text in texts:
+            letter = False
+            for found in letter_runs(text or ""):
+                for word, n in Counter(found).items():
+                    row = words.get(word)
+                    if row is None:
+                        row = cache.get(word)
+                        if row is None:
+                            row = cache[word] = base + len(cache)
+                            fresh.append(word)
                     rows.append(row)
                     times.append(n)
-                    continue
-                if word not in cache:
-                    if len(cache) >= 50_000:
-                        cache.clear()
-                    cache[word] = self.unseen(word)
-                if cache[word] is not None:
-                    total += n * cache[word]
-            if rows:
-                total += np.asarray(times, dtype=float) @ self.rows[rows]
-        if not letters or not self.languages:
-            return "und", 0.0
-        best = int(total.argmax())  # of equal sums, the first language by code point
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+                letter = letter or any(any(map(str.isalpha, word)) for word in found)
+            ends.append(len(rows))
+            letters.append(letter)
+        if not languages:
+            return [("und", 0.0)] * len(texts)
+        if fresh:
+            self._add(fresh)
+        place, times = np.array(rows, dtype=np.int64), np.array(times, dtype=float)
+        known = place < base
+        values = np.empty((len(place), len(languages)))
+        values[known], values[~known] = self.model.rows[place[known]], self.extra[place[~known] - base]
+        of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        totals = np.column_stack([np.bincount(of, values[:, i] * times, len(texts)) for i in range(len(languages))])
+        best = totals.argmax(axis=1)  # of equal sums, the first language by code point
+        scores = 1 / np.exp(totals - totals.max(axis=1)[:, None]).sum(axis=1)
+        return [(languages[b], float(s)) if has else ("und", 0.0) for b, s, has in zip(best, scores, letters, strict=True)]
+
+
+def gram_counts(batches: Iterator[pa.RecordBatch], flush: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of counted words."""
+    counts: Counter[tuple[str, int, str]] = Counter()
+
+    def emit() -> pa.RecordBatch:
+        keys = list(counts)
+        arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=["lang", "size", "item", "n"])
+
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            for size in range(1, LONGEST_GRAM + 1):
+                for gram in grams(word, size):
+                    counts[lang, size, gram] += n
+            if len(counts) >= flush:
+                yield emit()
+    if counts:
+        yield emit()
 
 
 def learn(training: DataFrame, entries: int = 120_000) -> LanguageModel:
@@ -126,25 +175,17 @@ def learn(training: DataFrame, entries: int = 120_000) -> LanguageModel:
     languages = sorted(totals)
     if not languages:
         return LanguageModel([], {}, {}, np.zeros((0, 0)))
-    cut = counts.select("lang", "n", F.explode(_pieces()).alias("piece")).select("lang", "piece.size", "piece.item", "n")
-    items = counts.select("lang", F.lit(0).alias("size"), F.col("word").alias("item"), "n").unionByName(cut.groupBy("lang", "size", "item").agg(F.sum("n").alias("n")))
+    cut = counts.mapInArrow(gram_counts, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
+    items = counts.select("lang", F.lit(0).alias("size"), F.col("word").alias("item"), "n").unionByName(cut)
     share = max(1, entries // (len(languages) * (LONGEST_GRAM + 1)))
     ranked = W.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
-    items = stage(items.repartition("size", "item"), "language-items")
+    items = stage(items, "language-items")
     sums = {(r["lang"], r["size"]): (r["n"], r["v"]) for r in items.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     kept = items.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= share).select("size", "item").distinct()
     chosen = items.join(kept, ["size", "item"]).select("lang", "size", "item", "n").toPandas()  # at most `entries` items in each language
     return _model(languages, sums, chosen)
 
 
-def _pieces() -> Column:
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    length = F.char_length("word") + 2
-    sizes = F.array(*[F.lit(size) for size in range(1, LONGEST_GRAM + 1)])
-    starts = lambda size: F.filter(F.sequence(F.lit(1), length), lambda i: i + size <= length + 1)
-    return F.flatten(F.transform(sizes, lambda size: F.transform(starts(size), lambda i: F.struct(size.alias("size"), padded.substr(i, size).alias("item")))))
-
-
 def _model(languages: list[str], sums: dict, chosen) -> LanguageModel:
     place = {lang: i for i, lang in enumerate(languages)}
     maps: dict[int, dict[str, int]] = {size: {} for size in range(LONGEST_GRAM + 1)}
@@ -176,9 +217,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray | None] = {}
+        scorer, at = Scorer(shared.value), others.index("text")
         for batch in batches:
-            found = [shared.value.score(text, cache) for text in batch.column(others.index("text")).to_pylist()]
+            texts = batch.column(at)
+            found = [x for low in range(0, batch.num_rows, 256) for x in scorer.score(texts.slice(low, 256).to_pylist())]
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*others, "lang_pred", "score"])
 

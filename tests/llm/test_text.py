@@ -52,9 +52,10 @@ def test_backoff_takes_the_longest_known_grams():
     import numpy as np
 
     model = language.LanguageModel(["a", "b"], {}, {2: {"xy": 0}, 1: {"x": 1, "q": 2}}, np.array([[-1.0, -9.0], [-9.0, -1.0], [-5.0, -2.0]]))
-    assert model.score("xy", {})[0] == "a"
-    assert model.score("xq", {})[0] == "b"
-    assert model.unseen("zzz") is None
+    scorer = language.Scorer(model, most=1)
+    assert [lang for lang, _ in scorer.score(["xy", "xq", "xy xq xq xq"])] == ["a", "b", "b"]
+    assert scorer.score(["xq xy"])[0] == scorer.score(["", "xy xq"])[1] and scorer.score(["xq xy"])[0][0] == "a"
+    assert model.unseen("zzz") == [] and scorer.score(["zzz"]) == [("a", 0.5)]
 
 
 def test_long_text_is_cut_between_words(monkeypatch):
