@@ -22,6 +22,7 @@ from salespark.llm.common import BLANK_SEPARATED
 from salespark.session import stage
 
 WEIGHTS = (5, 2, 1)
+RESULT = ("size", "pattern", "sources", "taken", "copies")
 _LEVEL_BITS, _LEVELS = 8, 5
 
 
@@ -101,10 +102,11 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeat
             node = arcs[came[node] ^ 1][0]
 
 
-def _cuts(sized: DataFrame, parts: dict[str, int]) -> dict[str, tuple[int, int]]:
-    """By pattern: (bits, cut); documents whose hash, without its lower 63-bits bits, is below cut make up the part.
+def _cuts(sized: DataFrame, parts: dict[str, int]) -> dict[str, tuple[int, int, int | None]]:
+    """By pattern: (bits, cut, last); documents whose hash, without its lower 63-bits bits, is below cut make up the part.
 
-    Each level adds words over 256 ranges of the hash inside the range that the last level left open.
+    Each level adds words over 256 ranges of the hash inside the range that the last level left open. What the cut
+    leaves over goes to one more document, that of the nearest size, whose hash is `last`; none if that is no gain.
     """
     cuts: dict[str, tuple[int, int]] = {key: (0, 0) for key, words in parts.items() if words > 0}
     left = {key: parts[key] for key in cuts}
@@ -132,30 +134,38 @@ def _cuts(sized: DataFrame, parts: dict[str, int]) -> dict[str, tuple[int, int]]
                     continue
                 still_open = docs > 1 and level < _LEVELS
                 cut = place_
-                if not still_open and words - left[key] < left[key]:  # the range that crosses: whichever is nearer
-                    cut = place_ + 1
                 break
             else:
                 cut = (cuts[key][1] + 1) << _LEVEL_BITS
             cuts[key] = (bits, cut)
             if not still_open:
                 open_keys.discard(key)
-    return cuts
+    short = [(key, *cuts[key], left[key]) for key in sorted(cuts) if left[key] > 0]
+    last = {}
+    if short:
+        rest = sized.join(F.broadcast(sized.sparkSession.createDataFrame(short, "pattern string, bits int, cut long, left long")), "pattern")
+        miss = F.abs(F.col("size") - F.col("left"))
+        best = rest.where(F.expr("shiftright(`order`, 63 - bits) >= cut")).where(miss < F.col("left")).groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), F.col("order"))).alias("best"))
+        last = {r["pattern"]: r["best"]["order"] for r in best.collect()}
+    return {key: (*cut, last.get(key)) for key, cut in cuts.items()}
 
 
-def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 17, most_patterns: int = 10_000) -> DataFrame:
-    """One row per row of docs: doc_id, size, pattern, sources (with size and target), taken, copies.
+def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 17, most_patterns: int = 10_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of docs: the columns in `keep`, size, pattern, sources (with size and target), taken, copies.
 
     `members` is an array of source names; a null element is the source without a name, which comes last. An empty
     or null array belongs to no source and is never taken. Sizes count runs without ASCII white space; null and empty texts
     have size 0 and are never taken. Rows that repeat a doc_id share its hash and are taken alike. Without rows, or
-    without words, nothing is taken. Other columns are ignored.
+    without words, nothing is taken. Other columns are ignored; those in `keep` that are named
+    like one of the result's (RESULT) give way to it.
     """
     spark = docs.sparkSession
     names = F.array_sort(F.array_distinct(members))  # by code point, null last
     key = F.coalesce(F.to_json(F.struct(names.alias("m")), {"ignoreNullFields": "false"}), F.lit("{}"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 63) - 1))
-    sized = stage(docs.select("doc_id", size_of(F.col("text")).alias("size"), names.alias("members"), key.alias("pattern"), order.alias("order")), "mixing-sizes")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep if c not in RESULT]).alias("kept")
+    wide = docs.select(kept, size_of(F.col("text")).alias("size"), names.alias("members"), key.alias("pattern"), order.alias("order"))
+    sized = stage(wide.drop("kept"), "mixing-sizes")
     table = sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.first("members").alias("members"))
     rows = table.limit(most_patterns + 1).collect()
     if len(rows) > most_patterns:
@@ -170,14 +180,14 @@ def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, sh
     full = {r["pattern"]: taken[r["pattern"]] // r["words"] if r["words"] else 0 for r in rows}
     cuts = _cuts(sized.where("size > 0"), {r["pattern"]: taken[r["pattern"]] - full[r["pattern"]] * r["words"] for r in rows})
     plan = spark.createDataFrame(
-        [(r["pattern"], full[r["pattern"]], *cuts.get(r["pattern"], (0, 0)), [(s, sizes[place[s]], targets[place[s]]) for s in r["members"] or ()]) for r in rows],
-        "pattern string, passes long, bits int, cut long, sources array<struct<source:string,size:long,target:double>>",
+        [(r["pattern"], full[r["pattern"]], *cuts.get(r["pattern"], (0, 0, None)), [(s, sizes[place[s]], targets[place[s]]) for s in r["members"] or ()]) for r in rows],
+        "pattern string, passes long, bits int, cut long, last long, sources array<struct<source:string,size:long,target:double>>",
     )
-    copies = F.col("passes") + F.when(F.expr("shiftright(`order`, 63 - bits)") < F.col("cut"), 1).otherwise(0)
+    copies = F.col("passes") + F.when((F.expr("shiftright(`order`, 63 - bits)") < F.col("cut")) | F.col("order").eqNullSafe(F.col("last")), 1).otherwise(0)
     return (
-        sized.join(F.broadcast(plan), "pattern")  # bounded by most_patterns
+        wide.join(F.broadcast(plan), "pattern")  # bounded by most_patterns
         .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
-        .select("doc_id", "size", "pattern", "sources", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+        .select("kept.*", "size", "pattern", "sources", (F.col("copies") * F.col("size")).alias("taken"), "copies")
     )
 
 
