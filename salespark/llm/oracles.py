@@ -33,3 +33,90 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+# Turns by prefix sums: half of the room left by system turn and history is a bucket; turns of half the room or more
+# stand alone; a window repeats the system turn and up to 256 tokens before its span.
+SQL["op2_chat_formatting"] = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+placed AS (
+  SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]')) + 1 AS tokens,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS idx FROM raw
+),
+led AS (SELECT conv_id, CASE WHEN role = 'system' THEN tokens ELSE 0 END AS sys FROM placed WHERE idx = 1),
+room AS (SELECT conv_id, sys, greatest(CAST(floor((768 - sys) / 2) AS BIGINT), 64) AS half FROM led),
+at_start AS (
+  SELECT p.*, sys, half, p.idx = 1 AND sys > 0 AS system_turn,
+    greatest(sum(tokens) OVER (PARTITION BY p.conv_id ORDER BY idx) - tokens - sys, 0) AS start
+  FROM placed p JOIN room USING (conv_id)
+),
+sized AS (
+  SELECT *, tokens >= half AND NOT system_turn AS big, start // half AS bucket,
+    length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'))
+      + length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:')) + 14 AS chars
+  FROM at_start
+),
+spans AS (
+  SELECT *, 2 * sum(CAST(big AS INT)) OVER (PARTITION BY conv_id ORDER BY idx) - CAST(big AS INT) AS run FROM sized
+),
+firsts AS (SELECT conv_id, bucket, run, min(start) AS s, min(idx) AS first_idx FROM spans GROUP BY ALL),
+repeated AS (
+  SELECT f.conv_id, sum(t.chars) AS chars FROM firsts f JOIN spans t
+    ON t.conv_id = f.conv_id AND t.idx < f.first_idx AND (t.system_turn OR f.s - t.start <= 256)
+  GROUP BY f.conv_id
+)
+SELECT t.conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(t.chars) + coalesce(any_value(r.chars), 0) AS BIGINT) AS formatted_chars
+FROM spans t LEFT JOIN repeated r USING (conv_id) GROUP BY t.conv_id
+"""
+
+SQL["op7_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first_id FROM d GROUP BY h),
+five AS (SELECT h, unnest(range(8)) AS i FROM f),
+letters AS (
+  SELECT h, i, CAST('0x' || substr(h, CAST(5 * i + 1 AS INT), 5) AS BIGINT) AS v FROM five
+),
+base32 AS (
+  SELECT h, string_agg(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v >> 15 AS INT) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> 10) & 31 AS INT) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> 5) & 31 AS INT) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v & 31 AS INT) + 1, 1), '' ORDER BY i) AS digest
+  FROM letters GROUP BY h
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM d JOIN f USING (h) JOIN base32 USING (h)
+"""
+
+# Bytes as pairs of hex digits; islands of covered bytes are counted by their beginnings.
+SQL["op9_substring_dedup"] = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+s AS (SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), 100) AS g FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+o AS (SELECT g, min(doc_id) AS owner FROM s GROUP BY g),
+r AS (SELECT doc_id, i FROM s JOIN o USING (g) WHERE owner < doc_id),
+stretches AS (
+  SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1) AS fresh FROM r
+),
+numbered AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM stretches),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, k),
+cuts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS final FROM spans
+),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)) || CASE WHEN final THEN substr(x, CAST(2 * b + 1 AS BIGINT)) ELSE '' END, '' ORDER BY a) AS y
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
