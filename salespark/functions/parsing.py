@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salespark.functions.text import strip
+
 # Fixed patterns: what counts as decimal comma, English grouping and dot grouping.
 DECIMAL_COMMA = r",\d+\)?\s*$"
 ENGLISH_GROUPING = r",\d{3}\."
@@ -30,7 +32,7 @@ def style_evidence(text: Column) -> Column:
     A decimal comma, a currency sign, or dots that always close groups of three speak for it;
     English grouping (`1,234.5`) anywhere speaks against it.
     """
-    text = F.trim(text)
+    text = strip(text)
     has_dot = F.contains(text, F.lit("."))
     comma = F.coalesce(F.bool_or(text.rlike(DECIMAL_COMMA)), F.lit(False))
     english = F.coalesce(F.bool_or(text.rlike(ENGLISH_GROUPING)), F.lit(False))
@@ -45,7 +47,7 @@ def number_value(text: Column, brazilian: Column) -> Column:
     The last separator is the decimal one; without a comma, several dots (or any dot in a Brazilian
     column) separate thousands. Parentheses mean a negative amount.
     """
-    raw = F.trim(text)
+    raw = strip(text)
     kept = F.regexp_replace(raw, r"[^\d,.\-]", "")
     plain = (
         F.when(raw.rlike(r",[^.,]*$"), F.translate(kept, ",.", "."))
@@ -70,7 +72,7 @@ _DAY_FIRST = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})(?:\D.*)?$"
 _SHORT_YEAR_2000 = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ]([0-6]\d|7[0-5])(?:\D.*)?$"
 _SHORT_YEAR_1900 = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{2})(?:\D.*)?$"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_SERIAL = r"^[2-7]\d{4}(\.\d+)?$|^80000$"
+_SERIAL = r"^[2-7]\d{4}(\.\d+)?$|^80000(\.0+)?$"
 _NAMED_DAY = r"^(\d{1,2}) +([A-Za-z]{3})[a-z]*\.?,? +(\d{4})$"
 _NAMED_MONTH = r"^([A-Za-z]{3})[a-z]*\.? +(\d{1,2}),? +(\d{4})$"
 
@@ -81,7 +83,7 @@ def date_value(text: Column) -> Column:
     Every numeric style is rewritten to year-month-day and cast once. In a day-first style a month
     above 12 means the two numbers were written the other way round.
     """
-    text = F.trim(text)
+    text = strip(text)
     numeric = F.lit(None).cast("string")
     for pattern, order in reversed(
         [

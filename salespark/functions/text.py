@@ -19,6 +19,11 @@ def _plain_letters() -> tuple[str, str]:
 _MARKED, _PLAIN = _plain_letters()
 
 
+def strip(text: Column) -> Column:
+    """Without blanks of any kind (no-break spaces, tabs, line ends) at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents (composed letters and stray combining marks)."""
     return F.regexp_replace(F.lower(F.translate(text, _MARKED, _PLAIN)), r"\p{M}", "")

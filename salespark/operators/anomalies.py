@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salespark.operators.series import SEASON, WHOLE
+from salespark.session import ship_package
 
 # Shortest history, score limit, materiality (%), and the two smoother settings.
 MIN_DAYS = 28
@@ -150,6 +151,7 @@ def decompose(daily: DataFrame, seasonal: int = VIEW_WINDOWS["seasonal"], trend:
         )
 
     schema = "series STRING, ds DATE, observed DOUBLE, trend DOUBLE, seasonal DOUBLE, resid DOUBLE"
+    ship_package(daily.sparkSession)
     return _enough_days(daily).select("series", "ds", "y").groupBy("series").applyInPandas(fit, schema)
 
 

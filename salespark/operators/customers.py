@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,6 @@ MIN_CUSTOMERS = 50
 ACTIVE_DAYS = 90
 K_VALUES = (2, 3, 4, 5, 6)
 MIN_ACTIONABLE_K = 3
-SILHOUETTE_SAMPLE = 3000
 SEED = 42
 
 # Segments in rule order with the suggested action.
@@ -233,38 +231,6 @@ def cluster_features(rfm: DataFrame) -> DataFrame:
     return with_stats.withColumns(scaled).drop("stats")
 
 
-def _silhouette(sample: DataFrame) -> DataFrame:
-    """(k, silhouette): mean Euclidean silhouette of a bounded sample, one task per k."""
-
-    def mean_width(rows: pd.DataFrame) -> pd.DataFrame:
-        points = np.array(rows["point"].tolist(), dtype=float)
-        labels = rows["cluster"].to_numpy()
-        distance = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-        groups = np.unique(labels)
-        sums = np.column_stack([distance[:, labels == g].sum(axis=1) for g in groups])
-        sizes = np.array([(labels == g).sum() for g in groups])
-        own = np.searchsorted(groups, labels)
-        rows_at = np.arange(len(labels))
-        width = np.zeros(len(labels))
-        if len(groups) > 1:
-            inside = sums[rows_at, own] / np.maximum(sizes[own] - 1, 1)
-            others = sums / sizes
-            others[rows_at, own] = np.inf
-            nearest = others.min(axis=1)
-            width = np.where(sizes[own] > 1, (nearest - inside) / np.maximum(np.maximum(inside, nearest), 1e-300), 0.0)
-        return pd.DataFrame({"k": [int(rows["k"].iloc[0])], "silhouette": [float(width.mean())]})
-
-    return sample.groupBy("k").applyInPandas(mean_width, "k INT, silhouette DOUBLE")
-
-
-def _bounded_sample(df: DataFrame, rows: int, total: int) -> DataFrame:
-    """The first `rows` customers in hash order; a hash pre-filter keeps the top-k merge small."""
-    keep = min(1.0, 4.0 * rows / max(total, 1))
-    order = F.xxhash64("customer_id")
-    likely = df if keep >= 1.0 else df.where(F.pmod(order, F.lit(1_000_000)) < int(keep * 1_000_000) + 1)
-    return likely.orderBy(order, "customer_id").limit(rows)
-
-
 @dataclass(frozen=True)
 class Clustering:
     customers: DataFrame
@@ -272,35 +238,40 @@ class Clustering:
     best_k: int
 
 
-def cluster_customers(rfm: DataFrame, k_values=K_VALUES, restarts: int = 10, seed: int = SEED) -> Clustering:
+def _score(judge: ClusteringEvaluator, labelled: DataFrame, k: int) -> float:
+    """0 where all points fell into one group, which has no silhouette."""
+    groups = labelled.select("prediction").distinct().count()
+    return judge.evaluate(labelled) if groups > 1 else 0.0
+
+
+def cluster_customers(rfm: DataFrame, k_values=K_VALUES, restarts: int = 10, seed: int = SEED, at_once: int = 8) -> Clustering:
     """K-Means for every k (best of `restarts` by cost), k chosen by silhouette among k ≥ 3.
 
+    The fits are independent jobs on the same written points, `at_once` of them side by side. The silhouette covers
+    all customers: with squared Euclidean distances it follows from each group's sums, in linear time.
     "Grupo 1" is the group with the highest mean revenue per customer.
     """
     assembler = VectorAssembler(inputCols=[f"{m}_z" for m in METRICS], outputCol="features")
-    points = assembler.transform(cluster_features(rfm)).drop(*[f"{m}_z" for m in METRICS]).persist()
+    points = assembler.transform(stage(cluster_features(rfm), "cluster-points")).drop(*[f"{m}_z" for m in METRICS])
+    features = points.select("features").persist()
     try:
-        total = points.count()
-        models = {}
-        for k in k_values:
-            fits = [
-                KMeans(k=k, seed=seed + i, maxIter=100, tol=1e-4).fit(points.select("features")) for i in range(restarts)
-            ]
-            models[k] = min(fits, key=lambda m: m.summary.trainingCost)
-        sample = _bounded_sample(points, SILHOUETTE_SAMPLE, total)
-        labelled = None
-        for k, model in models.items():
-            part = model.transform(sample).select(
-                F.lit(k).alias("k"), F.col("prediction").alias("cluster"), vector_to_array("features").alias("point")
-            )
-            labelled = part if labelled is None else labelled.unionByName(part)
-        scores = stage(_silhouette(labelled), "silhouette")
-        usable = scores.where(F.col("k") >= MIN_ACTIONABLE_K) if max(k_values) >= MIN_ACTIONABLE_K else scores
-        best_k = usable.orderBy(F.desc("silhouette"), "k").first()["k"]
-        predicted = models[best_k].transform(points).drop("features").withColumnRenamed("prediction", "label")
-        predicted = stage(predicted, "clusters")
+        with ThreadPool(at_once) as pool:
+            wanted = [(k, seed + i) for k in k_values for i in range(restarts)]
+            fits = pool.starmap(lambda k, s: KMeans(k=k, seed=s, maxIter=100, tol=1e-4).fit(features), wanted, chunksize=1)
+            found: dict[int, list] = {}
+            for (k, _), model in zip(wanted, fits, strict=True):
+                found.setdefault(k, []).append(model)
+            models = {k: min(of_k, key=lambda m: m.summary.trainingCost) for k, of_k in found.items()}
+            judge = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
+            scores = pool.starmap(lambda k, model: (k, _score(judge, model.transform(features), k)), models.items(), chunksize=1)
     finally:
-        points.unpersist()
+        features.unpersist()
+    silhouettes = dict(scores)
+    usable = [k for k in k_values if k >= MIN_ACTIONABLE_K] or list(k_values)
+    best_k = min(usable, key=lambda k: (-silhouettes[k], k))
+    predicted = models[best_k].transform(points).drop("features").withColumnRenamed("prediction", "label")
+    predicted = stage(predicted, "clusters")
+    scores = points.sparkSession.createDataFrame(sorted(silhouettes.items()), "k INT, silhouette DOUBLE")
     by_value = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), "label")  # at most six groups
     order = predicted.groupBy("label").agg(F.avg("monetary").alias("mean"))
     order = order.select("label", F.row_number().over(by_value).alias("cluster"))

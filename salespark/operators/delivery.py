@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Right-closed delay bins (upper limit, label), lower limit -1000.
+# Right-closed delay bins (upper limit, label); the first and the last are open.
 DELAY_BINS = [
     (-10, "10+ dias adiantado"),
     (-5, "5–10 adiantado"),
@@ -13,9 +13,8 @@ DELAY_BINS = [
     (5, "1–5 atrasado"),
     (10, "6–10 atrasado"),
     (20, "11–20 atrasado"),
-    (1000, "20+ atrasado"),
+    (None, "20+ atrasado"),
 ]
-LOWEST_DELAY = -1000
 BAD_SCORE = 2
 
 
@@ -56,12 +55,12 @@ def late_summary(delivered: DataFrame) -> DataFrame:
 
 
 def delay_bin(delay: Column) -> tuple[Column, Column]:
-    """(position, label) of the right-closed bin; null outside all bins."""
-    position, label = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for i, (upper, text) in reversed(list(enumerate(DELAY_BINS))):
+    """(position, label) of the right-closed bin; null for an unknown delay only."""
+    last = len(DELAY_BINS) - 1
+    position, label = F.lit(last), F.lit(DELAY_BINS[last][1])
+    for i, (upper, text) in reversed(list(enumerate(DELAY_BINS[:last]))):
         position, label = F.when(delay <= upper, i).otherwise(position), F.when(delay <= upper, text).otherwise(label)
-    inside = delay > LOWEST_DELAY
-    return F.when(inside, position), F.when(inside, label)
+    return F.when(delay.isNotNull(), position), F.when(delay.isNotNull(), label)
 
 
 def score_by_delay(delivered: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from salespark.functions.numeric import ratio
 from salespark.operators.series import SEASON, WHOLE, with_positions
-from salespark.session import stage
+from salespark.session import ship_package, stage
 
 # Shortest training history, number of test windows, model names.
 MIN_TRAIN_DAYS = 56
@@ -114,6 +114,7 @@ def calendar_regression(planned: DataFrame, wanted: DataFrame, horizon: int) ->
         F.sum(years * F.col("y")).alias("ty"),
     )
     schema = "series STRING, fold INT, base DOUBLE, slope DOUBLE, by_weekday ARRAY<DOUBLE>, by_month ARRAY<DOUBLE>"
+    ship_package(planned.sparkSession)
     fitted = cells.groupBy("series", "fold").applyInPandas(_solve_calendar, schema)
     yhat = (
         F.col("base")
@@ -199,6 +200,7 @@ def holt_winters(planned: DataFrame, wanted: DataFrame, horizon: int) -> DataFra
     tried side by side on arrays.
     """
     train = training_rows(planned, horizon).select("series", "fold", "pos", "y")
+    ship_package(planned.sparkSession)
     fitted = train.groupBy("series", "fold").applyInPandas(
         _fit_holt_winters(horizon), "series STRING, fold INT, step INT, yhat DOUBLE"
     )

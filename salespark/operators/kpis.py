@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from salespark.operators.schema import order_count
 from salespark.operators.series import daily_series, fill_gaps
 
 # Limits of the ranking and monthly queries.
-MAX_RANKING = 20
 TOP_PRODUCTS = 8
 MONTHS_SHOWN = 36
 
@@ -44,42 +45,36 @@ def kpis_by(df: DataFrame, *keys: str) -> DataFrame:
     return with_rates(df.groupBy(*keys).agg(*measures(df.columns)))
 
 
-def leader(name: str, revenue: str = "revenue") -> Column:
-    """Aggregate: the member with most revenue, the first name on ties."""
-    return F.min_by(name, F.struct(-F.col(revenue), F.col(name)))
-
-
-def leaders(df: DataFrame) -> DataFrame:
-    """One row: best category with its revenue, and best region. One scan for both groupings."""
-    sets = df.groupingSets([["category"], ["region"]], "category", "region").agg(
-        exact_sum("revenue").alias("revenue"), F.grouping("category").alias("not_category")
-    )
-    order = F.struct(-F.col("revenue"), F.coalesce("category", "region"))
-    is_category = F.col("not_category") == 0
-    return sets.agg(
-        F.min_by("category", F.when(is_category, order)).alias("top_category"),
-        F.coalesce(F.max(F.when(is_category, F.col("revenue"))), F.lit(0.0)).alias("top_category_revenue"),
-        F.min_by("region", F.when(~is_category, order)).alias("top_region"),
-    )
+def leader(name: str, revenue: str = "revenue", where: Column | None = None) -> Column:
+    """Aggregate: the named member with most revenue, the first name on ties; members without a name don't lead."""
+    named = F.col(name).isNotNull() if where is None else F.col(name).isNotNull() & where
+    return F.min_by(name, F.when(named, F.struct(-F.col(revenue), F.col(name))))
 
 
 def sales_kpis(df: DataFrame, filters: SalesFilters, dates: DataFrame | None = None) -> DataFrame:
     """One row with the KPIs of the selected period and growth against the comparison period.
 
-    Both periods share one scan; the leaders need the category and region columns and add a second.
+    One scan: grouping sets give both periods' totals and the members of category and region; the row is read
+    from that small table.
     """
     tagged = tag_periods(df, filters, dates)
-    totals = kpis_by(tagged.drop("category", "region"), "period")
+    sets = [["period"], ["period", "category"], ["period", "region"]]
+    table = with_rates(
+        tagged.groupingSets(sets, "period", "category", "region").agg(
+            *measures(df.columns), F.grouping("category").alias("no_category"), F.grouping("region").alias("no_region")
+        )
+    )
     is_now, is_before = F.col("period") == CURRENT_TAG, F.col("period") == PREVIOUS_TAG
+    total = (F.col("no_category") == 1) & (F.col("no_region") == 1)
+    by_category, by_region = is_now & (F.col("no_category") == 0), is_now & (F.col("no_region") == 0)
     fields = ("revenue", "profit", "margin_pct", "units", "orders", "avg_ticket", "lines")
-    row = totals.agg(
-        *[F.max(F.when(is_now, F.col(name))).alias(name) for name in fields],
-        F.max(F.when(is_before, F.col("revenue"))).alias("previous_revenue"),
-    )
-    best = leaders(tagged.where(F.col("period") == CURRENT_TAG)).agg(
-        F.first(F.struct("top_category", "top_category_revenue", "top_region")).alias("best")
+    row = table.agg(
+        *[F.max(F.when(total & is_now, F.col(name))).alias(name) for name in fields],
+        F.max(F.when(total & is_before, F.col("revenue"))).alias("previous_revenue"),
+        leader("category", where=by_category).alias("top_category"),
+        F.max(F.when(by_category & F.col("category").isNotNull(), F.col("revenue"))).alias("top_category_revenue"),
+        leader("region", where=by_region).alias("top_region"),
     )
-    row = row.select("*", best.scalar().alias("best"))
     empty = F.coalesce(F.col("lines"), F.lit(0)) == 0
     growth = F.when(empty, F.when(F.col("previous_revenue") > 0, -100.0)).otherwise(
         change_pct("revenue", "previous_revenue")
@@ -95,9 +90,9 @@ def sales_kpis(df: DataFrame, filters: SalesFilters, dates: DataFrame | None = N
         or_zero("units", 0),
         or_zero("orders", 0),
         or_zero("avg_ticket", 0.0),
-        F.coalesce("best.top_category", F.lit("N/A")).alias("top_category"),
-        F.coalesce("best.top_category_revenue", F.lit(0.0)).alias("top_category_revenue"),
-        F.coalesce("best.top_region", F.lit("N/A")).alias("top_region"),
+        F.coalesce("top_category", F.lit("N/A")).alias("top_category"),
+        F.coalesce("top_category_revenue", F.lit(0.0)).alias("top_category_revenue"),
+        F.coalesce("top_region", F.lit("N/A")).alias("top_region"),
         growth.alias("growth_pct"),
     )
 
@@ -118,11 +113,11 @@ def revenue_shares(df: DataFrame, column: str) -> DataFrame:
     return grouped.select(column, "revenue", share_pct(F.col("revenue"), total).alias("share_pct"))
 
 
-def ranking(df: DataFrame, column: str, limit: int = 5, descending: bool = True) -> DataFrame:
-    """Best or worst members with their share; `limit` is kept within 1–20."""
-    limit = max(1, min(int(limit), MAX_RANKING))
+def ranking(df: DataFrame, column: str, limit: int | None = 5, descending: bool = True) -> DataFrame:
+    """Best or worst members with their share; all of them without a limit."""
     order = F.desc("revenue") if descending else F.asc("revenue")
-    return revenue_shares(df, column).orderBy(order, column).limit(limit)
+    rows = revenue_shares(df, column).orderBy(order, column)
+    return rows if limit is None else rows.limit(limit)
 
 
 def top_products(df: DataFrame, limit: int = TOP_PRODUCTS) -> DataFrame:
@@ -213,10 +208,15 @@ def goal_progress(df: DataFrame, goal: float) -> DataFrame:
 def growth_between_averages(df: DataFrame, year: int, first_month: int, last_month: int) -> DataFrame:
     """Mean monthly revenue of the same months in `year` and the year before (months without sales are zero)."""
     months = last_month - first_month + 1
-    wanted = F.month("date").between(first_month, last_month) & F.year("date").isin(year - 1, year)
-    sums = df.where(wanted).agg(
-        exact_sum(F.when(F.year("date") == year, F.col("revenue"))).alias("now"),
-        exact_sum(F.when(F.year("date") == year - 1, F.col("revenue"))).alias("before"),
+
+    def inside(of: int) -> Column:
+        """A date range, so that files and row groups outside it are skipped."""
+        end = date(of + last_month // 12, last_month % 12 + 1, 1)
+        return (F.col("date") >= F.lit(str(date(of, first_month, 1))).cast("timestamp_ntz")) & (F.col("date") < F.lit(str(end)).cast("timestamp_ntz"))
+
+    sums = df.where(inside(year) | inside(year - 1)).agg(
+        exact_sum(F.when(inside(year), F.col("revenue"))).alias("now"),
+        exact_sum(F.when(inside(year - 1), F.col("revenue"))).alias("before"),
     )
     return sums.select(
         (F.col("now") / months).alias("mean_now"),

@@ -5,34 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Sorted ranges used for global ordering; a range holds about 1/RANGES of the rows.
-RANGES = 256
-_SAMPLES_PER_RANGE = 4
-_BLOCK = 16
-
-
-def _count_below(points: Column) -> Column:
-    return F.size(F.filter(points, lambda s: s < F.col("_key")))
-
-
-def with_range(df: DataFrame, key: Column, name: str = "_range", ranges: int = RANGES) -> DataFrame:
-    """Add the number of the sorted range a key falls into (0, 1, …), never decreasing in the key.
-
-    The split points come from a bounded sample taken by hash order, so they are the same on every
-    re-computation; the sample only balances the work and never changes a result.
-    """
-    size = ranges * _SAMPLES_PER_RANGE
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(size)
-    points = F.sort_array(F.collect_list("k"))
-    splits = F.filter(points, lambda _, i: i % _SAMPLES_PER_RANGE == _SAMPLES_PER_RANGE - 1)
-    split_points = sample.agg(splits.alias("splits")).scalar()
-    keyed = df.select("*", split_points.alias("_splits"), key.alias("_key"))
-    # two short scans instead of one long one: first which block of split points, then which point in it
-    block_ends = F.filter("_splits", lambda _, i: i % _BLOCK == _BLOCK - 1)
-    keyed = keyed.withColumn("_passed", _BLOCK * _count_below(block_ends))
-    inside = F.slice("_splits", F.col("_passed") + 1, F.lit(_BLOCK))
-    return keyed.withColumn(name, F.col("_passed") + _count_below(inside)).drop("_splits", "_key", "_passed")
-
+from salespark.session import stage
 
 def running_total(
     df: DataFrame,
@@ -44,13 +17,15 @@ def running_total(
 ) -> DataFrame:
     """Add the inclusive running total of `weight` (default: rows) in the given order, per `within` group.
 
-    Rows are split into sorted ranges; each range is totalled on its own and shifted by the totals of
-    the ranges before it (at most RANGES rows per group), so a group holding most rows is spread out.
-    `total` names an extra column with the group's whole weight.
+    Rows are sorted into Spark's range partitions and written once, so that every later step sees the same
+    partitions. Each is totalled on its own and shifted by the totals of those before it (one row per partition
+    and group), so a group holding most rows is spread out. `total` names an extra column with the group's whole
+    weight.
     """
     within = list(within or [])
     weight = F.lit(1) if weight is None else weight
-    keyed = with_range(df, F.struct(*within, *order)).withColumn("_weight", weight.cast("bigint"))
+    dealt = df.withColumn("_weight", weight.cast("bigint")).repartitionByRange(*[F.col(c) for c in (*within, *order)])
+    keyed = stage(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
     sums = keyed.groupBy(*within, "_range").agg(F.sum("_weight").alias("_sum"))
     group = Window.partitionBy(*(within or [F.lit(0)]))
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from salespark.functions.numeric import exact_sum
 from salespark.operators.series import with_positions
+from salespark.session import ship_package
 
 ALPHA = 0.05
 DECLINE_THRESHOLD = -0.15
@@ -97,6 +98,7 @@ def mann_kendall(daily: DataFrame, alpha: float = ALPHA) -> DataFrame:
         s, tau, p = kendall_row(values)
         return pd.DataFrame({"series": [rows["series"].iloc[0]], "n": [len(values)], "s": [s], "tau": [tau], "p_value": [p]})
 
+    ship_package(daily.sparkSession)
     tested = daily.select("series", "ds", "y").groupBy("series")
     tested = tested.applyInPandas(test, "series STRING, n BIGINT, s BIGINT, tau DOUBLE, p_value DOUBLE")
     significant = F.col("p_value") < alpha
@@ -114,8 +116,9 @@ def declining_categories(df: DataFrame, threshold: float = DECLINE_THRESHOLD, by
     # with a single moment there is no second half: the null midpoint then leaves nothing to compare
     middle = F.when(F.col("last") > F.col("first"), F.expr("first + (last - first) / 2"))
     if by:
-        # one row per group: the groups are the members of a small reporting dimension
-        marked = df.join(bounds.select(*by, middle.alias("middle")), by)
+        # sums per moment meet the groups' midpoints, so that no single row is joined on a group of many
+        moments = df.where(F.col("category").isNotNull()).groupBy(*by, "category", "date").agg(exact_sum("revenue").alias("revenue"))
+        marked = moments.join(bounds.select(*by, middle.alias("middle")), by)
         mid = F.col("middle")
     else:
         marked, mid = df, bounds.select(middle.alias("middle")).scalar()

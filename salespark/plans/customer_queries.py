@@ -93,7 +93,7 @@ def cluster_features(spark, sf):
 
 
 def _groups(spark, sf):
-    return customers.cluster_customers(customers.segment_rows(rfm(spark, sf)), restarts=2)
+    return customers.cluster_customers(customers.segment_rows(rfm(spark, sf)))
 
 
 @query()

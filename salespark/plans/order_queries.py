@@ -142,7 +142,7 @@ def late_summary(spark, sf):
 
 
 @query(SHIP_CTE + """, b AS (SELECT score, CASE WHEN delay <= -10 THEN 0 WHEN delay <= -5 THEN 1 WHEN delay <= 0 THEN 2 WHEN delay <= 5 THEN 3
-  WHEN delay <= 10 THEN 4 WHEN delay <= 20 THEN 5 ELSE 6 END AS position FROM d WHERE delay > -1000 AND delay <= 1000)
+  WHEN delay <= 10 THEN 4 WHEN delay <= 20 THEN 5 ELSE 6 END AS position FROM d WHERE delay IS NOT NULL)
 SELECT position, (['10+ dias adiantado', '5–10 adiantado', '0–5 adiantado', '1–5 atrasado', '6–10 atrasado', '11–20 atrasado', '20+ atrasado'])[position + 1] AS bin,
 round(avg(score), 6) AS mean_score, count(*) AS orders FROM b GROUP BY ALL""")
 def score_by_delay(spark, sf):

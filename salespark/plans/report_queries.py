@@ -25,8 +25,8 @@ ALL = ["date", "order_id", "category", "region", "product", "units", "revenue",
 
 
 def base(spark, sf, columns=ALL):
-    """The joined base written once: reports and API calls read it many times."""
-    return stage(sales(spark, sf, columns), "sales")
+    """The joined base as a plan: every question prunes its columns, days and segments down to the scans."""
+    return sales(spark, sf, columns)
 
 
 # ---------------------------------------------------------------- facts and reports
@@ -87,7 +87,7 @@ def empty_reports(spark, sf):
 
 # ---------------------------------------------------------------- named queries
 def api(spark, sf):
-    return SalesQueries(base(spark, sf))
+    return SalesQueries(base(spark, sf), dates=dates_of(spark, sf))
 
 
 KPI_TEXT = with_sales(f""", w AS (SELECT CASE WHEN date >= TIMESTAMP '2000-07-01' THEN 'c' ELSE 'p' END AS side, * FROM sales

@@ -124,11 +124,10 @@ def event_time_parts(spark, sf):
     return parts.groupBy("weekday", "hour", "month", "month_start").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query(with_sales("""SELECT date, order_id, product, CAST(revenue AS DOUBLE) AS revenue FROM sales
-ORDER BY date DESC, order_id, product, revenue LIMIT 100"""))
+@query(with_sales("""SELECT date, order_id, product, CAST(revenue AS DOUBLE) AS revenue FROM sales"""))
 def newest_details(spark, sf):
-    rows = sales(spark, sf, ["date", "order_id", "product", "revenue"])
-    return rows.orderBy(F.desc("date"), "order_id", "product", "revenue").limit(100)
+    """Every row, newest first."""
+    return periods.detail_rows(sales(spark, sf, ["date", "order_id", "product", "revenue"]))
 
 
 # ---------------------------------------------------------------- KPIs and rankings
@@ -417,8 +416,7 @@ def linear_trend(spark, sf):
     return rounded(trends.fit_trend(daily), 4, r2=6)
 
 
-MK_SQL = with_sales(""", placed AS (SELECT category AS series, CAST(date AS DATE) AS ds, CAST(sum(revenue) AS DOUBLE) AS y FROM sales
-  WHERE date >= TIMESTAMP '2000-01-01' AND date < TIMESTAMP '2001-01-01' GROUP BY ALL),
+MK_SQL = with_sales(""", placed AS (SELECT category AS series, CAST(date AS DATE) AS ds, CAST(sum(revenue) AS DOUBLE) AS y FROM sales GROUP BY ALL),
 pairs AS (SELECT a.series, sum(CASE WHEN b.y > a.y THEN 1 WHEN b.y < a.y THEN -1 ELSE 0 END) AS s FROM placed a JOIN placed b
   ON a.series = b.series AND a.ds < b.ds GROUP BY 1),
 sizes AS (SELECT series, count(*) AS n FROM placed GROUP BY 1),
@@ -432,15 +430,13 @@ CASE WHEN z <= 1.959963984540054 THEN 'sem tendência' WHEN s > 0 THEN 'alta' EL
 
 @query(MK_SQL)
 def mann_kendall_by_category(spark, sf):
-    year = periods.between_days(sales(spark, sf, ["date", "category", "revenue"]), date(2000, 1, 1), date(2000, 12, 31))
-    tested = trends.mann_kendall(series.days_with_sales(year, ["category"]))
+    tested = trends.mann_kendall(series.days_with_sales(sales(spark, sf, ["date", "category", "revenue"]), ["category"]))
     return rounded(tested.drop("p_value"), 6)
 
 
 @query()
 def mann_kendall_p_values(spark, sf):
-    year = periods.between_days(sales(spark, sf, ["date", "region", "revenue"]), date(2000, 1, 1), date(2000, 12, 31))
-    return rounded(trends.mann_kendall(series.days_with_sales(year, ["region"])), 6)
+    return rounded(trends.mann_kendall(series.days_with_sales(sales(spark, sf, ["date", "region", "revenue"]), ["region"])), 6)
 
 
 @query(with_sales(""", w AS (SELECT * FROM sales WHERE date >= TIMESTAMP '2000-07-01' AND date < TIMESTAMP '2001-01-01'),

@@ -1,6 +1,6 @@
 """Run catalogue queries next to their SQL in DuckDB and compare the results.
 
-    python tests/oracle.py [sf folder] [query names…]
+    python tests/compare_with_duckdb.py [sf folder] [query names…]
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from salespark.operators import textnum
 from salespark.operators.periods import SalesFilters
 from salespark.plans import facts as fact_rows
 from salespark.plans import report
-from salespark.plans.api import SalesQueries
+from salespark.plans.api import MESSAGES, PARAMETERS, SalesQueries
 
 DAYS = 420
 CATEGORIES, REGIONS = ["Beleza", "Eletrônicos", "Moda"], ["Norte", "Sul"]
@@ -53,26 +53,38 @@ def facts(base):
     return fact_rows.build_facts(base, FILTERS).persist()
 
 
-@pytest.mark.parametrize(
-    ("name", "args", "message"),
-    [
-        ("nada", {}, "Ferramenta desconhecida"),
-        ("kpis", {"data_inicio": "x", "data_fim": "2024-02-01"}, "AAAA-MM-DD"),
-        ("kpis", {"data_inicio": "2024-03-01", "data_fim": "2024-02-01"}, "anterior a data_fim"),
-        ("kpis", {"data_inicio": "2030-01-01", "data_fim": "2030-02-01"}, "fora da base"),
-        ("kpis", {"data_inicio": "2024-01-01"}, "Parâmetros inválidos"),
-        ("kpis", {"data_inicio": "2024-01-01", "data_fim": "2024-02-01", "categorias": ["Carros"]}, "Valores inexistentes: Carros"),
-        ("kpis", {"data_inicio": "2024-01-01", "data_fim": "2024-02-01", "regioes": "Lua"}, "Valores inexistentes: Lua"),
-        ("ranking", {"data_inicio": "2024-01-01", "data_fim": "2024-02-01", "dimensao": "loja"}, "dimensao deve ser"),
-        ("ranking", {"data_inicio": "2024-01-01", "data_fim": "2024-02-01", "dimensao": "regiao", "ordem": "x"}, "ordem deve ser"),
-        ("ranking", {"data_inicio": "2024-01-01", "data_fim": "2024-02-01", "dimensao": "regiao", "limite": "x"}, "limite deve ser"),
-        ("anomalias", {"data_inicio": "2024-01-01", "data_fim": "2024-02-01", "metrica": "x"}, "metrica deve ser"),
-        ("previsao", {"horizonte_dias": 45}, "horizonte_dias deve ser"),
-        ("comparar_com_periodo_anterior", {"data_inicio": "2024-01-01", "data_fim": "2024-02-01"}, "Não há vendas"),
-    ],
-)
-def test_invalid_requests(tools, name, args, message):
-    assert message in tools.run(name, args).first().erro
+GOOD = {"data_inicio": "2024-01-01", "data_fim": "2024-03-01", "dimensao": "regiao"}
+BAD = {"day": "31/01/2024", "choice": "loja", "count": "trinta", "members": ["Lua"]}
+
+
+def refused():
+    """(query, arguments, code, named parameter) from the parameter table: each rule broken once per query."""
+    for name, table in PARAMETERS.items():
+        good = {k: v for k, v in GOOD.items() if k in table}
+        yield name, good | {"cor": 1}, "unknown", "cor"
+        for key, parameter in table.items():
+            yield name, good | {key: BAD[parameter.kind]}, parameter.kind, key
+            if parameter.required:
+                yield name, {k: v for k, v in good.items() if k != key}, "missing", key
+        if "data_fim" in table:
+            yield name, good | {"data_fim": "2023-12-31"}, "order", "2023-12-31"
+            yield name, good | {"data_inicio": "2030-01-01", "data_fim": "2030-02-01"}, "outside", "2024-01-01"
+
+
+@pytest.mark.parametrize(("name", "args", "code", "named"), list(refused()))
+def test_refused_requests_name_the_problem(tools, name, args, code, named):
+    text = tools.run(name, args).first().erro
+    assert named in text and text.startswith(MESSAGES[code].split("{")[0])
+
+
+def test_other_problems_become_rows(tools, base, spark):
+    assert "kpis" in tools.run("nada", {}).first().erro
+    assert tools.run("previsao", {"horizonte_dias": 45}).first().erro.endswith("30, 60, 90.")
+    early = {"data_inicio": "2024-01-01", "data_fim": "2024-02-01"}
+    assert tools.run("comparar_com_periodo_anterior", early).first().erro == MESSAGES["nothing"]
+    odd = SalesQueries(base.drop("units", "customer_id"))
+    assert odd.run("kpis", early).first().erro == MESSAGES["failed"]
+    assert "segmentos_de_clientes" not in odd.handlers and not odd.has_customers
 
 
 def test_kpis_and_period_clamp(tools, base):
@@ -109,7 +121,7 @@ def test_anomalies_and_forecast(tools):
 
 def test_without_customers(base):
     tools = SalesQueries(base, has_customers=False)
-    assert "desconhecida" in tools.run("segmentos_de_clientes", {}).first().erro
+    assert "segmentos_de_clientes" in tools.run("segmentos_de_clientes", {}).first().erro
     assert "ontem = 22/02/2025" in tools.dataset_info() and "Regiões: Norte, Sul." in tools.dataset_info()
 
 

@@ -7,8 +7,6 @@ from conftest import SMALL
 from __spark_entry__ import entry, oracle_sql, queries
 
 QUERIES, SQL = queries(), oracle_sql()
-# slow model fits, covered by their own tests
-SLOW = {"customer_groups", "silhouette_by_k", "fact_lines", "region_reports"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +20,7 @@ def test_same_rows_as_sql(spark, con, name):
     assert verdict.startswith("exact") and "types" not in verdict, verdict
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert len(set(df.columns)) == len(df.columns)

@@ -166,3 +166,27 @@ def test_seasonality_ignores_partial_years(daily):
     flat_year = [100.0] * 366 + [900.0] * 31 + [100.0] * 10
     index = series.monthly_seasonality(daily(flat_year)).collect()
     assert len(index) == 12 and all(r.seasonal_index == pytest.approx(1.0) for r in index)
+
+
+def test_totals_beyond_the_range_of_ten_thousandths(spark):
+    from salespark.functions.numeric import exact_sum
+
+    rows = spark.createDataFrame([(5e14,), (5e14,), (2e15,), (None,), (0.1,), (-0.3,)] + [(1e17,)] * 10, "revenue DOUBLE")
+    assert rows.agg(exact_sum("revenue").alias("t")).first().t == 1e18 + 3e15 - 0.2
+    cents = spark.range(1000).selectExpr("CAST(id AS DOUBLE) / 100 AS revenue")
+    assert cents.agg(exact_sum("revenue").alias("t")).first().t == 4995.0
+    assert cents.where("id < 0").agg(exact_sum("revenue").alias("t")).first().t == 0.0
+
+
+def test_members_without_a_name_do_not_lead(spark, frame):
+    import datetime as dt
+
+    from salespark.operators import kpis
+    from salespark.operators.periods import SalesFilters
+
+    rows = [("2025-01-05", "a", None, 5.0), ("2025-01-05", None, "Sul", 50.0)]
+    df = frame([(*r, 1, r[3], None, f"o{i}") for i, r in enumerate(rows)], "date STRING, category STRING, region STRING, revenue DOUBLE, units BIGINT, profit DOUBLE, cost DOUBLE, order_id STRING")
+    row = kpis.sales_kpis(df, SalesFilters(dt.date(2025, 1, 1), dt.date(2025, 1, 31))).first()
+    assert (row.top_category, row.top_category_revenue, row.top_region) == ("a", 5.0, "Sul")
+    assert row.revenue == 55.0 and row.orders == 2
+    assert kpis.sales_kpis(df, SalesFilters(dt.date(2024, 1, 1), dt.date(2024, 1, 31))).first().top_category == "N/A"

@@ -130,9 +130,9 @@ def test_delivery(orders):
     assert [r.region for r in regions] == ["Nordeste", "Sudeste"]
 
 
-@pytest.mark.parametrize(("delay", "label"), [(-10, "10+ dias adiantado"), (-9, "5–10 adiantado"), (0, "0–5 adiantado"), (1, "1–5 atrasado"), (20, "11–20 atrasado"), (21, "20+ atrasado"), (-1000, None), (1001, None)])
+@pytest.mark.parametrize(("delay", "label"), [(-10, "10+ dias adiantado"), (-9, "5–10 adiantado"), (0, "0–5 adiantado"), (1, "1–5 atrasado"), (20, "11–20 atrasado"), (21, "20+ atrasado"), (-1000, "10+ dias adiantado"), (1001, "20+ atrasado"), (None, None)])
 def test_right_closed_bins(spark, delay, label):
-    assert spark.range(1).select(delivery.delay_bin(F.lit(delay))[1]).first()[0] == label
+    assert spark.range(1).select(delivery.delay_bin(F.lit(delay).cast("int"))[1]).first()[0] == label
 
 
 def test_whole_days_round_down(spark):

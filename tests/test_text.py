@@ -71,7 +71,13 @@ def test_invalid_rows_are_counted(spark):
     made = importing.build_sales_dataset(raw, importing.guess_mapping(raw.columns), "p")
     row = made.df.first()
     assert made.df.count() == 1 and row.units == 1 and row.category == "Não informado"
-    assert made.notes[0].startswith("3 linha(s) descartada(s)") and not made.has_cost and not made.has_customers
+    assert made.notes[0].startswith("3 linha(s) ficaram de fora") and len(made.notes) == 3 and not made.has_cost and not made.has_customers
+
+
+def test_blanks_of_all_kinds_are_stripped(spark):
+    raw = spark.createDataFrame([("\t31/12/2025", "10", "\xa0Sul\t"), ("\xa031/12/2025\n", "5", "Sul"), ("80000.0", "1", "Sul")], "data STRING, receita STRING, regiao STRING")
+    made = importing.build_sales_dataset(raw, importing.guess_mapping(raw.columns), "p")
+    assert made.df.count() == 3 and {r.region for r in made.df.collect()} == {"Sul"}
 
 
 def test_import_errors(spark):
