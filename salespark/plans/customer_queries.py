@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from salespark.functions.numeric import exact_sum
 from salespark.operators import customers
 from salespark.plans.catalog import query, rounded
 from salespark.session import stage
@@ -107,6 +109,20 @@ def silhouette_by_k(spark, sf):
     return rounded(found.silhouette_by_k.withColumn("chosen", F.col("k") == found.best_k), 6)
 
 
+@query(RFM_CTE + """SELECT count(*) AS customers, CAST(round(sum(monetary), 2) AS DECIMAL(38,2)) AS revenue, CAST(sum(frequency) AS BIGINT) AS orders,
+CAST(100 AS DECIMAL(10,4)) AS revenue_pct, TRUE AS means_fall FROM rfm""")
+def customer_group_totals(spark, sf):
+    """Groups hold every customer once, all revenue and orders, and are numbered by falling mean revenue."""
+    groups = customers.summarize_clusters(_groups(spark, sf).customers)
+    before = F.lag("avg_monetary").over(Window.partitionBy(F.lit(0)).orderBy("cluster"))  # at most six groups
+    falling = groups.withColumn("falls", F.coalesce(F.col("avg_monetary") <= before, F.lit(True)))
+    return falling.agg(
+        F.sum("customers").alias("customers"), exact_sum("revenue").cast("decimal(38,2)").alias("revenue"),
+        F.round(F.sum(F.col("avg_frequency") * F.col("customers"))).cast("bigint").alias("orders"),
+        F.sum("revenue_pct").cast("decimal(10,4)").alias("revenue_pct"), F.bool_and("falls").alias("means_fall"),
+    )
+
+
 @query(RFM_CTE.replace("FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     """FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')""").replace("(SELECT max(o_orderdate) FROM base)", "(SELECT max(o_orderdate) FROM orders)")

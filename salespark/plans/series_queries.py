@@ -210,3 +210,26 @@ def revenue_forecast(spark, sf):
 @query()
 def forecast_totals_by_category(spark, sf):
     return rounded(forecasting.forecast(revenue(spark, sf, ["category"]), 60).totals(), 2)
+
+
+# ---------------------------------------------------------------- what must hold for any right model, as SQL can state it
+@query(with_sales("SELECT 'total' AS series, count(*) AS days, CAST(sum(y) AS DECIMAL(38,2)) AS observed, TRUE AS adds_up FROM daily", DAILY_CTE))
+def decomposition_balance(spark, sf):
+    """Every day is decomposed, and its parts add up to what was observed."""
+    parts = anomalies.decompose(revenue(spark, sf))
+    gap = F.abs(F.col("trend") + F.col("seasonal") + F.col("resid") - F.col("observed"))
+    return parts.groupBy("series").agg(
+        F.count(F.lit(1)).alias("days"), exact_sum("observed").cast("decimal(38,2)").alias("observed"), (F.max(gap) < 1e-4).alias("adds_up")
+    )
+
+
+@query(with_sales(f"""SELECT 'total' AS series, max(ds) + 1 AS first_day, max(ds) + {HORIZON} AS last_day, CAST({HORIZON} AS BIGINT) AS days,
+TRUE AS ordered, TRUE AS not_negative FROM daily""".replace("max(ds) + 1", "CAST(max(ds) + 1 AS DATE)").replace(f"max(ds) + {HORIZON}", f"CAST(max(ds) + {HORIZON} AS DATE)"), DAILY_CTE))
+def forecast_shape(spark, sf):
+    """The forecast covers the days after the base, inside its own intervals, and never falls below zero."""
+    rows = forecasting.forecast(revenue(spark, sf), HORIZON).rows
+    inside = (F.col("lower_95") <= F.col("lower_80")) & (F.col("lower_80") <= F.col("upper_80")) & (F.col("upper_80") <= F.col("upper_95"))
+    return rows.groupBy("series").agg(
+        F.min("ds").alias("first_day"), F.max("ds").alias("last_day"), F.count(F.lit(1)).alias("days"),
+        F.bool_and(inside).alias("ordered"), F.bool_and((F.col("yhat") >= 0) & (F.col("lower_95") >= 0)).alias("not_negative"),
+    )
