@@ -37,6 +37,12 @@ def plan_folds(daily: DataFrame, horizon: int, max_folds: int = MAX_FOLDS) -> Da
     return placed.withColumn("n_folds", folds).where(F.col("n_folds") >= 1)
 
 
+def short_history(daily: DataFrame, horizon: int) -> DataFrame:
+    """(series, days, needed) of the series that are too short to be tested once, and so get no forecast."""
+    needed = MIN_TRAIN_DAYS + horizon
+    return daily.groupBy("series").agg(F.count(F.lit(1)).alias("days")).where(F.col("days") < needed).withColumn("needed", F.lit(needed))
+
+
 def fold_table(planned: DataFrame, horizon: int) -> DataFrame:
     """(series, fold, cutoff): fold f trains on the days before n − f·horizon; fold 0 is the forecast itself."""
     sizes = planned.groupBy("series").agg(
@@ -290,6 +296,7 @@ class Forecast:
     scores: DataFrame
     best: DataFrame
     rows: DataFrame
+    skipped: DataFrame  # series without a forecast, with the days they have and need
 
     def totals(self) -> DataFrame:
         """(series, total, total_error, best_model, horizon)."""
@@ -307,7 +314,7 @@ def forecast(
     predicted = stage(predictions(daily, horizon, max_folds, models), "predictions")
     scores = score_models(predicted)
     best = best_models(scores)
-    return Forecast(scores, best, forecast_rows(predicted, best))
+    return Forecast(scores, best, forecast_rows(predicted, best), short_history(daily, horizon))
 
 
 def require_history(daily: DataFrame, horizon: int) -> None:

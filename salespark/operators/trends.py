@@ -66,7 +66,7 @@ def _exact_p(n: int, fewest: int) -> float:
     return min(1.0, 2 * float(chance.sum()))
 
 
-def kendall_row(values: np.ndarray) -> tuple[int, float, float]:
+def kendall_row(values: np.ndarray, exact_up_to: int = EXACT_UP_TO) -> tuple[int, float, float]:
     """(S, tau-b, two-sided p) of the values against their order; (0, 0, 1) when there is nothing to test."""
     values = values[~np.isnan(values)]
     n = len(values)
@@ -79,7 +79,7 @@ def kendall_row(values: np.ndarray) -> tuple[int, float, float]:
     tau = s / math.sqrt(pairs * (pairs - tied))
     falls = (pairs - int(tied) - s) // 2
     fewest = min(falls, pairs - falls)
-    if tied == 0 and (n <= EXACT_UP_TO or fewest <= 1):
+    if tied == 0 and (n <= exact_up_to or fewest <= 1):
         p = 1.0 if 2 * fewest == pairs else _exact_p(n, fewest)
     else:
         spread = (n * (n - 1) * (2 * n + 5) - float((ties * (ties - 1) * (2 * ties + 5)).sum())) / 18
@@ -87,15 +87,16 @@ def kendall_row(values: np.ndarray) -> tuple[int, float, float]:
     return s, tau, p
 
 
-def mann_kendall(daily: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def mann_kendall(daily: DataFrame, alpha: float = ALPHA, exact_up_to: int = EXACT_UP_TO) -> DataFrame:
     """(series, n, s, tau, p_value, significant, direction) per series.
 
-    A group is one aggregated series, so it holds at most one row per calendar day.
+    A group is one aggregated series, so it holds at most one row per calendar day. Up to `exact_up_to` values without
+    ties the p-value is exact; the normal approximation with tie correction gives it beyond.
     """
 
     def test(rows: pd.DataFrame) -> pd.DataFrame:
         values = rows.sort_values("ds")["y"].to_numpy(dtype=float)
-        s, tau, p = kendall_row(values)
+        s, tau, p = kendall_row(values, exact_up_to)
         return pd.DataFrame({"series": [rows["series"].iloc[0]], "n": [len(values)], "s": [s], "tau": [tau], "p_value": [p]})
 
     ship_package(daily.sparkSession)

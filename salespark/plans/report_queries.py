@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from salespark.functions.numeric import exact_sum
-from salespark.operators import preparation, textnum
+from salespark.operators import customers, periods, preparation, textnum
 from salespark.operators.periods import SalesFilters
 from salespark.plans import facts as fact_rows
 from salespark.plans import ground_truth, report
@@ -269,6 +269,31 @@ def exported_rows(spark, sf):
     return files.export_frame(rows)
 
 
+@query(with_sales(f"""SELECT order_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, category, replace(CAST(CAST(revenue AS DOUBLE) AS VARCHAR), '.', ',') AS revenue
+FROM sales WHERE {CUR}"""))
+def exported_sales_file(spark, sf):
+    """Filtered sales, newest first, written as semicolon CSV and read back."""
+    rows = sales(spark, sf, ["order_id", "date", "category", "revenue"])
+    path = _folder(spark, "export")
+    files.export_csv(periods.between_days(rows, HALF.start, HALF.end), path, newest_first="date")
+    return spark.read.option("header", True).option("sep", ";").csv(path)
+
+
+@query(RFM_CTE + "SELECT customer_id, CAST(recency AS VARCHAR) AS recency, segment FROM named")
+def exported_customers_file(spark, sf):
+    """Segmented customers written as semicolon CSV and read back."""
+    known = customers.rfm_table(sales(spark, sf, ["customer_id", "order_id", "date", "revenue"]))
+    path = _folder(spark, "customers")
+    files.export_csv(customers.segment_rows(stage(known, "rfm")).select("customer_id", "recency", "segment"), path)
+    return spark.read.option("header", True).option("sep", ";").csv(path)
+
+
+@query("SELECT count(*) AS rows, 6 AS columns FROM orders")
+def table_shape(spark, sf):
+    """The shape that a preview shows beside its first rows."""
+    return periods.preview(table(spark, sf, "orders"))[1]
+
+
 @query("""SELECT 'm1' AS model, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS kind, (o_orderkey % 50) / 10.0::DOUBLE AS latency_s,
 CASE WHEN o_orderkey % 41 = 0 THEN 'sem cota' END AS error FROM orders""")
 def answers_file(spark, sf):

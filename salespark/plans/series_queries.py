@@ -233,3 +233,12 @@ def forecast_shape(spark, sf):
         F.min("ds").alias("first_day"), F.max("ds").alias("last_day"), F.count(F.lit(1)).alias("days"),
         F.bool_and(inside).alias("ordered"), F.bool_and((F.col("yhat") >= 0) & (F.col("lower_95") >= 0)).alias("not_negative"),
     )
+
+
+@query(with_sales(
+    """, d AS (SELECT category AS series, CAST(date AS DATE) AS ds FROM sales WHERE date >= TIMESTAMP '2001-05-01')
+SELECT series, CAST(max(ds) - min(ds) + 1 AS BIGINT) AS days, 116 AS needed FROM d GROUP BY 1 HAVING max(ds) - min(ds) + 1 < 116"""))
+def series_without_forecast(spark, sf):
+    """Categories of the last weeks: too short to be tested on a horizon of 60 days."""
+    rows = sales(spark, sf, ["date", "category", "revenue"]).where(F.col("date") >= F.lit("2001-05-01").cast("timestamp_ntz"))
+    return forecasting.short_history(series.daily_series(rows, "revenue", keys=["category"]), 60)

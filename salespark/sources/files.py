@@ -112,8 +112,8 @@ def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("data DATE, pedidos BIGINT").option("header", True).csv(path)
 
 
-def export_frame(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Columns with any value, as text with decimal commas. One aggregate decides which columns stay."""
+def export_frame(df: DataFrame, columns: list[str] | None = None, newest_first: str | None = None) -> DataFrame:
+    """Columns with any value, as text with decimal commas. One aggregate decides which columns stay; rows are sorted after it."""
     df = df.select(*columns) if columns else df
     filled = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
     kinds = dict(df.dtypes)
@@ -124,13 +124,13 @@ def export_frame(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             value = F.replace(value, F.lit("."), F.lit(","))
         return value.alias(name)
 
-    return df.select(*[text(c) for c in df.columns if filled[c]])
+    ordered = df.orderBy(F.desc(newest_first)) if newest_first else df
+    return ordered.select(*[text(c) for c in df.columns if filled[c]])
 
 
 def export_csv(df: DataFrame, path: str, newest_first: str | None = None) -> None:
     """Semicolon CSV with decimal commas; a range sort keeps `newest_first` order across part files."""
-    ordered = df.orderBy(F.desc(newest_first)) if newest_first else df
-    export_frame(ordered).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
+    export_frame(df, newest_first=newest_first).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
 
 
 # Fields of one stored evaluation answer and of one stored report check.
