@@ -34,6 +34,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan with fewer splits than cores, before costly work on every row.
+
+    A file of one row group is one split, whatever split size the session asks for, so a session setting can't do
+    this. A table with at least as many splits as cores is returned as it is; results are the same either way.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def _rounded_pct(cents: Column, pct: Column) -> Column:
     """That many percent of an amount in cents, a half cent rounded up."""
     return F.floor((cents * pct + 50) / F.lit(100))
