@@ -13,11 +13,13 @@ ROBUSTNESS = "robustez"
 FORMAT_ERROR = "formato"
 # expected values of a case, joined to its answer
 EXPECTED_NUMBERS = "ARRAY<STRUCT<label: STRING, value: DOUBLE, percent: BOOLEAN, near: STRING>>"
+# where a line or sentence ends
+PASSAGE_END = r"\n|;|\.\s"
 
 
-def passages(answer: Column, near: Column) -> Column:
-    """The lines or sentences that mention `near`."""
-    return F.filter(F.split(answer, r"\n|;|\.\s"), lambda p: F.contains(fold(p), fold(near)))
+def numbered_passages(answer: Column) -> Column:
+    """array<struct<folded, numbers>> of all passages."""
+    return F.transform(F.split(answer, PASSAGE_END), lambda p: F.struct(fold(p).alias("folded"), extract_numbers(p).alias("numbers")))
 
 
 def _number_label(n: Column) -> Column:
@@ -38,7 +40,8 @@ def rescore(df: DataFrame) -> DataFrame:
         return F.exists(numbers, lambda c: (c["is_percent"] == n["percent"]) & matches(c, n["value"]))
 
     def found(n: Column) -> Column:
-        nearby = F.exists(passages(answer, n["near"]), lambda part: among(extract_numbers(part), n))
+        near = fold(n["near"])
+        nearby = F.exists("_passages", lambda part: F.contains(part["folded"], near) & among(part["numbers"], n))
         return F.when(n["near"].isNull(), among(cited, n)).otherwise(nearby)
 
     missing_numbers = F.transform(F.filter("numbers", lambda n: ~found(n)), _number_label)
@@ -49,7 +52,8 @@ def rescore(df: DataFrame) -> DataFrame:
     forbidden = F.filter("forbidden", lambda t: F.contains(F.lower(answer), F.lower(t)))
     nothing = F.array().cast("array<string>")
     return (
-        df.withColumns({"_folded": fold(answer), "_cited": extract_numbers(answer)})
+        # numbers are extracted once per answer and passage; expected values only look them up
+        df.withColumns({"_folded": fold(answer), "_cited": extract_numbers(answer), "_passages": numbered_passages(answer)})
         .withColumns(
             {
                 "missing_numbers": missing_numbers,
@@ -61,7 +65,7 @@ def rescore(df: DataFrame) -> DataFrame:
                 "expects_numbers": F.size("numbers") > 0,
             }
         )
-        .drop("_folded", "_cited")
+        .drop("_folded", "_cited", "_passages")
     )
 
 
