@@ -29,6 +29,7 @@ from salespark.session import ship_package, stage
 _LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
 LONGEST_WORD = 40  # longer runs of letters are scored by their n-grams only
+PARTS = 64
 _CHUNK = 1 << 20
 
 
@@ -178,10 +179,14 @@ def learn(training: DataFrame, entries: int = 120_000) -> LanguageModel:
     cut = counts.mapInArrow(gram_counts, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     items = counts.select("lang", F.lit(0).alias("size"), F.col("word").alias("item"), "n").unionByName(cut)
     share = max(1, entries // (len(languages) * (LONGEST_GRAM + 1)))
-    ranked = W.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
+    best = [F.desc("n"), "item"]
+    part = F.pmod(F.xxhash64("item"), F.lit(PARTS))
     items = stage(items, "language-items")
     sums = {(r["lang"], r["size"]): (r["n"], r["v"]) for r in items.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    kept = items.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= share).select("size", "item").distinct()
+    # the best of each part first, so that the last choice sees at most PARTS times `share` items of a length
+    first = items.withColumn("part", part).withColumn("rank", F.row_number().over(W.partitionBy("lang", "size", "part").orderBy(*best)))
+    last = first.where(F.col("rank") <= share).withColumn("rank", F.row_number().over(W.partitionBy("lang", "size").orderBy(*best)))
+    kept = last.where(F.col("rank") <= share).select("size", "item").distinct()
     chosen = items.join(kept, ["size", "item"]).select("lang", "size", "item", "n").toPandas()  # at most `entries` items in each language
     return _model(languages, sums, chosen)
 
