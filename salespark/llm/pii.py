@@ -23,7 +23,9 @@ from pyspark.sql import Window as W
 from salespark.session import stage
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\p{L}\p{N}-])\d{3}-\d{3}-\d{4}(?![\d-])"
+_GROUP = r"(?:\(\d{1,4}\)|\d{2,4}|(?<!\.)\d(?=[ -])|\d(?=(?:\.\d{2}){4}(?!\d)))"  # one digit alone only before blanks or hyphens, or as in +33.1.23.45.67.89
+INTERNATIONAL = rf"(?<![\p{{L}}\p{{N}}+])\+(?=\d(?:[ .()-]{{0,3}}\d){{6}})\d{{1,3}}[ .-]?{_GROUP}(?:[ .-]?\d{{2,4}}|[ -]\d(?=[ -])){{1,4}}[ .-]?\d{{2,4}}(?!\d)"
+PHONE = rf"{INTERNATIONAL}|(?<![\p{{L}}\p{{N}}])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 CARD = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?!\d)"
@@ -31,7 +33,8 @@ MALE, FEMALE, EITHER = (f"{t}|{t.upper()}" for t in ("Mr|Sir|Herr|Monsieur|Seño
 TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{EITHER})(?:\. ?| )"
 NAME = rf"{TITLE}\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
 ANY = "|".join((EMAIL, PHONE, SSN, IP, CARD, NAME))
-HINT = rf"@|\d[ .()-]{{0,2}}\d{{3}}|\d\.\d|{TITLE}\p{{Lu}}"
+#: Each alternative of ANY contains one of these: e-mail @; phones +d, (ddd) or ddd-d; SSN ddd-d; IP d.d; cards 13 digits; names a title.
+HINT = rf"@|\+\d|\(\d{{3}}\)|\d{{3}}-\d|\d\.\d|\d(?:[ -]?\d){{12}}|{TITLE}\p{{Lu}}"
 KINDS = ("email", "phone", "card", "ip", "ssn", "name")
 MOST_ROUNDS = 100
 

@@ -95,3 +95,28 @@ def test_luhn_expression(spark, number):
 
     row = spark.range(1).select((pii._luhn_sum(F.lit(number), 0) % 10).alias("whole"), ((10 - pii._luhn_sum(F.lit(number[:-1]), 1) % 10) % 10).alias("digit")).first()
     assert row["whole"] == 0 and row["digit"] == int(number[-1])
+
+
+PHONES = ["+49 30 12 34 56 78", "+44 20 79 46 09 58", "+7 (49) 12 34 56", "+47 22 12 34 56", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+44 (0)20 7946 0958", "+55 11 9 1234 5678", "+1 212 555 0199"]
+
+
+def test_phones_in_small_groups_and_paired_cards_are_replaced_everywhere(spark):
+    texts = [f"call {p} now" for p in PHONES] + [f"call {p} now, a@b.com" for p in PHONES] + ["41 11 11 11 11 11 11 11", "between +1.5 2.25 3.75 and +12 34"]
+    found = replaced(spark, texts)
+    n = len(PHONES)
+    for phone, alone, hinted in zip(PHONES, found[:n], found[n : 2 * n], strict=True):
+        assert re.sub(r"\d", "9", alone) == re.sub(r"\d", "9", f"call {phone} now") and phone not in alone
+        assert hinted.startswith(alone)
+    assert found[-2] != texts[-2] and luhn(found[-2]) and found[-1] == texts[-1]
+
+
+def test_every_match_implies_the_hint(spark):
+    import random
+
+    pick = random.Random(3)
+    parts = ["+", "(", ")", " ", "-", ".", "@", "a", "Mr", "A", *"0123456789", "12", "123", "1234", ") ", "+4"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randrange(8, 40))) for _ in range(40_000)]
+    texts += ["".join(pick.choice(["+", "(", ")", " ", "-", ".", "1", "23", "456"]) for _ in range(pick.randrange(5, 16))) for _ in range(40_000)]
+    table = spark.createDataFrame([(t,) for t in [*texts, *PHONES]], "text string")
+    hits = table.where(table["text"].rlike(pii.ANY))
+    assert hits.count() > 1000 and hits.where(~hits["text"].rlike(pii.HINT)).count() == 0
