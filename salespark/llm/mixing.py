@@ -5,8 +5,8 @@
    price, and so on up to `repeats`: convex repetition costs, so no document repeats while fresh words are left.
    Successive shortest paths solve this small graph exactly; it has one node per pattern and source.
 3. Each pattern's routed words become whole passes over its documents plus a part of one pass. The part is made of
-   the documents with the smallest seeded hashes. Where to cut is found from sums over hash ranges, five levels
-   of 256 ranges, so nothing is sorted and no group is collected.
+   the documents with the smallest seeded hashes; when one does not fit, later ones that do go on filling it. Where
+   to cut is found from sums over hash ranges, five levels of 256 ranges, so nothing is sorted and no group is collected.
 
 The pattern table is the only thing that reaches the driver; it is refused beyond `most_patterns` rows.
 """
@@ -24,6 +24,8 @@ from salespark.session import stage
 WEIGHTS = (5, 2, 1)
 RESULT = ("size", "pattern", "sources", "taken", "copies")
 _LEVEL_BITS, _LEVELS = 8, 5
+_RANGES = "array<struct<after:long,upto:long,room:long>>"
+_IN_RANGES = "exists(ranges, r -> `order` between r.after and r.upto and size <= r.room)"
 
 
 def size_of(text: Column) -> Column:
@@ -102,52 +104,69 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeat
             node = arcs[came[node] ^ 1][0]
 
 
-def _cuts(sized: DataFrame, parts: dict[str, int]) -> dict[str, tuple[int, int, int | None]]:
-    """By pattern: (bits, cut, last); documents whose hash, without its lower 63-bits bits, is below cut make up the part.
+def _filled(sized: DataFrame, wanted: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int, int | None]]:
+    """By pattern, with wanted (after, room): (words, upto, next).
 
-    Each level adds words over 256 ranges of the hash inside the range that the last level left open. What the cut
-    leaves over goes to one more document, that of the nearest size, whose hash is `last`; none if that is no gain.
+    The documents of at most `room` words with hashes in [after, upto] fit into it, with `words`; the one behind
+    does not. The search for those left over begins at `next`; None if all fit. Each level adds words over 256 ranges of
+    the hash inside the range that the last level left open.
     """
-    cuts: dict[str, tuple[int, int]] = {key: (0, 0) for key, words in parts.items() if words > 0}
-    left = {key: parts[key] for key in cuts}
-    open_keys = set(cuts)
+    prior, left = {key: 0 for key in wanted}, {key: room for key, (_, room) in wanted.items()}
+    ends: dict[str, tuple[int, int | None]] = {}
     for level in range(1, _LEVELS + 1):
-        if not open_keys:
+        keys = sorted(wanted.keys() - ends.keys())
+        if not keys:
             break
-        bits = _LEVEL_BITS * level
-        place = F.shiftright(F.col("order"), 63 - bits)
-        prior = F.shiftright(F.col("order"), 63 - bits + _LEVEL_BITS)
-        spark = sized.sparkSession
-        wanted = spark.createDataFrame([(key, cuts[key][1]) for key in sorted(open_keys)], "pattern string, prior long")
-        inside = sized.withColumn("prior", prior).join(F.broadcast(wanted), ["pattern", "prior"])  # at most one row a pattern
-        sums = inside.groupBy("pattern", place.alias("place")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+        below = 63 - _LEVEL_BITS * level
+        asked = sized.sparkSession.createDataFrame([(key, prior[key], *wanted[key]) for key in keys], "pattern string, prior long, after long, room long")
+        inside = sized.withColumn("prior", F.shiftright("order", below + _LEVEL_BITS)).join(F.broadcast(asked), ["pattern", "prior"]).where("`order` >= after and size <= room")
+        sums = inside.groupBy("pattern", F.shiftright("order", below).alias("place")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
         found: dict[str, list] = {}
         for row in sums.collect():  # at most 256 ranges a pattern
             found.setdefault(row["pattern"], []).append((row["place"], row["words"], row["docs"]))
-        for key in sorted(open_keys):
-            cut = cuts[key][1] << _LEVEL_BITS
-            still_open = False
-            for place_, words, docs in sorted(found.get(key, [])):
+        for key in keys:
+            for place, words, docs in sorted(found.get(key, [])):
                 if words <= left[key]:
                     left[key] -= words
-                    cut = place_ + 1
                     continue
-                still_open = docs > 1 and level < _LEVELS
-                cut = place_
+                prior[key] = place
+                if docs == 1 or level == _LEVELS:
+                    ends[key] = ((place << below) - 1, (place + 1) << below)
                 break
             else:
-                cut = (cuts[key][1] + 1) << _LEVEL_BITS
-            cuts[key] = (bits, cut)
-            if not still_open:
-                open_keys.discard(key)
-    short = [(key, *cuts[key], left[key]) for key in sorted(cuts) if left[key] > 0]
+                ends[key] = ((1 << 63) - 1, None)
+    return {key: (wanted[key][1] - left[key], *ends[key]) for key in wanted}
+
+
+def _cuts(sized: DataFrame, parts: dict[str, int]) -> dict[str, tuple[list[tuple[int, int, int]], int | None]]:
+    """By pattern: (ranges, last); documents with at most `room` words and a hash from `after` to `upto` make up the part.
+
+    One range (after, upto, room) is filled until a document does not fit; then those behind it that fit into what is left
+    follow, and so on until none fits. What is left then goes to one more document (rows of one hash), that of the
+    nearest size, whose hash is `last`; none if that is no gain.
+    """
+    left = {key: words for key, words in parts.items() if words > 0}
+    ranges: dict[str, list[tuple[int, int, int]]] = {key: [] for key in left}
+    wanted = {key: (0, words) for key, words in left.items()}
+    while wanted:
+        rest = {}
+        for key, (words, upto, following) in _filled(sized, wanted).items():
+            after, room = wanted[key]
+            if words:
+                ranges[key].append((after, upto, room))
+                left[key] -= words
+            if following is not None and following < 1 << 63 and left[key]:
+                rest[key] = (following, left[key])
+        wanted = rest
+    short = [(key, left[key], ranges[key]) for key in sorted(left) if left[key] > 0]
     last = {}
     if short:
-        rest = sized.join(F.broadcast(sized.sparkSession.createDataFrame(short, "pattern string, bits int, cut long, left long")), "pattern")
+        rest = sized.join(F.broadcast(sized.sparkSession.createDataFrame(short, f"pattern string, left long, ranges {_RANGES}")), "pattern").where(~F.expr(_IN_RANGES))
+        blocks = rest.groupBy("pattern", "order").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
         miss = F.abs(F.col("size") - F.col("left"))
-        best = rest.where(F.expr("shiftright(`order`, 63 - bits) >= cut")).where(miss < F.col("left")).groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), F.col("order"))).alias("best"))
+        best = blocks.where(miss < F.col("left")).groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), F.col("order"))).alias("best"))
         last = {r["pattern"]: r["best"]["order"] for r in best.collect()}
-    return {key: (*cut, last.get(key)) for key, cut in cuts.items()}
+    return {key: (found, last.get(key)) for key, found in ranges.items()}
 
 
 def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 17, most_patterns: int = 10_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -155,14 +174,14 @@ def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, sh
 
     `members` is an array of source names; a null element is the source without a name, which comes last. An empty
     or null array belongs to no source and is never taken. Sizes count runs without ASCII white space; null and empty texts
-    have size 0 and are never taken. Rows that repeat a doc_id share its hash and are taken alike. Without rows, or
-    without words, nothing is taken. Other columns are ignored; those in `keep` that are named
+    have size 0 and are never taken. Rows that repeat a doc_id share its hash and are taken alike if their
+    sizes agree; rows without one have a hash of their text. Without rows, or without words, nothing is taken. Other columns are ignored; those in `keep` that are named
     like one of the result's (RESULT) give way to it.
     """
     spark = docs.sparkSession
     names = F.array_sort(F.array_distinct(members))  # by code point, null last
     key = F.coalesce(F.to_json(F.struct(names.alias("m")), {"ignoreNullFields": "false"}), F.lit("{}"))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 63) - 1))
+    order = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.col("text"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id"))).bitwiseAND(F.lit((1 << 63) - 1))
     kept = F.struct(*[F.col(f"`{c}`") for c in keep if c not in RESULT]).alias("kept")
     wide = docs.select(kept, size_of(F.col("text")).alias("size"), names.alias("members"), key.alias("pattern"), order.alias("order"))
     sized = stage(wide.drop("kept"), "mixing-sizes")
@@ -180,10 +199,10 @@ def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, sh
     full = {r["pattern"]: taken[r["pattern"]] // r["words"] if r["words"] else 0 for r in rows}
     cuts = _cuts(sized.where("size > 0"), {r["pattern"]: taken[r["pattern"]] - full[r["pattern"]] * r["words"] for r in rows})
     plan = spark.createDataFrame(
-        [(r["pattern"], full[r["pattern"]], *cuts.get(r["pattern"], (0, 0, None)), [(s, sizes[place[s]], targets[place[s]]) for s in r["members"] or ()]) for r in rows],
-        "pattern string, passes long, bits int, cut long, last long, sources array<struct<source:string,size:long,target:double>>",
+        [(r["pattern"], full[r["pattern"]], *cuts.get(r["pattern"], ([], None)), [(s, sizes[place[s]], targets[place[s]]) for s in r["members"] or ()]) for r in rows],
+        f"pattern string, passes long, ranges {_RANGES}, last long, sources array<struct<source:string,size:long,target:double>>",
     )
-    copies = F.col("passes") + F.when((F.expr("shiftright(`order`, 63 - bits)") < F.col("cut")) | F.col("order").eqNullSafe(F.col("last")), 1).otherwise(0)
+    copies = F.col("passes") + F.when(F.expr(_IN_RANGES) | F.col("order").eqNullSafe(F.col("last")), 1).otherwise(0)
     return (
         wide.join(F.broadcast(plan), "pattern")  # bounded by most_patterns
         .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
