@@ -6,7 +6,7 @@ of a task writes files of its own, and only those named in its result count.
 The reader takes a file apart into members (or, if it is not compressed, into records by their version lines). A
 record must have a complete head, its stated length, the closing blank lines and, where stated, the right digests.
 When a check fails, the reader searches for the next member or version line that starts a valid record, goes on
-from there, and reports the bytes between as a gap. Only one record is held in memory.
+from there, and reports the bytes between as a gap. Heads may have any length. Only one record is held in memory.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 _READ, _HEAD = 1 << 20, 1 << 16
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_NEXT_VERSION = re.compile(rb"\nWARC/1\.[01]\r\n")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -147,13 +148,21 @@ class Source:
         return self.size
 
 
-def _head(data: bytes) -> tuple[dict[str, str], int] | None:
-    """Fields by lower-case name, and the length of the head; None if it is no complete record head."""
-    if not _VERSION_LINE.match(data):
-        return None
-    end = data.find(END, 0, _HEAD)
-    if end < 0:
-        return None
+def _head(source: Source, at: int) -> tuple[dict[str, str], int] | None:
+    """Fields by lower-case name, and the length of the head; None if no complete record head begins there.
+
+    The head is read in growing pieces up to its blank line, the next version line or the end.
+    """
+    size, end, seen = _HEAD, -1, 0
+    while end < 0:
+        data = source.read(at, size)
+        if not _VERSION_LINE.match(data):
+            return None
+        end = data.find(END, seen)
+        following = _NEXT_VERSION.search(data, max(seen - 11, 0))
+        if following and not 0 <= end < following.start() or end < 0 and at + len(data) >= source.size:
+            return None
+        seen, size = max(len(data) - len(END) + 1, 0), 2 * size
     fields = {}
     for line in data[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -182,7 +191,7 @@ def _fault(head: dict[str, str], block: bytes) -> str:
 def plain_records(source: Source) -> Iterator[Found]:
     at, bad, reason = 0, None, ""
     while at < source.size:
-        parsed = _head(source.read(at, _HEAD))
+        parsed = _head(source, at)
         fault = "no record head"
         if parsed:
             head, skip = parsed
