@@ -61,6 +61,28 @@ def components(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
+def shingles(text, size=5):
+    words = PLAIN.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def near_survivors(docs, least=0.8):
+    """The smallest id of each group of documents that pairs of at least this Jaccard similarity connect."""
+    sets = {d: shingles(t) for d, t in docs}
+    ids, pairs, having = sorted(sets), set(), {}
+    empty = [d for d in ids if not sets[d]]
+    pairs |= {(empty[0], d) for d in empty[1:]}
+    for d in ids:
+        shared = {}
+        for s in sets[d]:
+            for other in having.get(s, ()):
+                shared[other] = shared.get(other, 0) + 1
+            having.setdefault(s, []).append(d)
+        pairs |= {(o, d) for o, n in shared.items() if n >= least * (len(sets[o]) + len(sets[d]) - n) - 1e-9}
+    roots = components(pairs, ids)
+    return {d for d in ids if roots[d] == d}
+
+
 def simhash(docs, radius=2):
     prints = {doc: fingerprint(text) for doc, text in docs}
     ids = sorted(prints)

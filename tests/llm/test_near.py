@@ -15,25 +15,6 @@ import corpus_pipeline  # noqa: E402
 MIDDLE = "/root/testdata/sf0.01"
 
 
-def shingles(text, size=5):
-    words = brute.PLAIN.findall((text or "").translate(brute.LOWER))
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def survivors(docs, least=0.8):
-    sets = {d: shingles(t) for d, t in docs}
-    ids, pairs, having = sorted(sets), set(), {}
-    for d in ids:
-        shared = {}
-        for s in sets[d]:
-            for other in having.get(s, ()):
-                shared[other] = shared.get(other, 0) + 1
-            having.setdefault(s, []).append(d)
-        pairs |= {(o, d) for o, n in shared.items() if n >= least * (len(sets[o]) + len(sets[d]) - n) - 1e-9}
-    roots = brute.components(pairs, ids)
-    return {d for d in ids if roots[d] == d}
-
-
 def kept(spark, table):
     return sorted(r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, table, MIDDLE).collect())
 
@@ -41,7 +22,7 @@ def kept(spark, table):
 def test_near_copies_equal_brute_force(spark):
     table = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("text rlike '[^ \\\\s]'")
     docs = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
-    assert kept(spark, table) == sorted(survivors(docs))
+    assert kept(spark, table) == sorted(brute.near_survivors(docs))
 
 
 def test_changed_words_and_chains(spark):
@@ -55,4 +36,27 @@ def test_changed_words_and_chains(spark):
             words[pick.randrange(120)] = word()
             docs.append((base * 100 + i, " ".join(words)))
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    assert kept(spark, table) == sorted(survivors(docs))
+    assert kept(spark, table) == sorted(brute.near_survivors(docs))
+
+
+def test_a_large_group_of_drifting_copies(spark):
+    """300 copies with 0 to 4 changed words of 120: most are linked to the base only, some to nobody."""
+    pick = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for d in range(300):
+        words = list(base)
+        for at in pick.sample(range(120), d % 5):
+            words[at] = f"c{pick.randrange(10**6)}"
+        docs.append((d + 1, " ".join(words)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    left = brute.near_survivors(docs)
+    assert 1 < len(left) < 200
+    assert kept(spark, table) == sorted(left)
+
+
+def test_awkward_rows(spark):
+    rows = [*brute.AWKWARD, brute.AWKWARD[0]]
+    table = brute.awkward(spark, rows)
+    assert kept(spark, table) == sorted(brute.near_survivors([(r[0], r[1]) for r in rows]))
+    assert kept(spark, table.limit(0)) == []

@@ -17,8 +17,8 @@ SMALL = "/root/testdata/sf0.001"
 
 def survivors(docs, items):
     docs = {d: t for d, t in docs if t and any(map(str.isalpha, t))}
-    roots = brute.simhash(docs.items())
-    docs = {d: t for d, t in docs.items() if roots[d][1] == d}
+    left = brute.near_survivors(docs.items())
+    docs = {d: t for d, t in docs.items() if d in left}
     hit = brute.contaminated(docs.items(), items)
     return {d: t for d, t in docs.items() if not hit[d][-1]}
 
