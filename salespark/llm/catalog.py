@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salespark.llm import chat, language, mixing, neighbours, oracles, pii, secrets, simhash, substrings, warc
+from salespark.llm import chat, extraction, language, lexical, mixing, neighbours, oracles, pii, secrets, simhash, spelling, substrings, warc
 from salespark.llm.common import table
 from salespark.llm.decontamination import decontaminate
 
@@ -75,7 +75,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", only["size"].alias("source_size"), only["target"].alias("target"), "taken")
 
 
-_QUERIES = [op1_decontamination, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_simhash, op6_pii, op7_warc, op8_neighbours, op9_substring_dedup, op10_mixing]
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.typed_words(table(spark, sf_dir, "documents"))
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), extraction.learn(spark))
+
+
+_QUERIES = [op1_decontamination, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_simhash, op6_pii, op7_warc, op8_neighbours, op9_substring_dedup, op10_mixing, op11_spelling_variants, op12_lexical_search, op13_main_text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

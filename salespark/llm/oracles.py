@@ -120,3 +120,25 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+_TERMS = rf"coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+SQL["op12_lexical_search"] = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+total AS (SELECT count(*) AS docs, sum(len(t)) AS words FROM d WHERE len(t) > 0),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+posting AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM posting CROSS JOIN total GROUP BY term
+),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // CAST(words AS BIGINT))))) AS BIGINT) AS score
+  FROM posting JOIN weight USING (term) JOIN asked USING (term) CROSS JOIN total GROUP BY item_id, doc_id
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 10
+"""
