@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salespark.functions.numeric import exact_sum, share_pct
+from salespark.operators.clustering import euclidean_silhouettes, fit_all, nearest
 from salespark.operators.ranking import row_positions, value_distribution
 from salespark.operators.schema import order_count
 from salespark.session import stage
@@ -238,39 +235,24 @@ class Clustering:
     best_k: int
 
 
-def _score(judge: ClusteringEvaluator, labelled: DataFrame, k: int) -> float:
-    """0 where all points fell into one group, which has no silhouette."""
-    groups = labelled.select("prediction").distinct().count()
-    return judge.evaluate(labelled) if groups > 1 else 0.0
-
-
-def cluster_customers(rfm: DataFrame, k_values=K_VALUES, restarts: int = 10, seed: int = SEED, at_once: int = 8) -> Clustering:
+def cluster_customers(rfm: DataFrame, k_values=K_VALUES, restarts: int = 10, seed: int = SEED, silhouette_grain: float | None = 1 / 128) -> Clustering:
     """K-Means for every k (best of `restarts` by cost), k chosen by silhouette among k ≥ 3.
 
-    The fits are independent jobs on the same written points, `at_once` of them side by side. The silhouette covers
-    all customers: with squared Euclidean distances it follows from each group's sums, in linear time.
-    "Grupo 1" is the group with the highest mean revenue per customer.
+    All fits share one job per round. The silhouette is the Euclidean one over all customers, with coordinates rounded
+    to `silhouette_grain` standard deviations (None: not at all). "Grupo 1" is the group with the highest mean revenue
+    per customer.
     """
-    assembler = VectorAssembler(inputCols=[f"{m}_z" for m in METRICS], outputCol="features")
-    points = assembler.transform(stage(cluster_features(rfm), "cluster-points")).drop(*[f"{m}_z" for m in METRICS])
-    features = points.select("features").persist()
+    columns = [f"{m}_z" for m in METRICS]
+    points = stage(cluster_features(rfm), "cluster-points")
+    coordinates = points.select(*columns).persist()
     try:
-        with ThreadPool(at_once) as pool:
-            wanted = [(k, seed + i) for k in k_values for i in range(restarts)]
-            fits = pool.starmap(lambda k, s: KMeans(k=k, seed=s, maxIter=100, tol=1e-4).fit(features), wanted, chunksize=1)
-            found: dict[int, list] = {}
-            for (k, _), model in zip(wanted, fits, strict=True):
-                found.setdefault(k, []).append(model)
-            models = {k: min(of_k, key=lambda m: m.summary.trainingCost) for k, of_k in found.items()}
-            judge = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
-            scores = pool.starmap(lambda k, model: (k, _score(judge, model.transform(features), k)), models.items(), chunksize=1)
+        models = fit_all(coordinates, columns, k_values, restarts, seed)
+        silhouettes = euclidean_silhouettes(coordinates, columns, models, silhouette_grain)
     finally:
-        features.unpersist()
-    silhouettes = dict(scores)
+        coordinates.unpersist()
     usable = [k for k in k_values if k >= MIN_ACTIONABLE_K] or list(k_values)
     best_k = min(usable, key=lambda k: (-silhouettes[k], k))
-    predicted = models[best_k].transform(points).drop("features").withColumnRenamed("prediction", "label")
-    predicted = stage(predicted, "clusters")
+    predicted = stage(points.withColumn("label", nearest(models[best_k], columns)).drop(*columns), "clusters")
     scores = points.sparkSession.createDataFrame(sorted(silhouettes.items()), "k INT, silhouette DOUBLE")
     by_value = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), "label")  # at most six groups
     order = predicted.groupBy("label").agg(F.avg("monetary").alias("mean"))

@@ -131,83 +131,129 @@ def calendar_regression(planned: DataFrame, wanted: DataFrame, horizon: int) ->
     return wanted.join(fitted, ["series", "fold"]).withColumn("yhat", yhat).select(*wanted.columns, "yhat")
 
 
-def _smooth(values: np.ndarray, alpha, beta, gamma, phi):
-    """Run additive damped smoothing for many parameter sets at once; (sse, level, trend, seasons)."""
-    first, second = values[:SEASON], values[SEASON : 2 * SEASON]
-    cycles = min(len(values) // SEASON, 8)
-    blocks = values[: cycles * SEASON].reshape(cycles, SEASON)
-    pattern = (blocks - blocks.mean(axis=1, keepdims=True)).mean(axis=0)
-    level = np.full(len(alpha), first.mean())
-    trend = np.full(len(alpha), (second.mean() - first.mean()) / SEASON)
-    seasons = np.tile(pattern[:, None], (1, len(alpha)))
-    sse = np.zeros(len(alpha))
-    for i, value in enumerate(values):
-        slot = i % SEASON
-        drift = phi * trend
-        ahead = level + drift
-        season = seasons[slot]
-        error = value - ahead - season
-        sse += error * error
-        new_level = alpha * (value - season) + (1 - alpha) * ahead
-        trend = beta * (new_level - level) + (1 - beta) * drift
-        seasons[slot] = gamma * (value - ahead) + (1 - gamma) * season
-        level = new_level
-    return sse, level, trend, seasons
-
-
-def _parameter_sets(alphas, betas, gammas, phis) -> list[np.ndarray]:
-    """All combinations with beta ≤ alpha and gamma ≤ 1 − alpha (given as fractions of those limits)."""
-    a, b, g, p = (m.ravel() for m in np.meshgrid(alphas, betas, gammas, phis, indexing="ij"))
-    return [a, a * b, (1 - a) * g, p]
+class Smoothing:
+    """Additive smoothing with damped trend and weekly season, for many parameter sets at once.
+
+    One-step errors are linear in the start state (level, trend, seven seasons that add up to zero), so the best start
+    state of a parameter set follows from normal equations. The recursion runs once for what the data contribute and
+    once for each unit of the start state, side by side; only the four smoothing parameters are left to a search.
+    """
+
+    STATES = 2 + SEASON - 1
+    _BLOCK = 64  # days whose errors are multiplied at once
+
+    def __init__(self, values: np.ndarray, cutoffs: np.ndarray):
+        """A set of parameters learns from the first `cutoff` values."""
+        self.values, self.cutoffs = values, cutoffs
+
+    def fit(self, alpha, beta, gamma, phi):
+        """Per set: least squared error, and level, trend and seasons after its last day."""
+        order = np.argsort(-self.cutoffs, kind="stable")  # sets still learning are the first ones
+        cutoffs = self.cutoffs[order]
+        by_level, by_trend, by_season, damp = (p[order, None] for p in (alpha, alpha * beta, gamma, phi))
+        width = 1 + self.STATES
+        level, trend = np.zeros((len(order), width)), np.zeros((len(order), width))
+        seasons = np.zeros((SEASON, len(order), width))
+        level[:, 1] = trend[:, 2] = 1.0
+        for slot in range(SEASON - 1):
+            seasons[slot, :, 3 + slot], seasons[-1, :, 3 + slot] = 1.0, -1.0
+        products = np.zeros((len(order), width, width))
+        day = 0
+        for stop in sorted(set(cutoffs.tolist())):
+            active = int((cutoffs >= stop).sum())
+            held, factors = (level[:active], trend[:active]), (by_level[:active], by_trend[:active], by_season[:active], damp[:active])
+            while day < stop:
+                upto = min(stop, day + self._BLOCK)
+                errors = np.empty((active, width, upto - day))
+                for i in range(day, upto):
+                    errors[:, :, i - day] = self._step(self.values[i], *held, seasons[i % SEASON, :active], *factors)
+                products[:active] += errors @ errors.transpose(0, 2, 1)
+                day = upto
+        start = -np.linalg.pinv(products[:, 1:, 1:], rcond=1e-12, hermitian=True) @ products[:, 1:, :1]
+        mix = np.concatenate([np.ones((len(order), 1)), start[:, :, 0]], axis=1)
+        sse = np.einsum("si,sij,sj->s", mix, products, mix)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        of = lambda state: (state * mix).sum(axis=-1)
+        return np.maximum(sse, 0.0)[back], of(level)[back], of(trend)[back], np.stack([of(s) for s in seasons])[:, back]
+
+    @staticmethod
+    def _step(value, level, trend, season, by_level, by_trend, by_season, damp):
+        trend *= damp
+        level += trend
+        error = -level - season
+        error[:, 0] += value
+        level += by_level * error
+        trend += by_trend * error
+        season += by_season * error
+        return error
+
+
+# Bounds: beta is a share of alpha, gamma of 1 - alpha; each in its open interval.
+_SMALLEST, _LARGEST = np.array([1e-4, 1e-5, 1e-5, 1 - DAMPING[1]]), np.array([0.9999, 1.0, 1.0, 1 - DAMPING[0]])
+_COARSE = ([0.005, 0.03, 0.1, 0.3, 0.7], [1e-4, 0.05, 0.4], [1e-4, 0.03, 0.15, 0.5], [0.005, 0.03, 0.2])
+_FINEST = 0.01
+
+
+def _parameters(points: np.ndarray) -> list[np.ndarray]:
+    a, b, g, undamped = points.T
+    return [a, a * b, (1 - a) * g, 1 - undamped]
+
+
+def search_smoothing(values: np.ndarray, cutoffs: list[int]):
+    """Per cutoff: least squared error found, its parameters, and level, trend and seasons at the cutoff.
+
+    A coarse grid gives the starting points. From there all neighbours at one factor up and down in each parameter
+    are tried together; the best becomes the centre, or the factors shrink, until they are within 1%.
+    """
+    folds = np.arange(len(cutoffs))
+    grid = np.stack([m.ravel() for m in np.meshgrid(*_COARSE, indexing="ij")], axis=1)
+    moves = np.stack([m.ravel() for m in np.meshgrid(*[[-1.0, 0.0, 1.0]] * 4, indexing="ij")], axis=1)
+    ends = np.array(cutoffs)
+
+    def best_of(points: np.ndarray):
+        """points: folds × choices × 4."""
+        choices = points.shape[1]
+        sse, level, trend, seasons = Smoothing(values, np.repeat(ends, choices)).fit(*_parameters(points.reshape(-1, 4)))
+        at = folds * choices + sse.reshape(-1, choices).argmin(axis=1)
+        return sse[at], points.reshape(-1, 4)[at], level[at], trend[at], seasons[:, at]
+
+    found = best_of(np.tile(grid, (len(folds), 1, 1)))
+    width = np.full(len(folds), np.log(2.0))
+    while (width > _FINEST).any():
+        near = np.clip(found[1][:, None, :] * np.exp(moves[None] * width[:, None, None]), _SMALLEST, _LARGEST)
+        near[:, len(moves) // 2] = found[1]  # the centre itself, so that nothing gets worse
+        moved = best_of(near)
+        width = np.where(moved[0] < found[0] * (1 - 1e-9), width, width / 2)
+        found = moved
+    return found
 
 
 def _fit_holt_winters(horizon: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows.sort_values("pos")["y"].to_numpy(dtype=float)
-        a = np.array([0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
-        b = np.array([1e-4, 0.05, 0.2, 0.6])
-        g = np.array([1e-4, 0.02, 0.08, 0.2, 0.5])
-        p = np.array([0.8, 0.9, 0.97, 0.995])
-        sets = _parameter_sets(a, b, g, p)
-        best = None
-        for width in (2.0, 1.5, 1.2, None):
-            sse, level, trend, seasons = _smooth(values, *sets)
-            i = int(np.argmin(sse))
-            best = (sse[i], level[i], trend[i], seasons[:, i], sets[3][i])
-            if width is None:
-                break
-            near = np.array([1 / width, 1.0, width])
-            alpha = sets[0][i]
-            sets = _parameter_sets(
-                np.clip(alpha * near, 1e-4, 0.9999),
-                np.clip(sets[1][i] / alpha * near, 1e-5, 1.0),
-                np.clip(sets[2][i] / (1 - alpha) * near, 1e-5, 1.0),
-                np.clip(1 - (1 - sets[3][i]) * near, *DAMPING),
-            )
-        _, level, trend, seasons, phi = best
+        rows = rows.sort_values("pos")
+        values = rows["y"].to_numpy(dtype=float)
+        cutoffs = [len(values) - fold * horizon for fold in range(int(rows["n_folds"].iloc[0]) + 1)]
+        _, points, level, trend, seasons = search_smoothing(values, cutoffs)
         steps = np.arange(1, horizon + 1)
-        yhat = level + trend * np.cumsum(phi**steps) + seasons[(len(values) + steps - 1) % SEASON]
-        return pd.DataFrame(
-            {
-                "series": rows["series"].iloc[0],
-                "fold": int(rows["fold"].iloc[0]),
-                "step": steps.astype("int32"),
-                "yhat": yhat,
-            }
-        )
+        parts = []
+        for fold, cutoff in enumerate(cutoffs):
+            drift = trend[fold] * np.cumsum((1 - points[fold, 3]) ** steps)
+            yhat = level[fold] + drift + seasons[(cutoff + steps - 1) % SEASON, fold]
+            parts.append(pd.DataFrame({"series": rows["series"].iloc[0], "fold": fold, "step": steps.astype("int32"), "yhat": yhat}))
+        return pd.concat(parts)
 
     return fit
 
 
 def holt_winters(planned: DataFrame, wanted: DataFrame, horizon: int) -> DataFrame:
-    """Additive smoothing with damped trend and weekly season, parameters by least squared error.
+    """Additive smoothing with damped trend and weekly season; parameters and start state by least squared error.
 
-    Each (series, fold) is one group of at most one row per calendar day; its parameter sets are
-    tried side by side on arrays.
+    Each series is one group of at most one row per calendar day, which learns all its folds side by side.
     """
-    train = training_rows(planned, horizon).select("series", "fold", "pos", "y")
+    train = planned.select("series", "pos", "y", "n_folds")
     ship_package(planned.sparkSession)
-    fitted = train.groupBy("series", "fold").applyInPandas(
+    fitted = train.groupBy("series").applyInPandas(
         _fit_holt_winters(horizon), "series STRING, fold INT, step INT, yhat DOUBLE"
     )
     return wanted.join(fitted, ["series", "fold", "step"]).select(*wanted.columns, "yhat")
