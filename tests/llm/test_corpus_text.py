@@ -81,13 +81,19 @@ def entropy_spans(text):
     import math
 
     out = []
-    for name, _, pattern, least in secrets.CLASSES:
-        for m in re.finditer(f"{pattern}{{{secrets.WINDOW},}}", text):
-            if any(re.search(a, m[0]) for a in secrets.ALLOWED):
-                continue
-            last = None
-            for i in range(len(m[0]) - secrets.WINDOW + 1):
-                w = m[0][i : i + secrets.WINDOW]
+    public = ["[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "0123456789abcdef", "abcdefghijklmnop", "placeholder", "example", "changeme", "sample", "x{8}", "0{12}"]
+    for name, pattern, least in (("entropy_hex", "[0-9a-fA-F]", 3.0), ("entropy_base64", "[A-Za-z0-9+/=_-]", 3.8)):
+        for m in re.finditer(f"{pattern}{{20,}}", text):
+            run, last = m[0], None
+            for form in public:
+                run = re.sub(form, lambda f: " " * len(f[0]), run, flags=re.IGNORECASE)
+            for i in range(len(run) - 19):
+                w = run[i : i + 20]
+                upper, lower, digits = sum("A" <= c <= "Z" for c in w), sum("a" <= c <= "z" for c in w), sum("0" <= c <= "9" for c in w)
+                if " " in w or not upper + lower:
+                    continue
+                if not (digits and min(upper, lower) >= 3 if upper + lower + digits < 20 else digits or min(upper, lower) >= 5):
+                    continue
                 h = -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
                 if h >= least - 1e-9:
                     if last and last[2] >= m.start() + i:
@@ -126,13 +132,32 @@ def test_secrets_of_awkward_rows(spark):
         (24, "password=" + "x" * 9 + "\u017fecret=abcdefghij \u212aey", None, None),
         (25, "123e4567-e89b-12d3-a456-426614174000 /usr/local/lib/python3/site-packages/x9", None, None),
         (26, " ".join(f"token={i:010d}" for i in range(700)), None, None),
+        (27, "aws wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8vT3mN1a example_wJalrXUtnFEMIK7MDENGbPxRfiCYzQ8vT3mN1a", None, None),
+        (28, "kQwErTyUiOpAsDfGhJkLzXcVbNmPoIuYt getUserAccountNumberFromRepository usr/lib/some-long-package-name2/src", None, None),
+        (29, "b7Kq9ZxP3mWv5RtYc2Ln" * 3 + "EXAMPLE" + "d4f1a9c3e7b205861f9e" + "-" * 40 + "Zq8Xw2Ec4Rv6Tb1Yn3Um", None, None),
     ]
     docs = [*brute.AWKWARD, *rows]
     found = secrets.scan(brute.awkward(spark, docs)).collect()
     check_secrets(found, {r[0]: r[1] for r in docs})
+    by_id = {r["doc_id"]: r["spans"] for r in found}
+    assert by_id[27].count("entropy_base64") == 2 and "entropy_base64:0:" in by_id[28] and by_id[28].count("entropy") == 1
     assert secrets.scan(brute.awkward(spark).limit(0)).count() == 0
 
 
+def test_time_follows_the_length_of_a_run(spark):
+    import random
+    import time
+
+    pick = random.Random(1)
+    text = "".join(pick.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secrets.scan(docs.limit(0)).collect()
+    start = time.monotonic()
+    found = secrets.scan(docs).collect()
+    assert time.monotonic() - start < 30
+    check_secrets(found, {1: text})
+
+
 # --- chat
 
 
