@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from salespark.functions.numeric import exact_sum, share_pct
 from salespark.operators.clustering import euclidean_silhouettes, fit_all, nearest
-from salespark.operators.ranking import row_positions, value_distribution
+from salespark.operators.ranking import row_positions
 from salespark.operators.schema import order_count
+from salespark.operators.selection import order_statistics
 from salespark.session import stage
 
 # Limits of the segmentation.
@@ -70,20 +71,13 @@ def rfm_table(df: DataFrame, reference: date | Column | None = None, by: list[st
 def quintile_limits(customers: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The values at ranks n/5, 2n/5, 3n/5, 4n/5 of each metric (recency newest last), one row per group.
 
-    A score only depends on how many of these order statistics a value exceeds, so nothing is ranked
-    in one task and customers are never joined back to their rank.
+    A score only depends on how many of these order statistics a value exceeds, so customers are neither sorted nor
+    joined back to a rank.
     """
     by = list(by or [])
-    signed = customers.select(*by, (-F.col("recency")).alias("recency"), "frequency", "monetary")
-    ranked = value_distribution(signed, METRICS, by)
-
-    def limit(step: int) -> Column:
-        rank = F.floor(F.col("total") * step / F.lit(5))
-        found = F.min(F.when(F.col("upto") >= rank, F.col("value")))
-        return F.when(F.max(rank) < 1, F.lit(float("-inf"))).otherwise(found)
-
-    limits = ranked.groupBy(*by, "metric").agg(F.array(*[limit(s) for s in (1, 2, 3, 4)]).alias("limits"))
-    return limits.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("metric", "limits"))).alias("limits"))
+    signed = {"recency": -F.col("recency"), "frequency": F.col("frequency"), "monetary": F.col("monetary")}
+    found = order_statistics(customers, signed, [s / 5 for s in (1, 2, 3, 4)], lambda total, f: F.floor(total * F.lit(round(f * 5)) / F.lit(5)), by)
+    return found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("stats").alias("limits")))).alias("limits"))
 
 
 def add_scores(customers: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -150,15 +144,24 @@ def summarize_segments(customers: DataFrame, by: list[str] | None = None) -> Dat
 def pareto_share(customers: DataFrame, top_fraction: float = 0.2, by: list[str] | None = None) -> DataFrame:
     """% of revenue from the best-paying share of customers, one row per group.
 
-    Uses the cumulative counts of distinct amounts; a tie at the border is taken only in part.
+    The smallest amount still taken is an order statistic; larger amounts count in full, a tie at the border in part.
     """
     by = list(by or [])
-    sized = value_distribution(customers, ["monetary"], by)
-    top_n = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(top_fraction)))
-    better = F.col("total") - F.col("upto")
-    taken = F.greatest(F.lit(0), F.least(F.col("n"), top_n - better))
-    best, all_of_it = exact_sum(F.col("value") * taken), exact_sum(F.col("value") * F.col("n"))
-    return sized.groupBy(*by).agg((best / F.nullif(all_of_it, F.lit(0.0)) * 100).alias("pareto_pct"))
+    top = lambda total: F.greatest(F.lit(1), F.ceil(total * F.lit(top_fraction)))
+    amount = F.col("monetary").cast("double")
+    limits = order_statistics(customers, {"monetary": amount}, [1 - top_fraction], lambda total, _: total - top(total) + 1, by)
+    limits = stage(limits.select(*by, F.col("stats")[0].alias("least"), top(F.col("total")).alias("top_n")), "pareto-limits")
+    amounts = customers.select(*by, amount.alias("value")).where("value IS NOT NULL")
+    if by:
+        placed = amounts.join(limits, by)
+    else:
+        placed = amounts.select("*", limits.select(F.struct("least", "top_n")).scalar().alias("limit")).select("value", "limit.*")
+    larger = F.col("value") > F.col("least")
+    sums = placed.groupBy(*by).agg(
+        exact_sum(F.when(larger, F.col("value"))).alias("best"), F.count_if(larger).alias("taken"), exact_sum("value").alias("total"), F.first("least").alias("least"), F.first("top_n").alias("top_n")
+    )
+    taken = F.coalesce("best", F.lit(0.0)) + F.col("least") * (F.col("top_n") - F.col("taken"))
+    return sums.select(*by, (taken / F.nullif(F.col("total"), F.lit(0.0)) * 100).alias("pareto_pct"))
 
 
 def customer_kpis(customers: DataFrame, top_fraction: float = 0.2) -> DataFrame:
