@@ -30,8 +30,8 @@ from salespark.llm.layouts import MARK, NAMES, Maker
 from salespark.llm.markup import BLOCKS, HEADINGS, UNSEEN, Page, kept_text, read_page
 from salespark.session import shared_folder, ship_package, stage
 
-PAGES = 1200  # made-up pages that the model is fitted on
-TREES, DEPTH, STEP = 40, 5, 0.3
+PAGES = 1000  # made-up pages that the model is fitted on
+TREES, DEPTH, STEP = 20, 6, 0.4
 SEED = 13
 
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
