@@ -19,8 +19,9 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from salespark.llm.common import ascii_lower
 from salespark.session import ship_package, stage
@@ -159,17 +160,19 @@ def _pairs(ranges: DataFrame, chained: dict[int, tuple[int, list[int], int]]) ->
 
 def _neighbours(pairs: DataFrame) -> DataFrame:
     """(id, n_near, best): the number of near words, and of the one with the largest n (then smallest id): n and -id."""
-    members = pairs.groupBy("p", "s").agg(F.collect_list(F.struct("n", (-F.col("id")).alias("back"), "kind")).alias("m")).where("size(m) > 1")
+    own = F.struct("n", "kind", (-F.col("id")).alias("back"))
+    # sorted by Spark and told group by group: a pair shared by nobody costs no memory, a shared one at most an alphabet
+    members = pairs.select("p", "s", own.alias("a")).withColumn("m", F.collect_list("a").over(Window.partitionBy("p", "s"))).where("size(m) > 1")
 
-    def near(a, b):
+    def near(a: Column, b: Column) -> Column:
         replaced = (a["kind"] != CUT) & (b["kind"] != CUT)
-        shortened = F.least(a["kind"], b["kind"]).eqNullSafe(F.lit(CUT)) & F.greatest(a["kind"], b["kind"]).eqNullSafe(F.lit(FIRST_SKIP))
+        shortened = (F.least(a["kind"], b["kind"]) == CUT) & (F.greatest(a["kind"], b["kind"]) == FIRST_SKIP)
         return (a["back"] != b["back"]) & (replaced | shortened)
 
-    met = members.select(F.explode(F.transform("m", lambda a: F.struct(a["back"].alias("back"), F.filter("m", lambda b: near(a, b)).alias("others")))).alias("x"))
-    some = met.where("size(x.others) > 0").select(
-        (-F.col("x.back")).alias("id"), F.size("x.others").alias("others"),
-        F.array_max(F.transform("x.others", lambda b: F.struct(b["n"].alias("n"), b["back"].alias("back")))).alias("best"),
+    met = members.select("a.back", F.filter("m", lambda b: near(F.col("a"), b)).alias("others")).where("size(others) > 0")
+    some = met.select(
+        (-F.col("back")).alias("id"), F.size("others").alias("others"),
+        F.array_max(F.transform("others", lambda b: F.struct(b["n"].alias("n"), b["back"].alias("back")))).alias("best"),
     )
     return some.groupBy("id").agg(F.sum("others").alias("n_near"), F.max("best").alias("best"))
 
