@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salespark.session import stage
+
 # Fixed patterns: a Brazilian number with optional sign, currency, scale and %; and a date.
 NUMBER_PATTERN = (
     r"(?iU)((?:[-−](?=R\$|US\$))?(?:R\$|US\$)\s?)?"
@@ -131,3 +133,40 @@ def cited_rows(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(extract_numbers(F.col(text))).alias("position", "n")).select(
         *keys, "position", "n.*"
     )
+
+
+def verify_shared(answers: DataFrame, facts: DataFrame, key: list[str], answer: str = "answer") -> DataFrame:
+    """Add checked, verified, unverified (distinct texts in order) and ok to answers that share facts by `key`.
+
+    facts has the key, value and is_percent. A cited number accepts a band of values around it. Facts are put into
+    buckets whose width is the power of two below the band's: then of each bucket that the band touches only the least
+    and the largest fact matter, so facts shrink to one row per bucket before they meet the numbers, and neither
+    facts nor numbers of one key ever meet in pairs. The rules are those of `verify`; repeated answers are answered one
+    by one, answers without numbers are ok, and numbers of a null key are not supported.
+    """
+    told = stage(answers.withColumns({"_row": F.monotonically_increasing_id(), "_cited": extract_numbers(F.coalesce(F.col(answer), F.lit("")))}), "shared-answers")
+    cited = told.select("_row", *key, F.posexplode("_cited").alias("at", "c")).select("_row", *key, "at", "c.*")
+    limit = F.col("tolerance") + SLACK
+    cited = cited.withColumns({"limit": limit, "level": F.floor(F.log2(2 * limit)).cast("int")})
+    width = F.pow(F.lit(2.0), F.col("level"))
+    bucket = lambda x: F.floor(x / width)
+    reach = F.col("limit") * (1 + 1e-6)
+    touched = cited.withColumn("bucket", F.explode(F.sequence(bucket(F.col("value") - reach), bucket(F.col("value") + reach))))
+    touched = touched.withColumn("absolute", F.explode(F.when(F.col("signed"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    sides = F.array(F.struct(F.lit(False).alias("absolute"), F.col("value").alias("v")), F.struct(F.lit(True).alias("absolute"), F.abs("value").alias("v")))
+    known = facts.where("value IS NOT NULL").select(*key, F.coalesce("is_percent", F.lit(False)).alias("is_percent"), F.inline(sides)).distinct()
+    bands = known.join(cited.select(*key, "level").distinct(), key).withColumn("bucket", bucket(F.col("v")))
+    plain = F.when(~F.col("is_percent"), F.col("v"))
+    bands = bands.groupBy(*key, "level", "absolute", "bucket").agg(
+        F.min("v").alias("least"), F.max("v").alias("most"), F.min(plain).alias("least_plain"), F.max(plain).alias("most_plain")
+    )
+    pick = lambda side: F.when(F.col("is_percent"), F.col(side)).otherwise(F.col(f"{side}_plain"))
+    near = (F.col("value") - pick("most") <= F.col("limit")) & (pick("least") - F.col("value") <= F.col("limit"))
+    supported = touched.join(bands, [*key, "level", "absolute", "bucket"]).where(near).select("_row", "at").distinct()
+    found = supported.groupBy("_row").agg(F.collect_set("at").alias("_found"))  # at most the numbers of one answer
+    joined = told.join(found, "_row", "left")
+    placed = F.transform("_cited", lambda c, i: F.struct(c["text"].alias("text"), F.coalesce(F.array_contains("_found", i), F.lit(False)).alias("ok")))
+    unverified = F.array_distinct(F.transform(F.filter(placed, lambda c: ~c["ok"]), lambda c: c["text"]))
+    result = joined.withColumns({"checked": F.size("_cited"), "unverified": unverified})
+    result = result.withColumns({"verified": F.col("checked") - F.size("unverified"), "ok": F.size("unverified") == 0})
+    return result.drop("_row", "_cited", "_found")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from salespark.functions.numeric import exact_sum
 from salespark.operators.series import with_positions
-from salespark.session import ship_package
+from salespark.session import ship_package, stage
 
 ALPHA = 0.05
 DECLINE_THRESHOLD = -0.15
@@ -107,6 +107,69 @@ def mann_kendall(daily: DataFrame, alpha: float = ALPHA, exact_up_to: int = EXAC
     return tested.withColumns({"significant": significant, "direction": direction})
 
 
+def kendall_of_long(df: DataFrame, order: str, value: str, by: list[str], parts: int = 64) -> DataFrame:
+    """(by…, n, s, tau, p_value) of series of any length; null and NaN values don't count.
+
+    Rows are cut by quantiles of `order` into blocks and by quantiles of `value` into layers; a value equal to a
+    quantile is a layer of its own, so frequent values hold only ties. Pairs of different blocks and layers follow from
+    the table of cell sizes, pairs inside a block and pairs of one layer across blocks are counted by merging in tasks
+    of about n / parts rows. `order` should be unique in a series; equal ones are taken by value. p-values are those
+    of the normal approximation with tie correction; fewer than four values or a constant give (0, 0, 1).
+    """
+    rows = df.select(*by, F.col(order).alias("o"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    edges = stage(rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("o", steps, 100 * parts)).alias("o_edges"), F.array_distinct(F.percentile_approx("v", steps, 100 * parts)).alias("v_edges")), "kendall-edges")
+    above = lambda edges, x: F.size(F.filter(edges, lambda e: e < F.col(x)))
+    layer = 2 * above("v_edges", "v") + F.array_contains("v_edges", F.col("v")).cast("int")
+    placed = stage(rows.join(edges, by).select(*by, "o", "v", above("o_edges", "o").alias("block"), layer.alias("layer")), "kendall-rows")
+    ship_package(df.sparkSession)
+    keys = ", ".join(f"`{c}` {t}" for c, t in df.select(*by).dtypes)
+
+    def in_block(group: pd.DataFrame) -> pd.DataFrame:
+        s = _rise_minus_fall(group.sort_values(["o", "v"])["v"].to_numpy())
+        return group[by].iloc[:1].assign(s=s)
+
+    def in_layer(group: pd.DataFrame) -> pd.DataFrame:
+        """Of one layer, only what its blocks have not counted."""
+        group = group.sort_values(["o", "v"])
+        s = _rise_minus_fall(group["v"].to_numpy()) - sum(_rise_minus_fall(part.to_numpy()) for _, part in group.groupby("block")["v"])
+        return group[by].iloc[:1].assign(s=s)
+
+    def across(cells: pd.DataFrame) -> pd.DataFrame:
+        """At most parts * (2 * parts) cells."""
+        sizes = np.zeros((int(cells["block"].max()) + 1, int(cells["layer"].max()) + 1), dtype=object)
+        for block, where, n in zip(cells["block"], cells["layer"], cells["n"], strict=True):
+            sizes[block, where] = int(n)
+        earlier = np.cumsum(sizes, axis=0) - sizes
+        below = np.cumsum(earlier, axis=1) - earlier
+        s = (sizes * (below - (earlier.sum(axis=1, keepdims=True) - below - earlier))).sum()
+        return cells[by].iloc[:1].assign(s=int(s))
+
+    cells = placed.groupBy(*by, "block", "layer").agg(F.count(F.lit(1)).alias("n"))
+    parts_of_s = placed.groupBy(*by, "block").applyInPandas(in_block, f"{keys}, s long")
+    parts_of_s = parts_of_s.unionByName(placed.where("layer % 2 = 0").groupBy(*by, "layer").applyInPandas(in_layer, f"{keys}, s long"))
+    parts_of_s = parts_of_s.unionByName(cells.groupBy(*by).applyInPandas(across, f"{keys}, s long"))
+    t = F.col("t").cast("double")
+    ties = placed.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(
+        F.sum("t").alias("n"), F.sum(t * (t - 1) / 2).alias("tied"), F.sum(t * (t - 1) * (2 * t + 5)).alias("correction"), F.count(F.lit(1)).alias("distinct")
+    )
+    told = ties.join(parts_of_s.groupBy(*by).agg(F.sum("s").alias("s")), by)
+
+    def tested(batches):
+        for rows in batches:
+            p = []
+            for n, s, correction, plain in zip(rows["n"], rows["s"], rows["correction"], rows["plain"], strict=True):
+                spread = (n * (n - 1.0) * (2.0 * n + 5) - correction) / 18
+                p.append(1.0 if plain else math.erfc(abs(s) / math.sqrt(spread) / math.sqrt(2)))
+            yield rows.assign(p_value=p)[[*by, "n", "s", "tau", "p_value"]]
+
+    n, plain = F.col("n").cast("double"), (F.col("n") < 4) | (F.col("distinct") == 1)
+    pairs = n * (n - 1) / 2
+    tau = F.when(plain, F.lit(0.0)).otherwise(F.col("s") / F.sqrt(pairs * (pairs - F.col("tied"))))
+    ready = told.select(*by, "n", F.when(plain, F.lit(0)).otherwise(F.col("s")).cast("long").alias("s"), tau.alias("tau"), "correction", plain.alias("plain"))
+    return ready.mapInPandas(tested, f"{keys}, n long, s long, tau double, p_value double")
+
+
 def declining_categories(df: DataFrame, threshold: float = DECLINE_THRESHOLD, by: list[str] | None = None) -> DataFrame:
     """(category, change_pct) of categories whose second half fell by more than the threshold.
 
