@@ -6,7 +6,8 @@ of a task writes files of its own, and only those named in its result count.
 The reader takes a file apart into members (or, if it is not compressed, into records by their version lines). A
 record must have a complete head, its stated length, the closing blank lines and, where stated, the right digests.
 When a check fails, the reader searches for the next member or version line that starts a valid record, goes on
-from there, and reports the bytes between as a gap. Heads may have any length. Only one record is held in memory.
+from there, and reports the bytes between as a gap. Heads may have any length. Members are inflated as they are read:
+records before a fault inside a member are kept, and only one record is held in memory.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ DATE = "1970-01-01T00:00:00Z"  # fixed, so that reruns write equal archives
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
-_READ, _HEAD = 1 << 20, 1 << 16
+_READ, _HEAD, _PIECE = 1 << 20, 1 << 16, 1 << 14
+_BEGIN, _MEMBER = b"WARC/1.", re.compile(re.escape(MAGIC))
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT_VERSION = re.compile(rb"\nWARC/1\.[01]\r\n")
 
@@ -136,6 +138,12 @@ class Source:
         self.file.seek(at)
         return self.file.read(max(0, min(n, self.size - at)))
 
+    def has(self, at: int) -> bool:
+        return at < self.size
+
+    def forget(self, before: int) -> None:
+        """Nothing before this place will be read again."""
+
     def find(self, pattern: re.Pattern[bytes], at: int, longest: int) -> int:
         """Where `pattern` (matches of at most `longest` bytes) occurs first from `at` on; the size if nowhere."""
         while at < self.size:
@@ -148,7 +156,81 @@ class Source:
         return self.size
 
 
-def _head(source: Source, at: int) -> tuple[dict[str, str], int] | None:
+class Inflated:
+    """The content of the member at a place of a file, inflated as far as it is asked for."""
+
+    def __init__(self, source: Source, at: int):
+        self.source, self.place = source, at
+        self.machine, self.pending = zlib.decompressobj(31), b""
+        self.held, self.base = bytearray(), 0
+        self.ended = self.broken = False
+
+    @property
+    def size(self) -> int:
+        """How much there is; only known when all of it was asked for."""
+        return self.base + len(self.held)
+
+    @property
+    def consumed(self) -> int:
+        """The place in the file up to which the member was read."""
+        return self.place - len(self.pending) - len(self.machine.unused_data)
+
+    def _more(self) -> bool:
+        if self.ended:
+            return False
+        piece = self.pending
+        if not piece:
+            piece = self.source.read(self.place, _PIECE)
+            self.place += len(piece)
+        before = self.machine.copy() if self.size or self.machine.unconsumed_tail else zlib.decompressobj(31)
+        try:
+            self.held += self.machine.decompress(piece, _READ)
+            self.pending = self.machine.unconsumed_tail
+            self.ended = self.machine.eof
+            self.broken = not piece
+        except zlib.error:
+            self._upto_fault(before, piece)
+        self.ended |= self.broken
+        return not self.broken
+
+    def _upto_fault(self, machine: zlib._Decompress, piece: bytes) -> None:
+        """Byte by byte, so that all that comes before the fault is kept and its place is known."""
+        start = self.place - len(piece)
+        self.broken = True
+        try:
+            for i in range(len(piece)):
+                self.place = start + i + 1
+                self.held += machine.decompress(piece[i : i + 1])
+        except zlib.error:
+            pass
+        self.machine, self.pending = zlib.decompressobj(31), b""
+
+    def has(self, at: int) -> bool:
+        while self.size <= at and self._more():
+            pass
+        return self.size > at
+
+    def read(self, at: int, n: int) -> bytes:
+        self.has(at + n - 1)
+        return bytes(self.held[at - self.base : at - self.base + n])
+
+    def forget(self, before: int) -> None:
+        if before - self.base > _READ:
+            del self.held[: before - self.base]
+            self.base = before
+
+    def find(self, pattern: re.Pattern[bytes], at: int, longest: int) -> int:
+        while self.has(at):
+            if hit := pattern.search(self.held, at - self.base):
+                return self.base + hit.start()
+            at = max(at + 1, self.size - longest + 1)
+            self.forget(at)
+            if not self.has(self.size):
+                break
+        return self.size
+
+
+def _head(source: Source | Inflated, at: int) -> tuple[dict[str, str], int] | None:
     """Fields by lower-case name, and the length of the head; None if no complete record head begins there.
 
     The head is read in growing pieces up to its blank line, the next version line or the end.
@@ -160,7 +242,7 @@ def _head(source: Source, at: int) -> tuple[dict[str, str], int] | None:
             return None
         end = data.find(END, seen)
         following = _NEXT_VERSION.search(data, max(seen - 11, 0))
-        if following and not 0 <= end < following.start() or end < 0 and at + len(data) >= source.size:
+        if following and not 0 <= end < following.start() or end < 0 and not source.has(at + len(data)):
             return None
         seen, size = max(len(data) - len(END) + 1, 0), 2 * size
     fields = {}
@@ -188,16 +270,17 @@ def _fault(head: dict[str, str], block: bytes) -> str:
     return ""
 
 
-def plain_records(source: Source) -> Iterator[Found]:
+def plain_records(source: Source | Inflated) -> Iterator[Found]:
     at, bad, reason = 0, None, ""
-    while at < source.size:
+    while source.has(at):
+        source.forget(at)
         parsed = _head(source, at)
         fault = "no record head"
         if parsed:
             head, skip = parsed
             length = int(head["content-length"])
             end = at + skip + length + len(END)
-            fault = "cut off" if end > source.size else ""
+            fault = "" if source.has(end - 1) else "cut off"
             if not fault:
                 block = source.read(at + skip, length)
                 fault = "length" if source.read(end - len(END), len(END)) != END else _fault(head, block)
@@ -215,58 +298,51 @@ def plain_records(source: Source) -> Iterator[Found]:
         yield Found(bad, source.size, None, reason=reason)
 
 
-def _inflate(source: Source, at: int) -> tuple[bytes, int] | None:
-    """The member at a position and where it ends; None if it is damaged or cut off."""
-    machine, parts, place = zlib.decompressobj(31), [], at
-    try:
-        while not machine.eof:
-            piece = source.read(place, _READ)
-            if not piece:
-                return None
-            place += len(piece)
-            parts.append(machine.decompress(piece))
-            if len(parts) == 1 and not b"WARC/1.".startswith(parts[0][:7]) and not parts[0].startswith(b"WARC/1."):
-                return None  # not worth inflating
-    except zlib.error:
-        return None
-    return b"".join(parts), place - len(machine.unused_data)
+def _begins_record(member: Inflated) -> bool:
+    return member.read(0, len(_BEGIN)) == _BEGIN
 
 
 def compressed_records(source: Source) -> Iterator[Found]:
+    """Records and gaps. A record's place is its member's first byte and how far the member had been read by then."""
     at, bad, reason = 0, None, ""
     while at < source.size:
-        fault = "damaged member"
-        if inflated := _inflate(source, at):
-            data, end = inflated
-            inside = list(plain_records(Source(pa.BufferReader(data))))
-            if data and all(x.head is None for x in inside):
-                fault = inside[0].reason
-                if bad is None:
-                    bad, reason = at, fault
-                at = end
+        member, upto, gaps = Inflated(source, at), at, []
+        worth = _begins_record(member)
+        for x in plain_records(member) if worth else ():
+            if x.head is None:
+                gaps.append(x)
                 continue
+            if not member.has(x.end) and member.broken:
+                break  # the closing check right behind it failed
             if bad is not None:
                 yield Found(bad, at, None, reason=reason)
                 bad = None
-            # gaps inside a member of several records cover the member's bytes
-            yield from (Found(at, end, x.head, x.block, x.reason) for x in inside)
-            at = end
+            upto = member.consumed
+            yield from (Found(at, upto, None, reason=g.reason) for g in gaps)
+            yield Found(at, upto, x.head, x.block)
+            gaps = []
+        if worth and member.ended and not member.broken:
+            if upto > at:
+                yield from (Found(at, member.consumed, None, reason=g.reason) for g in gaps)
+            elif bad is None:
+                bad, reason = at, gaps[0].reason
+            at = member.consumed
             continue
         if bad is None:
-            bad, reason = at, fault
-        at = source.find(re.compile(re.escape(MAGIC)), at + 1, 3)
-    if bad is not None:
+            bad, reason = upto, "damaged member"
+        at = source.find(_MEMBER, max(upto, at + 1), len(MAGIC))
+    if bad is not None and bad < source.size:
         yield Found(bad, source.size, None, reason=reason)
 
 
 def salvage(file: pa.NativeFile) -> Iterator[Found]:
-    source, magic = Source(file), re.compile(re.escape(MAGIC))
+    source = Source(file)
     # a damaged start doesn't decide: the kind is that of the first intact beginning
-    line, at = source.find(_VERSION_LINE, 0, 10), source.find(magic, 0, 3)
+    line, at = source.find(_VERSION_LINE, 0, 10), source.find(_MEMBER, 0, len(MAGIC))
     while at < line:
-        if _inflate(source, at):
+        if _begins_record(Inflated(source, at)):
             return compressed_records(source)
-        at = source.find(magic, at + 1, 3)
+        at = source.find(_MEMBER, at + 1, len(MAGIC))
     return plain_records(source)
 
 

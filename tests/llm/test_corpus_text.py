@@ -284,6 +284,22 @@ def test_salvage_goes_on_after_damage(packed):
     assert sum(x.head is not None for x in junk) == 6 and junk[0].head is None and junk[-1].head is None
 
 
+def test_salvage_inside_a_member():
+    """500 records in one member: those before a fault are kept, and so is the next member."""
+    records = [warc.record(i, "u", f"text {i} {i * i} ".encode() * 30, None, False) for i in range(500)]
+    packed, last = gzip.compress(b"".join(records)), warc.member(warc.record(500, "u", b"last", None, False))
+    whole = found_in(packed + last)
+    assert len(whole) == 501 and whole[499].end == len(packed) and whole[500].end == len(packed) + len(last)
+    for place in (len(packed) // 3, len(packed) // 2, len(packed) - 40):
+        hurt = packed[:place] + bytes([packed[place] ^ 0xFF]) + packed[place + 1 :]
+        got = found_in(hurt + last)
+        ids = [int(re.search(r"\d+", x.head["warc-record-id"])[0]) for x in got if x.head]
+        assert ids == sorted(set(ids)) and ids[-1] == 500 and len(ids) > 500 * place / len(packed) - 40
+        assert [records[i].partition(b"\r\n\r\n")[2][:-4] for i in ids[:-1]] == [x.block for x in got if x.head][:-1]
+        gaps = [x for x in got if x.head is None]
+        assert any(x.start <= place + 1 and place <= x.end for x in gaps) and all(x.end <= len(hurt) for x in gaps)
+
+
 def test_salvage_of_other_shapes():
     records = b"".join(warc.record(i, None, b"x" * i, None, False) for i in range(4))
     assert [x.head is not None for x in found_in(gzip.compress(records))] == [True] * 4
