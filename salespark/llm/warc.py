@@ -17,6 +17,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -163,8 +164,16 @@ class Inflated:
         self.source, self.place = source, at
         self.machine, self.pending = zlib.decompressobj(31), b""
         self.held, self.base = bytearray(), 0
+        self.marks = [(0, at)]  # how much there was when the file had been read up to a place
         self.ended = self.broken = False
 
+    def places(self, at: int) -> tuple[int, int]:
+        """Two places of the file between which content before `at` ended."""
+        i = bisect_right(self.marks, (at, 0))
+        i += i < len(self.marks) and self.marks[i][0] == at
+        low, self.marks = self.marks[max(i - 1, 0)][1], self.marks[max(i - 1, 0) :]
+        return low, next((place for size, place in self.marks if size >= at), self.consumed)
+
     @property
     def size(self) -> int:
         """How much there is; only known when all of it was asked for."""
@@ -188,6 +197,7 @@ class Inflated:
             self.pending = self.machine.unconsumed_tail
             self.ended = self.machine.eof
             self.broken = not piece
+            self.marks.append((self.size, self.consumed))
         except zlib.error:
             self._upto_fault(before, piece)
         self.ended |= self.broken
@@ -306,7 +316,7 @@ def compressed_records(source: Source) -> Iterator[Found]:
     """Records and gaps. A record's place is its member's first byte and how far the member had been read by then."""
     at, bad, reason = 0, None, ""
     while at < source.size:
-        member, upto, gaps = Inflated(source, at), at, []
+        member, upto, gaps, good = Inflated(source, at), at, [], False
         worth = _begins_record(member)
         for x in plain_records(member) if worth else ():
             if x.head is None:
@@ -317,12 +327,14 @@ def compressed_records(source: Source) -> Iterator[Found]:
             if bad is not None:
                 yield Found(bad, at, None, reason=reason)
                 bad = None
-            upto = member.consumed
-            yield from (Found(at, upto, None, reason=g.reason) for g in gaps)
-            yield Found(at, upto, x.head, x.block)
+            upto, end = member.places(x.end)
+            end = member.consumed if member.ended and member.size == x.end else end
+            yield from (Found(at, end, None, reason=g.reason) for g in gaps)
+            yield Found(at, end, x.head, x.block)
+            good = True
             gaps = []
         if worth and member.ended and not member.broken:
-            if upto > at:
+            if good:
                 yield from (Found(at, member.consumed, None, reason=g.reason) for g in gaps)
             elif bad is None:
                 bad, reason = at, gaps[0].reason
