@@ -323,6 +323,22 @@ def text_table_file(spark, sf):
     return files.read_table(spark, path)
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS "Código do Pedido", 'R$ ' || translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS "Valor Total",
+CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS "Descrição" FROM orders""")
+def mixed_table_files(spark, sf):
+    """Three kinds of CSV in one folder: semicolons in Latin-1, commas in UTF-8 with other column order, tabs with a column less."""
+    from salespark.functions.formatting import format_brl
+
+    path = _folder(spark, "mixed")
+    key = F.col("o_orderkey")
+    code, total = key.cast("string").alias("Código do Pedido"), format_brl(F.col("o_totalprice")).alias("Valor Total")
+    kind = F.col("o_orderpriority").alias("Descrição")
+    orders = table(spark, sf, "orders")
+    for i, (columns, sep, encoding) in enumerate([((code, total, kind), ";", "ISO-8859-1"), ((kind, code, total), ",", "UTF-8"), ((total, code), "\t", "UTF-8")]):
+        orders.where(key % 3 == i).select(*columns).write.option("header", True).option("sep", sep).option("encoding", encoding).csv(f"{path}/{i}")
+    return files.read_mixed_tables(spark, f"{path}/*/*.csv").drop("_file")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS lines FROM (SELECT 1 FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2001-01-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem))")
 def saved_orders(spark, sf):
     """The orders table without its linking code, written and loaded."""

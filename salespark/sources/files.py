@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salespark.operators import schema
+from salespark.session import stage
 
 # Tables and columns of the raw multi-table order source.
 RAW_TABLES = {
@@ -82,6 +83,46 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[name.lstrip("﻿") for name in df.columns])
 
 
+SEPARATORS = (";", ",", "\t")
+
+
+def _fields(line: Column, separator: Column, width: int) -> Column:
+    """The parts of a line, as many as it has columns at most; what is missing is null."""
+    row = ", ".join(f"c{i} STRING" for i in range(width))
+    options = {"ignoreLeadingWhiteSpace": "true", "escape": '"', "mode": "PERMISSIVE"}
+    cut = None
+    for sign in SEPARATORS:
+        parsed = F.from_csv(line, row, options | {"sep": sign})
+        listed = F.array(*[parsed[f"c{i}"] for i in range(width)])
+        cut = F.when(separator == sign, listed) if cut is None else cut.when(separator == sign, listed)
+    return cut
+
+
+def read_mixed_tables(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files typed by different people as one table of text columns, with the file of each row as `_file`.
+
+    Separator and encoding are decided for every file: the separator from its first line that is not blank, UTF-8 unless any
+    of its lines fails to decode. Columns are matched by header name; a file without a column has nulls there.
+    Files are split by byte ranges as Spark's text source does, so a field must not hold a line break. Blank
+    lines and lines that repeat the header are left out.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), at.alias("_at")).where(F.trim("value") != "")
+    styles = lines.groupBy("_file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("_latin"), F.min_by("value", "_at").alias("_header"))
+    decoded = lambda c: F.when(F.col("_latin"), F.decode(F.col(c).cast("binary"), "ISO-8859-1")).otherwise(F.col(c))
+    counts = [F.struct(F.size(F.split("_header", sign)).alias("n"), F.lit(-i).alias("rank"), F.lit(sign).alias("sign")) for i, sign in enumerate(SEPARATORS)]
+    styles = stage(styles.withColumn("_best", F.array_max(F.array(*counts))).select("_file", "_latin", "_header", F.col("_best.sign").alias("_separator"), F.col("_best.n").alias("_width")), "file-styles")
+    width = styles.agg(F.max("_width")).first()[0]
+    if width is None:
+        raise ImportFileError("Não foi possível ler os arquivos: estão vazios.")
+    header = F.translate(decoded("_header"), "\ufeff", "")
+    styles = stage(styles.withColumn("_names", F.transform(F.filter(_fields(header, F.col("_separator"), width), lambda n: n.isNotNull()), lambda n: F.trim(n))), "file-headers")
+    names = [r[0] for r in styles.select(F.explode("_names").alias("n")).distinct().orderBy("n").collect()]  # column names, not rows
+    rows = lines.join(styles, "_file").where(F.col("value") != F.col("_header"))
+    cut = rows.select("_file", "_names", _fields(decoded("value"), F.col("_separator"), width).alias("_fields"))
+    return cut.select(*[F.get("_fields", F.array_position("_names", name).cast("int") - 1).alias(name) for name in names], "_file")
+
+
 def load_sales(spark: SparkSession, path: str) -> DataFrame:
     """A prepared sales table, validated; order rows with `orderBy` only where they leave Spark."""
     return schema.validate(spark.read.parquet(path), source=path)
