@@ -8,8 +8,9 @@ return to their row by its number in a written table.
 
 Types: e-mail addresses (reserved domains), phone numbers (country code kept), payment cards (with a valid check digit
 before and after, first digit kept), IPv4 addresses (private range), social security numbers (unassigned range), and
-names after a title (by gender of the title and by script; the last of several words is the surname). Numbers that fail their
-check are left alone.
+names after a title (by gender of the title and by script; the last of several words is the surname). A name with a
+title anywhere in a document is also replaced where it stands there without one. A given name has the gender that its titles tell in the
+whole table, none if they disagree. Numbers that fail their check are left alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from salespark.llm.common import partitions
 from salespark.session import stage
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -36,7 +38,7 @@ ANY = "|".join((EMAIL, PHONE, SSN, IP, CARD, NAME))
 #: Each alternative of ANY contains one of these: e-mail @; phones +d, (ddd) or ddd-d; SSN ddd-d; IP d.d; cards 13 digits; names a title.
 HINT = rf"@|\+\d|\(\d{{3}}\)|\d{{3}}-\d|\d\.\d|\d(?:[ -]?\d){{12}}|{TITLE}\p{{Lu}}"
 KINDS = ("email", "phone", "card", "ip", "ssn", "name")
-MOST_ROUNDS = 100
+MOST_IDLE = 100  # rounds in a row without a free surrogate
 
 _PIECE = "array<struct<kind:string,surface:string,canonical:string>>"
 _LATIN, _SYLLABLES = "abcdefghijklmnopqrstuvwxyz", ("ba", "de", "fi", "go", "ka", "le", "mi", "no", "ra", "se", "ti", "vo", "la", "ne", "ro", "ve")
@@ -113,7 +115,7 @@ def _made(key: str) -> Column:
     ip = F.concat_ws(".", F.lit("10"), *[number(h, F.lit(i)).cast("string") for i in range(3)])
     ssn = F.concat(F.lit("9"), random.substr(2, 8))
     syllable = lambda i: F.element_at(F.array(*map(F.lit, _SYLLABLES)), number(h, i) % len(_SYLLABLES) + 1)
-    stem = F.array_join(F.transform(F.sequence(F.lit(1), 2 + F.floor(F.col("salt") / 3).cast("int")), lambda i: syllable(i)), "")
+    stem = F.array_join(F.transform(F.sequence(F.lit(1), 2 + F.col("salt")), lambda i: syllable(i)), "")
     ending = F.when(F.col("kind").startswith("given_m"), "n").when(F.col("kind").startswith("given_f"), "na").when(F.col("kind").startswith("surname"), "sen").otherwise("")
     name = F.initcap(F.concat(stem, ending))
     name = F.when(F.col("kind").endswith("cyrillic"), F.initcap(F.translate(F.lower(name), _LATIN, _CYRILLIC))).otherwise(name)
@@ -122,18 +124,56 @@ def _made(key: str) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canonical, surrogate) for distinct (kind, canonical); surrogates differ from each other and from all entities."""
-    taken = entities.select("kind", F.col("canonical").alias("_taken"), F.lit(True).alias("_is_taken"))
+    """(kind, canonical, surrogate) for distinct (kind, canonical); surrogates differ from each other and from all entities.
+
+    Only entities that clash go on to the next round, against the surrogates settled by then.
+    """
+    spark, n = entities.sparkSession, partitions(entities)
+    taken = stage(entities.select("kind", F.col("canonical").alias("form")), "pii-entities")
+    # few bytes, but costly expressions: dealt out by hand, or they would all be one task
     current = entities.select("kind", "canonical", F.lit(0).alias("salt"))
-    same = W.partitionBy("kind", F.lower("surrogate")).orderBy("salt", "canonical")
-    for _ in range(MOST_ROUNDS):
-        made = current.withColumn("surrogate", _made(key)).withColumn("n", F.row_number().over(same))
-        met = made.join(taken, (made["kind"] == taken["kind"]) & (F.lower("surrogate") == F.col("_taken")), "left").select(made["kind"], "canonical", "salt", "surrogate", ((F.col("n") > 1) | F.col("_is_taken").isNotNull()).alias("clash"))
+    done, idle = spark.createDataFrame([], "kind string, canonical string, surrogate string"), 0
+    while True:
+        made = stage(current.repartition(n, "kind", "canonical").withColumn("surrogate", _made(key)).withColumn("form", F.lower("surrogate")), "pii-made")
+        first = F.row_number().over(W.partitionBy("kind", "form").orderBy("salt", "canonical"))
+        used = taken.unionByName(done.select("kind", F.lower("surrogate").alias("form"))).withColumn("used", F.lit(True)).distinct()
+        met = made.withColumn("n", first).join(used, ["kind", "form"], "left").select("kind", "canonical", "salt", "surrogate", ((F.col("n") > 1) | F.col("used").isNotNull()).alias("clash"))
         settled = stage(met, "pii-surrogates")
-        if not settled.where("clash").limit(1).count():
-            return settled.select("kind", "canonical", "surrogate")
-        current = settled.select("kind", "canonical", (F.col("salt") + F.col("clash").cast("int")).alias("salt"))
-    raise ValueError("Surrogates still clash; the entities leave too few forms.")
+        found = settled.agg(F.count_if("clash"), F.count_if(~F.col("clash"))).first()
+        done = done.unionByName(settled.where("not clash").select("kind", "canonical", "surrogate"))
+        if not found[0]:
+            return done
+        idle = 0 if found[1] else idle + 1
+        if idle == MOST_IDLE:
+            raise ValueError(f"{found[0]} entities find no free surrogate; their types have too few forms.")
+        current = settled.where("clash").select("kind", "canonical", (F.col("salt") + 1).alias("salt"))
+
+
+def _with_gender(entities: DataFrame) -> DataFrame:
+    """(kind, canonical, resolved): kinds of given names with the gender that all mentions of the name agree on."""
+    script = F.regexp_extract("kind", "^given_._(.*)$", 1)
+    given = entities.where("kind LIKE 'given%'").groupBy(script.alias("script"), "canonical")
+    told = given.agg(F.bool_or(F.col("kind").startswith("given_m")).alias("m"), F.bool_or(F.col("kind").startswith("given_f")).alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("u")
+    told = told.select("script", "canonical", F.concat(F.lit("given_"), gender, F.lit("_"), "script").alias("resolved"))
+    return entities.withColumn("script", script).join(told, ["script", "canonical"], "left").select("kind", "canonical", F.coalesce("resolved", "kind").alias("resolved"))
+
+
+def _untitled(pieces: Column) -> Column:
+    """The pieces, with the names among them also found in the texts between."""
+    named = F.filter(pieces, lambda p: F.coalesce(p["kind"].rlike("^(given|surname)"), F.lit(False)))
+    names = F.array_sort(F.array_distinct(F.transform(named, lambda p: F.struct(p["kind"].alias("kind"), p["canonical"].alias("canonical")))))  # given names first
+    either = F.array_join(F.array_distinct(F.transform(names, lambda n: n["canonical"])), "|")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?=\p{Lu})(?iu:"), either, F.lit(r")(?![\p{L}\p{N}])"))
+    literal = lambda g: _piece(F.lit(None), g, F.lit(None))
+    kind_of = lambda h: F.filter(names, lambda n: n["canonical"] == F.lower(h))[0]["kind"]
+
+    def apart(text: Column) -> Column:
+        gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+        return F.flatten(F.zip_with(gaps, hits, lambda g, h: F.when(h.isNull(), F.array(literal(g))).otherwise(F.array(literal(g), _piece(kind_of(h), h, F.lower(h))))))
+
+    spread = F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull() & (p["surface"] != ""), apart(p["surface"])).otherwise(F.array(p)))).cast(_PIECE)
+    return F.when(F.size(named) > 0, spread).otherwise(pieces)
 
 
 def _rendered(piece: Column, known: Column) -> Column:
@@ -165,10 +205,13 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     plain = docs.where(~hinted).select(*[F.col(f"`{c}`") for c in columns], nothing.alias("entities"))
     # the row stays in one column while others are added, so that its names can't clash with them
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_"))
-    marked = stage(docs.where(hinted).select(row.alias("row"), _pieces(text).alias("pieces"), F.monotonically_increasing_id().alias("uid")), "pii-pieces")
+    marked = docs.where(hinted).select(row.alias("row"), _pieces(text).alias("pieces"), F.monotonically_increasing_id().alias("uid"))
+    marked = stage(marked.withColumn("pieces", _untitled(F.col("pieces"))), "pii-pieces")
     real = F.filter("pieces", lambda p: p["kind"].isNotNull())
     mentions = marked.select("uid", F.explode(F.array_distinct(F.transform(real, lambda p: F.struct(p["kind"].alias("kind"), p["canonical"].alias("canonical"))))).alias("e")).select("uid", "e.kind", "e.canonical")
-    table = surrogates(mentions.select("kind", "canonical").distinct(), key)
+    entities = stage(_with_gender(mentions.select("kind", "canonical").distinct()), "pii-genders")
+    made = surrogates(entities.select(F.col("resolved").alias("kind"), "canonical").distinct(), key)
+    table = entities.join(made.withColumnRenamed("kind", "resolved"), ["resolved", "canonical"]).select("kind", "canonical", "surrogate")
     known = (
         mentions.join(table, ["kind", "canonical"])
         .groupBy("uid")

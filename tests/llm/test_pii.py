@@ -120,3 +120,23 @@ def test_every_match_implies_the_hint(spark):
     table = spark.createDataFrame([(t,) for t in [*texts, *PHONES]], "text string")
     hits = table.where(table["text"].rlike(pii.ANY))
     assert hits.count() > 1000 and hits.where(~hits["text"].rlike(pii.HINT)).count() == 0
+
+
+def test_names_without_their_title_and_gender_of_all_mentions(spark):
+    texts = [
+        "Mr. John Smith met Anna. Smith said so, and SMITH'S brother John too; smithy, Johnson and will stay.",
+        "Dr. Anna Weber called. Anna answered.", "Frau Anna Weber and Weber-Haus", "Dr. Kim Lee", "Herr Kim Lee, Frau Kim Lee",
+    ]
+    first, second, third, fourth, fifth = replaced(spark, texts)
+    m = re.fullmatch(r"Mr\. (\w+n) (\w+sen) met Anna\. (\w+) said so, and (\w+)'S brother (\w+) too; smithy, Johnson and will stay\.", first)
+    assert m and m[3] == m[2] and m[4] == m[2].upper() and m[5] == m[1]
+    a, b = re.fullmatch(r"Dr\. (\w+na) (\w+sen) called\. (\w+) answered\.", second), re.match(r"Frau (\w+na) (\w+sen) and", third)
+    assert a and b and a[1] == b[1] == a[3] and a[2] == b[2] and "Weber" not in second
+    kims = re.findall(r"(?:Dr\.|Herr|Frau) (\w+)", fourth + fifth)
+    assert len(kims) == 3 and len(set(kims)) == 1
+
+
+def test_many_names_settle(spark):
+    names = spark.range(20_000).selectExpr("'surname_latin' as kind", "concat('n', id) as canonical")
+    rows = pii.surrogates(names, "k").collect()
+    assert len(rows) == len({r["surrogate"].lower() for r in rows}) == 20_000
