@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from salespark.llm import language, mixing, near, pii
 from salespark.llm.common import table
 from salespark.llm.decontamination import decontaminate
-from salespark.session import stage
+from salespark.session import drop_stages, stage, stages_written
 
 #: The pseudonyms of this pipeline's test runs; real runs pass a secret key to `pii.pseudonymize`.
 PII_KEY = "corpus-pipeline"
@@ -27,6 +27,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word Jaccard similarity of 0.8 or more): that with the smallest id, once.
 
+    SimHash links are candidates here as MinHash bands are; every link is verified on the full shingle sets.
+
     A document without an id gets one from its text here, larger than real ids are.
     """
     own = F.coalesce("doc_id", (F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)))
@@ -73,7 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order. What a stage wrote in between, and its input, are deleted once its result is written."""
+    docs, start = table(spark, sf_dir, "documents"), stages_written(spark)
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_stages(spark, start, but_last=1)
     return docs

@@ -8,11 +8,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from salespark.functions.numeric import exact_sum
-from salespark.operators import customers, periods, preparation, textnum
+from salespark.operators import customers, periods, preparation, textnum, variance
 from salespark.operators.periods import SalesFilters
 from salespark.plans import facts as fact_rows
 from salespark.plans import ground_truth, report
-from salespark.plans.api import SalesQueries
+from salespark.plans.api import MESSAGES, SalesQueries
 from salespark.plans.catalog import DAILY_CTE, query, rounded, with_sales
 from salespark.plans.customer_queries import RFM_CTE
 from salespark.plans.sales_queries import BOTH, BRIDGE_CTE, CUR, HALF, dates_of
@@ -145,6 +145,70 @@ def api_customer_segments(spark, sf):
     return rows.drop("receita_dos_20pct_melhores_clientes", "acao_sugerida")
 
 
+# Requests that cannot be answered, and the sentence for each (first and last stand for the ends of the base).
+_KPI_PARAMETERS = "data_inicio, data_fim, categorias, regioes"
+_YEAR = {"data_inicio": "2000-01-01", "data_fim": "2000-12-31"}
+REFUSED = [
+    ("lucro", {}, "Consulta 'lucro' não existe. Existem: kpis, ranking, receita_mensal, comparar_com_periodo_anterior, anomalias, previsao, segmentos_de_clientes."),
+    ("kpis", {**_YEAR, "loja": "x"}, f"A consulta não tem o parâmetro loja. Ela aceita: {_KPI_PARAMETERS}."),
+    ("kpis", {"data_inicio": "2000-01-01"}, "Falta o parâmetro data_fim."),
+    ("kpis", {**_YEAR, "data_fim": "31/12/2000"}, "data_fim precisa ser um dia no formato AAAA-MM-DD."),
+    ("kpis", {"data_inicio": "2000-05-02", "data_fim": "2000-05-01"}, "O período começa em 2000-05-02 e termina antes, em 2000-05-01."),
+    ("kpis", {"data_inicio": "1900-01-01", "data_fim": "1900-12-31"}, "O período não toca a base, que cobre first a last."),
+    ("ranking", {**_YEAR, "dimensao": "loja"}, "dimensao precisa ser um destes valores: categoria, regiao, produto."),
+    ("ranking", {**_YEAR, "dimensao": "regiao", "limite": "muitos"}, "limite precisa ser um número inteiro."),
+    ("previsao", {"horizonte_dias": 45}, "horizonte_dias precisa ser um destes valores: 30, 60, 90."),
+    ("kpis", {**_YEAR, "regioes": ["ATLANTIS", "ASIA"]}, "regioes contém nomes que a base não tem: ATLANTIS. Alguns que ela tem: AFRICA, AMERICA, ASIA, EUROPE, MIDDLE EAST."),
+]
+_REFUSED_SQL = " UNION ALL ".join("SELECT {} AS number, '{}' AS text".format(i, text.replace("'", "''")) for i, (_, _, text) in enumerate(REFUSED))
+
+
+@query(with_sales(f""", e AS (SELECT CAST(min(CAST(date AS DATE)) AS VARCHAR) AS a, CAST(max(CAST(date AS DATE)) AS VARCHAR) AS z FROM sales)
+SELECT number, replace(replace(text, 'first', a), 'last', z) AS erro FROM ({_REFUSED_SQL}) CROSS JOIN e"""))
+def api_refusals(spark, sf):
+    """What unanswerable requests are told: unknown names, missing and wrong parameters, periods beside the base."""
+    tools, found = api(spark, sf), None
+    for i, (name, args, _) in enumerate(REFUSED):
+        row = tools.run(name, args).select(F.lit(i).alias("number"), "erro")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query(with_sales("SELECT DISTINCT 'Sem vendas em um dos dois períodos, não há o que comparar.' AS erro FROM sales"))
+def bridge_without_sales(spark, sf):
+    """A comparison with a period that has no sales is refused before anything is joined."""
+    now = sales(spark, sf, ["date", "category", "units", "revenue"])
+    try:
+        variance.revenue_bridge(now, now.where("units > 1000000000"))[1].collect()
+        text = None
+    except variance.EmptyPeriodError:
+        text = MESSAGES["nothing"]
+    return now.select(F.lit(text).alias("erro")).distinct()
+
+
+_LEVELS = "(['alta', 'média', 'baixa'])[{} % 3 + 1]"
+_ICON = "CASE {} WHEN 'alta' THEN '{}' WHEN 'média' THEN '{}' ELSE '{}' END".format("level", *[report.ICONS[k] for k in ("alta", "média", "baixa")])
+
+
+@query(f"""WITH parts AS (SELECT n_nationkey AS k, n_name AS series, i, {_LEVELS.format('(n_nationkey + i * (n_nationkey + 1))')} AS level FROM nation, range(4) r(i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY list_position(['alta', 'média', 'baixa'], level), i) AS place FROM parts),
+told AS (SELECT k, series, string_agg('- ' || {_ICON} || ' **risco ' || i || '** (gravidade ' || level || '): ' || k, chr(10) ORDER BY place) AS risks,
+  string_agg(place || '. **ação ' || i || '** (prioridade ' || level || ') — ' || k, chr(10) ORDER BY place) AS actions FROM ranked GROUP BY ALL)
+SELECT series, concat_ws(chr(10), '**' || series || '**', '', '## Destaques do Período', '', '- chave ' || k, '', '## Diagnóstico de Pontos Críticos / Gargalos', '', risks,
+'', '## Plano de Ação Estratégico Sugerido', '', actions) AS markdown FROM told""")
+def rendered_reports(spark, sf):
+    """Reports of made-up content per nation as text: the gravest risks and actions first, otherwise in their order."""
+    key = F.col("n_nationkey")
+    level = lambda i: F.element_at(F.array(*[F.lit(x) for x in ("alta", "média", "baixa")]), ((key + i * (key + 1)) % 3 + 1).cast("int"))
+    text = key.cast("string")
+    risks = F.array(*[F.struct(F.lit(f"risco {i}").alias("title"), text.alias("evidence"), level(i).alias("severity")) for i in range(4)])
+    actions = F.array(*[F.struct(F.lit(f"ação {i}").alias("action"), text.alias("rationale"), level(i).alias("priority")) for i in range(4)])
+    reports = table(spark, sf, "nation").select(
+        F.col("n_name").alias("series"), F.col("n_name").alias("headline"), F.array(F.concat(F.lit("chave "), text)).alias("highlights"), risks.alias("risks"), actions.alias("actions")
+    )
+    return report.render_markdown(reports, footer=None)
+
+
 # ---------------------------------------------------------------- reference answers
 DIMS = {"category": "ECONOMY", "other_category": "PROMO", "region": "ASIA", "region_profit": "AFRICA"}
 

@@ -42,6 +42,28 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+_written: dict[str, list[str]] = {}  # by application, in order
+
+
+def stages_written(spark: SparkSession) -> int:
+    return len(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def drop_stages(spark: SparkSession, since: int, but_last: int = 0) -> int:
+    """Delete the tables staged after the first `since`, except the last ones; returns how many.
+
+    For callers that know that nothing lazy reads them any more, such as a pipeline whose result is itself written.
+    """
+    listed = _written.get(spark.sparkContext.applicationId, [])
+    gone = listed[since : len(listed) - but_last]
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(settings).delete(folder, True)
+    del listed[since : len(listed) - but_last]
+    return len(gone)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -51,6 +73,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/salespark/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
