@@ -58,7 +58,7 @@ def _placed(turns: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     cleaned = cleaned.withColumn("tokens", tokens_of(F.col("text"))).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 50))).cast("long"))
-    return stage(cleaned, "chat-turns")
+    return cleaned
 
 
 def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
@@ -70,25 +70,27 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) ->
     targets in `text`.
     """
     placed = _placed(turns)
+    # texts are ordered and written here, and met again only when it is settled which windows show them
     chunked = W.partitionBy("conv", "chunk").orderBy("turn", "role", "text")
-    leading = placed.groupBy("conv").agg(F.min(F.struct("chunk", "turn", "role", "text", "tokens")).alias("top"))
+    within = F.sum("tokens").over(chunked.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens")
+    numbered = stage(placed.select("conv", "conv_id", "chunk", "role", "text", "tokens", F.row_number().over(chunked).alias("n"), within.alias("within")), "chat-numbered")
+    light = numbered.select("conv", "chunk", "n", "role", "tokens", "within")
+    leading = light.groupBy("conv").agg(F.min(F.struct("chunk", "n", "role", "tokens")).alias("top"))
     leading = leading.select("conv", F.when(F.col("top.role") == "system", F.col("top.tokens")).otherwise(F.lit(0)).alias("system_tokens"))
     leading = leading.withColumn("half", F.greatest(F.floor((F.lit(budget - history) - F.col("system_tokens")) / 2), F.lit(LEAST_ROOM)).cast("long"))
     # the system turn is shown in every window and takes no room of its own
-    counted = placed.join(leading, "conv").withColumn("n", F.row_number().over(chunked))
-    chunks = placed.groupBy("conv", "chunk").agg(F.sum("tokens").alias("t"), F.count("*").alias("c"))
+    chunks = light.groupBy("conv", "chunk").agg(F.sum("tokens").alias("t"), F.count("*").alias("c"))
     before = W.partitionBy("conv").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     chunks = chunks.select(
         "conv", "chunk", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0")
     )
     located = (
-        counted.withColumn("within", F.sum("tokens").over(chunked.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens"))
-        .join(chunks, ["conv", "chunk"])
+        light.join(leading, "conv").join(chunks, ["conv", "chunk"])
         .withColumn("idx", F.col("c0") + F.col("n"))
         .withColumn("system", (F.col("idx") == 1) & (F.col("system_tokens") > 0))
         .withColumn("start", F.greatest(F.col("t0") + F.col("within") - F.col("system_tokens"), F.lit(0)))
         .withColumn("big", (F.col("tokens") >= F.col("half")) & ~F.col("system"))
-        .select("conv", "conv_id", "chunk", "idx", "role", "text", "start", "system", "big", F.floor(F.col("start") / F.col("half")).alias("bucket"))
+        .select("conv", "chunk", "n", "idx", "start", "system", "big", F.floor(F.col("start") / F.col("half")).alias("bucket"))
     )
     located = stage(located, "chat-located")
     chunked = W.partitionBy("conv", "chunk").orderBy("idx")
@@ -98,24 +100,26 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) ->
         located.withColumn("b", F.sum(F.col("big").cast("long")).over(chunked.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .join(bigs, ["conv", "chunk"])
         .withColumn("run", 2 * (F.col("b0") + F.col("b")) - F.col("big").cast("long"))
-        .select("conv", "conv_id", "idx", "role", "text", "start", "system", "bucket", "run")
+        .select("conv", "chunk", "n", "idx", "start", "system", "bucket", "run")
     )
     spans = stage(spans, "chat-spans")
     starts = spans.groupBy("conv", "bucket", "run").agg(F.min("start").alias("s"), F.min("idx").alias("first_idx"))
-    key = ["conv", "bucket", "run", "first_idx"]
-    own = spans.join(starts, ["conv", "bucket", "run"]).select(*key, F.lit(2).alias("kind"), "idx", "role", "text", "conv_id")
+    key, turn = ["conv", "bucket", "run", "first_idx"], ["chunk", "n", "idx"]
+    own = spans.join(starts, ["conv", "bucket", "run"]).select(*key, F.lit(2).alias("kind"), *turn)
     later = starts.where("first_idx > 1")
     # a turn is history of the spans that start up to `history` tokens after the turn does
     block = lambda c: F.floor(F.col(c) / max(history, 1))
-    reach = spans.where("not system").select("conv", "conv_id", "idx", "role", "text", "start", F.explode(F.array(block("start"), block("start") + 1)).alias("block"))
+    reach = spans.where("not system").select("conv", *turn, "start", F.explode(F.array(block("start"), block("start") + 1)).alias("block"))
     past = (
         reach.join(later.withColumn("block", block("s")), ["conv", "block"])
         .where(f"idx < first_idx and s - start <= {int(history)}")
-        .select(*key, F.lit(1).alias("kind"), "idx", "role", "text", "conv_id")
+        .select(*key, F.lit(1).alias("kind"), *turn)
     )
-    system = spans.where("system").select("conv", "idx", "role", "text", "conv_id").join(later, "conv").select(*key, F.lit(0).alias("kind"), "idx", "role", "text", "conv_id")
+    system = spans.where("system").select("conv", *turn).join(later, "conv").select(*key, F.lit(0).alias("kind"), *turn)
+    shown = own.unionByName(past).unionByName(system)
+    texts = numbered.select("conv", "chunk", "n", "conv_id", "role", "text")
     windows = (
-        own.unionByName(past).unionByName(system)
+        shown.join(texts, ["conv", "chunk", "n"])
         .groupBy(*key)
         .agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("kind", "idx", "role", "text"))).alias("turns"))
     )
