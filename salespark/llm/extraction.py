@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,8 @@ _GROUPS = [
     {"form", "button", "label", "fieldset", "legend", "input", "option"}, {"figure", "figcaption"}, {"#text"},
 ]
 _GROUP_OF = {tag: i for i, group in enumerate(_GROUPS) for tag in group}
-_FAR = 30.0
+_FAR, _ARTICLE = 30.0, _GROUP_OF["article"]
+_NO_KINDS, _NOTHING_ABOVE = [0] * len(_KINDS), [_FAR] * (len(_KINDS) + len(_GROUPS))
 _MAIN = [_KINDS.index("main")] + [len(_KINDS) + _GROUP_OF["article"]]
 _OTHER = [i for i, kind in enumerate(_KINDS) if kind != "main"] + [len(_KINDS) + _GROUP_OF[tag] for tag in ("nav", "footer", "aside", "ins", "form")]
 
@@ -83,36 +85,35 @@ def features(page: Page) -> tuple[np.ndarray, list[bool], list[bool]]:
         words[node] += len(cut)
         stops[node] += sum(1 for w in cut if w[-1] in ".,;:!?…。،")
     children: list[list[int]] = [[] for _ in range(size)]
-    depth, unseen, kinds = [0] * size, [False] * size, []
-    above: list[list[float]] = []
+    depth, unseen = [0] * size, [False] * size
+    kinds = [name_kinds(attributes) if attributes else _NO_KINDS for attributes in page.attributes]
     group = [_GROUP_OF.get(tag, len(_GROUPS)) for tag in tags]
-    for i in range(size):  # parents come before their children
+    beneath: list[list[float]] = [[]] * size  # steps up from a child to the nearest ancestor of each kind and group
+    above = [_NOTHING_ABOVE] * size
+    for i in range(1, size):  # parents come before their children
         parent = parents[i]
-        own = name_kinds(page.attributes[i])
-        kinds.append(own)
-        if parent < 0:
-            above.append([_FAR] * (len(_KINDS) + len(_GROUPS)))
-            continue
+        if not children[parent]:
+            far = [x + 1 if x < _FAR else _FAR for x in above[parent]]
+            for k, has in enumerate(kinds[parent]):
+                if has:
+                    far[k] = 1.0
+            if group[parent] < len(_GROUPS):
+                far[len(_KINDS) + group[parent]] = 1.0
+            beneath[parent] = far
+        above[i] = beneath[parent]
         children[parent].append(i)
         depth[i] = depth[parent] + 1
-        unseen[i] = unseen[parent] or tags[i] in UNSEEN or _hidden(page.attributes[i])
-        far = [min(x + 1, _FAR) for x in above[parent]]  # steps up to the nearest ancestor of each kind and group
-        for k, has in enumerate(kinds[parent]):
-            if has:
-                far[k] = 1
-        if group[parent] < len(_GROUPS):
-            far[len(_KINDS) + group[parent]] = 1
-        above.append(far)
+        unseen[i] = unseen[parent] or tags[i] in UNSEEN or bool(page.attributes[i]) and _hidden(page.attributes[i])
     links, inner, has_main = [0] * size, [1] * size, [0] * size
     for i in range(size - 1, 0, -1):
         if unseen[i]:
             chars[i] = words[i] = stops[i] = 0
         if tags[i] == "a":
             links[i] = chars[i]
-        if group[i] == 6:
+        if group[i] == _ARTICLE:
             has_main[i] = 1
-        if not any(blocks[c] or tags[c] in BLOCKS for c in children[i]):
-            blocks[i] = int(chars[i] > 0)
+        if chars[i] and not any(blocks[c] or tags[c] in BLOCKS for c in children[i]):
+            blocks[i] = 1
         parent = parents[i]
         chars[parent] += chars[i]
         words[parent] += words[i]
@@ -123,36 +124,41 @@ def features(page: Page) -> tuple[np.ndarray, list[bool], list[bool]]:
         has_main[parent] |= has_main[i]
         if starts[i] >= 0 and (starts[parent] < 0 or starts[i] < starts[parent]):
             starts[parent] = starts[i]
-    total = max(chars[0], 1)
+    total, everywhere = max(chars[0], 1), math.log1p(order)
     density = [links[i] / chars[i] if chars[i] else 0.0 for i in range(size)]
-    rows = np.zeros((size, 36 + len(_GROUPS) * 2 + len(_KINDS) * 2), np.float64)
-    for i in range(size):
-        parent = max(parents[i], 0)
-        brothers = children[parent] if i else [0]
-        at = brothers.index(i) if len(brothers) < 64 else min(range(len(brothers)), key=lambda k: abs(brothers[k] - i))
-        before = next((b for b in reversed(brothers[:at]) if chars[b]), -1)
-        after = next((b for b in brothers[at + 1 :] if chars[b]), -1)
-        alike = sum(tags[b] == tags[i] for b in brothers)
-        most = max(chars[b] for b in brothers)
-        one_hot = [0.0] * len(_GROUPS)
-        if group[i] < len(_GROUPS):
-            one_hot[group[i]] = 1.0
-        far = list(above[i])  # with the element's own kinds and group, at no distance
-        for k, has in enumerate([*kinds[i], *one_hot]):
-            if has:
-                far[k] = 0
-        made = [
-            math.log1p(chars[i]), math.log1p(words[i]), density[i], stops[i] / max(words[i], 1), chars[i] / max(words[i], 1), chars[i] / inner[i],
-            chars[i] / max(blocks[i], 1), math.log1p(blocks[i]), math.log1p(inner[i]), chars[i] / total, max(starts[i], 0) / max(order, 1), depth[i],
-            at, len(brothers), alike / len(brothers), chars[i] / max(chars[parent], 1), chars[i] / max(most, 1),
-            math.log1p(chars[before]) if before >= 0 else -1, density[before] if before >= 0 else -1, group[before] if before >= 0 else -1,
-            math.log1p(chars[after]) if after >= 0 else -1, density[after] if after >= 0 else -1, group[after] if after >= 0 else -1,
-            density[parent], math.log1p(chars[parent]), math.log1p(order), has_main[i], has_main[0] and not has_main[i],
-            min(far[k] for k in _MAIN), min(far[k] for k in _OTHER), min(far[k] for k in _OTHER) - min(far[k] for k in _MAIN),
-            sum(kinds[i]), max((max(kinds[b]) for b in brothers if b != i), default=0) if len(brothers) < 64 else 0,
-        ]
-        made += one_hot + kinds[i] + above[i]
-        rows[i, : len(made)] = made
+    logs = [math.log1p(n) for n in chars]
+    named = [max(k) for k in kinds]
+    made: list[list[float]] = [[]] * size
+
+    def describe(parent: int, brothers: list[int]) -> None:
+        alike, most, names = Counter(tags[b] for b in brothers), max(max(chars[b] for b in brothers), 1), sum(named[b] for b in brothers)
+        after, following = -1, []
+        for b in reversed(brothers):
+            following.append(after)
+            after = b if chars[b] else after
+        before, whole, count = -1, max(chars[parent], 1), len(brothers)
+        for at, (i, after) in enumerate(zip(brothers, reversed(following), strict=True)):
+            n, w, b = chars[i], max(words[i], 1), max(blocks[i], 1)
+            made[i] = [
+                logs[i], math.log1p(words[i]), density[i], stops[i] / w, n / w, n / inner[i], n / b, math.log1p(blocks[i]), math.log1p(inner[i]), n / total,
+                max(starts[i], 0) / max(order, 1), depth[i], at, count, alike[tags[i]] / count, n / whole, n / most,
+                logs[before] if before >= 0 else -1, density[before] if before >= 0 else -1, group[before] if before >= 0 else -1,
+                logs[after] if after >= 0 else -1, density[after] if after >= 0 else -1, group[after] if after >= 0 else -1,
+                density[parent], logs[parent], everywhere, has_main[i], has_main[0] and not has_main[i], sum(kinds[i]), names > named[i],
+            ]
+            before = i if n else before
+
+    describe(0, [0])
+    for parent, brothers in enumerate(children):
+        if brothers:
+            describe(parent, brothers)
+    far, own = np.array(above), np.zeros((size, len(_KINDS) + len(_GROUPS)), bool)
+    own[:, : len(_KINDS)] = kinds
+    inside = np.flatnonzero(np.array(group) < len(_GROUPS))
+    own[inside, len(_KINDS) + np.array(group)[inside]] = True
+    reach = np.where(own, 0.0, far)  # with the element's own kinds and group, at no distance
+    main, other = reach[:, _MAIN].min(axis=1), reach[:, _OTHER].min(axis=1)
+    rows = np.column_stack([np.array(made, np.float64), main, other, other - main, own, far])
     return rows, [c > 0 for c in chars], unseen
 
 
