@@ -203,12 +203,12 @@ def _parameters(points: np.ndarray) -> list[np.ndarray]:
 def search_smoothing(values: np.ndarray, cutoffs: list[int]):
     """Per cutoff: least squared error found, its parameters, and level, trend and seasons at the cutoff.
 
-    A coarse grid gives the starting points. From there all neighbours at one factor up and down in each parameter
-    are tried together; the best becomes the centre, or the factors shrink, until they are within 1%.
+    A coarse grid gives the starting points. From there one factor up and down in each parameter, and the last step
+    once more, are tried together; the best becomes the centre, or the factors shrink, until they are within 1%.
     """
     folds = np.arange(len(cutoffs))
     grid = np.stack([m.ravel() for m in np.meshgrid(*_COARSE, indexing="ij")], axis=1)
-    moves = np.stack([m.ravel() for m in np.meshgrid(*[[-1.0, 0.0, 1.0]] * 4, indexing="ij")], axis=1)
+    moves = np.concatenate([np.zeros((2, 4)), np.eye(4), -np.eye(4)])
     ends = np.array(cutoffs)
 
     def best_of(points: np.ndarray):
@@ -219,13 +219,13 @@ def search_smoothing(values: np.ndarray, cutoffs: list[int]):
         return sse[at], points.reshape(-1, 4)[at], level[at], trend[at], seasons[:, at]
 
     found = best_of(np.tile(grid, (len(folds), 1, 1)))
-    width = np.full(len(folds), np.log(2.0))
+    width, last = np.full(len(folds), np.log(2.0)), found[1]
     while (width > _FINEST).any():
-        near = np.clip(found[1][:, None, :] * np.exp(moves[None] * width[:, None, None]), _SMALLEST, _LARGEST)
-        near[:, len(moves) // 2] = found[1]  # the centre itself, so that nothing gets worse
-        moved = best_of(near)
+        near = found[1][:, None, :] * np.exp(moves[None] * width[:, None, None])  # the first is the centre: nothing gets worse
+        near[:, 1] *= found[1] / last
+        moved = best_of(np.clip(near, _SMALLEST, _LARGEST))
         width = np.where(moved[0] < found[0] * (1 - 1e-9), width, width / 2)
-        found = moved
+        last, found = found[1], moved
     return found
 
 
