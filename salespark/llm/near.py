@@ -30,6 +30,7 @@ from salespark.session import ship_package, stage
 
 BANDS, ROWS = 32, 5
 _CHUNK = 1 << 12
+_HEAD = 64  # shingles of a prefix that tell whether a pair has met before; the rest is left to `distinct`
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -145,19 +146,29 @@ def _prefix_pairs(placed: DataFrame, texts: DataFrame, least: float, shingle: in
     lone = F.sum((F.col("having") == 1).cast("int")).over(by_node)  # shingles that no other node has can't be shared
     ordered = tokens.join(counted, "token").withColumn("at", F.row_number().over(by_node.orderBy("having", "token")) - 1).withColumn("most", F.col("n") - lone)
     first = stage(ordered.where(F.col("having") > 1).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9)).drop("having"), "near-prefixes")
-    split = first.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = first.join(split.select("token", "low"), "token")
-    other = first.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "at", "most")])
-    rest = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))  # from the shared shingle on
+    # pairs inside a component need no proof, so of each token's members those of its largest component are only met
+    owners = first.groupBy("token", "root").agg(F.count("*").alias("members")).groupBy("token")
+    split = owners.agg(F.max(F.struct("members", "root"))["root"].alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    heads = first.where(F.col("at") < _HEAD).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("head"))
+    heads = heads.select("node", F.transform("head", lambda t: t["token"]).alias("head"))
+    place = F.array_position("head", F.col("token")).cast("int")
+    earlier = F.when(place > 0, F.slice("head", F.lit(1), F.greatest(place - 1, F.lit(0)))).otherwise(F.col("head")).alias("earlier")
+    columns = ("node", "root", "n", "at", "most", "earlier")
+    shared = first.join(split.select("token", "largest"), "token").join(heads, "node", "left").withColumn("head", F.coalesce("head", F.array().cast("array<long>")))
+    shared = stage(shared.select("token", "largest", *columns[:-1], earlier), "near-shared")
+    other = shared.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
+    # a similar pair also meets at the first shingle that both hold, and there all they share lies behind
+    rest = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"), F.col("most"), F.col("most_b"))
+    met_before = F.arrays_overlap("earlier", "earlier_b")
     possible = (
         (F.col("root") != F.col("root_b"))
+        & ((F.col("root_b") == F.col("largest")) | (F.col("node") < F.col("node_b")))
         & (F.least("n", "n_b") >= F.greatest("n", "n_b") * least - 1e-9)
-        & (F.least(rest + F.least("at", "at_b"), F.col("most"), F.col("most_b")) >= _needed(F.col("n"), F.col("n_b"), least))
+        & (rest >= _needed(F.col("n"), F.col("n_b"), least))
+        & ~met_before
     )
-    met = open_.where("root <> low").join(other, "token").where(possible)
-    # of a pair's shared shingles only the first has no shared one before it, so it alone bounds the overlap by `rest`
-    met = met.groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).agg(F.max(rest).alias("rest"), F.first(_needed(F.col("n"), F.col("n_b"), least)).alias("needed"))
-    return met.where("rest >= needed").select("a", "b")
+    met = shared.where("root <> largest").join(other, "token").where(possible)
+    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
