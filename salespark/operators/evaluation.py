@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from salespark.functions.formatting import format_number
@@ -17,9 +17,11 @@ EXPECTED_NUMBERS = "ARRAY<STRUCT<label: STRING, value: DOUBLE, percent: BOOLEAN,
 PASSAGE_END = r"\n|;|\.\s"
 
 
-def numbered_passages(answer: Column) -> Column:
-    """array<struct<folded, numbers>> of all passages."""
-    return F.transform(F.split(answer, PASSAGE_END), lambda p: F.struct(fold(p).alias("folded"), extract_numbers(p).alias("numbers")))
+def numbered_passages(answer: Column, nears: Column) -> Column:
+    """array<struct<folded, numbers>> of the passages that contain one of the folded words `nears`."""
+    folded = F.transform(F.split(answer, PASSAGE_END), lambda p: F.struct(fold(p).alias("folded"), p.alias("passage")))
+    wanted = F.filter(folded, lambda p: F.exists(nears, lambda near: F.contains(p["folded"], near)))
+    return F.transform(wanted, lambda p: F.struct(p["folded"].alias("folded"), extract_numbers(p["passage"]).alias("numbers")))
 
 
 def _number_label(n: Column) -> Column:
@@ -27,12 +29,13 @@ def _number_label(n: Column) -> Column:
     return F.concat(n["label"], F.lit(" ("), format_number(n["value"], 1), suffix, F.lit(")"))
 
 
-def rescore(df: DataFrame) -> DataFrame:
+def rescore(df: DataFrame, extracted: str | None = None) -> DataFrame:
     """Compare stored answers with today's expected values.
 
     Needs answer, kind, numbers (label, value, percent, near), texts (groups of alternatives) and
     forbidden; adds missing_numbers, missing_texts, forbidden_found, unexpected_numbers and
-    expects_numbers. `hallucinated` is kept as stored.
+    expects_numbers. `hallucinated` is kept as stored. `extracted` names a column that holds the answer's numbers
+    already (as `textnum.verify` keeps them).
     """
     answer, cited = F.col("answer"), F.col("_cited")
 
@@ -51,9 +54,11 @@ def rescore(df: DataFrame) -> DataFrame:
     )
     forbidden = F.filter("forbidden", lambda t: F.contains(F.lower(answer), F.lower(t)))
     nothing = F.array().cast("array<string>")
+    nears = F.transform(F.filter("numbers", lambda n: n["near"].isNotNull()), lambda n: fold(n["near"]))
     return (
-        # numbers are extracted once per answer and passage; expected values only look them up
-        df.withColumns({"_folded": fold(answer), "_cited": extract_numbers(answer), "_passages": numbered_passages(answer)})
+        # numbers are extracted once per answer, and per passage that some expected value is sought in; these only look them up
+        df.withColumns({"_folded": fold(answer), "_cited": F.col(extracted) if extracted else extract_numbers(answer), "_nears": nears})
+        .withColumn("_passages", numbered_passages(answer, F.col("_nears")))
         .withColumns(
             {
                 "missing_numbers": missing_numbers,
@@ -65,7 +70,7 @@ def rescore(df: DataFrame) -> DataFrame:
                 "expects_numbers": F.size("numbers") > 0,
             }
         )
-        .drop("_folded", "_cited", "_passages")
+        .drop("_folded", "_cited", "_nears", "_passages")
     )
 
 
@@ -83,9 +88,9 @@ def passed() -> Column:
     return clean
 
 
-def score(df: DataFrame) -> DataFrame:
+def score(df: DataFrame, extracted: str | None = None) -> DataFrame:
     """Right query, comparison with the expected values, and `passed`."""
-    checked = rescore(df.withColumn("right_tool", right_tool(F.col("tools_called"), F.col("accepted"))))
+    checked = rescore(df.withColumn("right_tool", right_tool(F.col("tools_called"), F.col("accepted"))), extracted)
     return checked.withColumn("passed", passed())
 
 
@@ -135,7 +140,11 @@ def report_scoreboard(reports: DataFrame) -> DataFrame:
 
 
 def failures(results: DataFrame) -> DataFrame:
-    """Answers that did not pass, each with its problems in words."""
+    """Answers that did not pass, each with its problems in words.
+
+    The rows are counted before they are filtered: a filter on `passed` would otherwise be carried down to the scan, with
+    all that scoring does written out in it once per use and run in as few tasks as the scan has.
+    """
 
     def problems(column: str, prefix: str) -> Column:
         return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.concat(F.lit(prefix), x))
@@ -152,7 +161,9 @@ def failures(results: DataFrame) -> DataFrame:
         problems("unexpected_numbers", "número numa pergunta sem resposta nos dados: "),
         wrong,
     )
-    bad = results.where(F.col("error").isNull() & ~F.col("passed"))
+    lists = ("missing_numbers", "missing_texts", "hallucinated", "forbidden_found", "unexpected_numbers")
+    scored = results.select("model", "id", "question", "error", "passed", "right_tool", "tools_called", *lists)
+    bad = scored.observe(Observation(), F.count(F.lit(1)).alias("answers")).where(F.col("error").isNull() & ~F.col("passed"))
     return bad.select("model", "id", "question", F.array_join(words, "; ").alias("problems"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from salespark.session import stage
 
 # Fixed patterns: a Brazilian number with optional sign, currency, scale and %; and a date.
+# The look-ahead names the characters a match can start with, so that all other places are left at once.
 NUMBER_PATTERN = (
-    r"(?iU)((?:[-−](?=R\$|US\$))?(?:R\$|US\$)\s?)?"
+    r"(?iU)(?=[-+−RU\d])((?:[-−](?=R\$|US\$))?(?:R\$|US\$)\s?)?"
     r"((?:(?<!\w)[-+−])?(?:\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+(?:,\d+)?))"
     r"(\s?(?:mil\b|milh(?:ão|ões)|bilh(?:ão|ões)|mi\b|bi\b))?"
     r"(\s?%)?"
@@ -23,27 +24,30 @@ YEARS = (1990, 2100)
 SLACK = 1e-9
 
 
-_MARK = "\u0001"
+_GROUP, _PIECE = "\u0001", "\u0002"  # where a text holds them itself, another control character stands in
 
 
-def _taken_apart(piece: Column) -> Column:
-    """One matched piece with its currency, number, scale and % (the pattern's four adjoining groups)."""
-    marked = F.regexp_replace(piece, NUMBER_PATTERN, f"$1{_MARK}$2{_MARK}$3{_MARK}$4")
-    return F.struct(piece.alias("piece"), F.split(marked, _MARK).alias("groups"))
+def _pieces(text: Column) -> Column:
+    """The matches in a text, each with its currency, number, scale and % (the pattern's four adjoining groups)."""
+    marked = F.regexp_replace(
+        F.translate(text, _GROUP + _PIECE, "\u0003\u0003"), NUMBER_PATTERN, f"{_PIECE}$1{_GROUP}$2{_GROUP}$3{_GROUP}$4{_PIECE}"
+    )
+    between = F.split(marked, _PIECE)  # every second part is a match
+    return F.transform(F.filter(between, lambda _, i: i % 2 == 1), lambda part: F.split(part, _GROUP))
 
 
-def _parsed(found: Column) -> Column:
+def _parsed(groups: Column) -> Column:
     """Typed fields of one matched piece."""
-    currency, raw, scale_word, pct = (F.get(found["groups"], i) for i in range(4))
+    currency, raw, scale_word, pct = (F.get(groups, i) for i in range(4))
     comma = F.instr(raw, ",")
     return F.struct(
-        F.trim(found["piece"]).alias("text"),
+        F.trim(F.array_join(groups, "")).alias("text"),
         F.translate(raw, ",−.", ".-").try_cast("double").alias("number"),
         raw.alias("raw"),
         F.when(comma > 0, F.length(raw) - comma).otherwise(0).alias("decimals"),
         (F.length(currency) > 0).alias("has_currency"),
         F.substring(currency, 1, 1).isin("-", "−").alias("negative_currency"),
-        F.lower(F.regexp_replace(scale_word, r"(?U)\s", "")).alias("scale_word"),
+        F.when(scale_word == "", "").otherwise(F.lower(F.regexp_replace(scale_word, r"(?U)\s", ""))).alias("scale_word"),
         (F.length(pct) > 0).alias("is_percent"),
     )
 
@@ -52,26 +56,37 @@ def _scale(word: Column) -> Column:
     factor = F.lit(1.0)
     for name, value in SCALES.items():
         factor = F.when(word == name, value).otherwise(factor)
-    return factor
+    return F.when(word == "", 1.0).otherwise(factor)
 
 
-def _cited(p: Column) -> Column:
-    """(text, value, is_percent, tolerance, signed) of one parsed number."""
+def _scaled(p: Column) -> Column:
+    """What `_cited` uses several times, told once."""
     scale = _scale(p["scale_word"])
     base = F.when(p["negative_currency"], -F.abs(p["number"])).otherwise(p["number"])
-    value = base * scale
     half_step = 0.5 * F.pow(F.lit(10.0), -p["decimals"]) * scale
-    capped = F.least(half_step, F.abs(value) * MAX_SCALED_ROUNDING)
     signed = p["negative_currency"] | F.substring(p["raw"], 1, 1).isin("+", "-", "−")
     return F.struct(
         p["text"].alias("text"),
-        value.alias("value"),
+        (base * scale).alias("value"),
         p["is_percent"].alias("is_percent"),
-        F.when(p["scale_word"] != "", capped).otherwise(half_step).alias("tolerance"),
+        half_step.alias("half_step"),
+        (p["scale_word"] != "").alias("has_scale"),
         signed.alias("signed"),
     )
 
 
+def _cited(p: Column) -> Column:
+    """(text, value, is_percent, tolerance, signed) of one parsed number."""
+    capped = F.least(p["half_step"], F.abs(p["value"]) * MAX_SCALED_ROUNDING)
+    return F.struct(
+        p["text"].alias("text"),
+        p["value"].alias("value"),
+        p["is_percent"].alias("is_percent"),
+        F.when(p["has_scale"], capped).otherwise(p["half_step"]).alias("tolerance"),
+        p["signed"].alias("signed"),
+    )
+
+
 def _is_metric(p: Column) -> Column:
     size = F.abs(p["number"])
     bare = ~(p["has_currency"] | (p["scale_word"] != "") | p["is_percent"]) & (p["decimals"] == 0)
@@ -86,9 +101,8 @@ def extract_numbers(text: Column) -> Column:
     pieces are taken apart.
     """
     without_dates = F.regexp_replace(text, DATE_PATTERN, " ")
-    pieces = F.regexp_extract_all(without_dates, F.lit(NUMBER_PATTERN), F.lit(0))
-    parsed = F.transform(F.transform(pieces, _taken_apart), _parsed)
-    return F.transform(F.filter(parsed, _is_metric), _cited)
+    parsed = F.transform(_pieces(without_dates), _parsed)
+    return F.transform(F.transform(F.filter(parsed, _is_metric), _scaled), _cited)
 
 
 def matches(cited: Column, reference: Column) -> Column:
@@ -106,10 +120,11 @@ def _supported(cited: Column, known: Column) -> Column:
     return F.exists(known, lambda k: (cited["is_percent"] | ~k["is_percent"]) & matches(cited, k["value"]))
 
 
-def verify(df: DataFrame, answer: str = "answer", facts: str = "facts") -> DataFrame:
+def verify(df: DataFrame, answer: str = "answer", facts: str = "facts", numbers: str | None = None) -> DataFrame:
     """Add checked, verified, unverified (distinct texts in order) and ok to every answer.
 
-    Answer and facts of a row are compared inside the row: no shuffle and no pairs across rows.
+    Answer and facts of a row are compared inside the row: no shuffle and no pairs across rows. `numbers` names a
+    column that keeps the answer's cited numbers, for later steps that need them too.
     """
     with_numbers = df.withColumns(
         {"_cited": extract_numbers(F.col(answer)), "_known": extract_numbers(F.coalesce(F.col(facts), F.lit("")))}
@@ -125,7 +140,8 @@ def verify(df: DataFrame, answer: str = "answer", facts: str = "facts") -> DataF
     result = checked.withColumns(
         {"verified": F.col("checked") - F.size("unverified"), "ok": F.size("unverified") == 0}
     )
-    return result.drop("_cited", "_known")
+    kept = result.withColumnRenamed("_cited", numbers) if numbers else result.drop("_cited")
+    return kept.drop("_known")
 
 
 def cited_rows(df: DataFrame, text: str, *keys: str) -> DataFrame:

@@ -250,7 +250,7 @@ def answered_orders(spark, sf):
         F.when(key % 31 == 0, " chave AIzaSy").otherwise(""),
     )
     refusal = "Não tenho essa informação nos dados disponíveis."
-    return spread(table(spark, sf, "orders")).select(
+    return spread(table(spark, sf, "orders"), per_core=4).select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", total.alias("total"), pct.alias("pct"),
         cited_pct.cast("double").alias("cited_pct"), (thousands * 1000).alias("cited_thousands"),
         F.when(robust & (key % 2 == 0), refusal).otherwise(said).alias("answer"),
@@ -289,7 +289,7 @@ def document_numbers(spark, sf):
 # ---------------------------------------------------------------- answer scoring
 def evaluated_orders(spark, sf):
     """The answers above as evaluation rows of two models, with expected values and stored call details."""
-    base = textnum.verify(answered_orders(spark, sf))
+    base = textnum.verify(answered_orders(spark, sf), numbers="cited")
     key = F.col("o_orderkey")
     robust = F.col("o_orderpriority") == "5-LOW"
     number = lambda label, value, percent, near: F.struct(
@@ -314,8 +314,9 @@ def evaluated_orders(spark, sf):
         (key % 4000).alias("tokens_in"),
         (key % 300).alias("tokens_out"),
         F.when(key % 41 == 0, "sem cota").alias("error"),
+        "cited",
     )
-    return evaluation.score(rows)
+    return evaluation.score(rows, "cited").drop("cited")
 
 
 EVAL_CTE = SAID_CTE + """, e AS (SELECT *, o_orderpriority = '5-LOW' AS robust, k % 41 = 0 AS error, 'm' || (k % 2) AS model, k % 3 < 2 AS right_tool,

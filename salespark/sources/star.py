@@ -34,14 +34,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan with fewer splits than cores, before costly work on every row.
+def spread(scan: DataFrame, per_core: int = 1) -> DataFrame:
+    """Deal out the rows of a scan with fewer splits than `per_core` for each core, before costly work on every row.
 
     A file of one row group is one split, whatever split size the session asks for, so a session setting can't do
-    this. A table with at least as many splits as cores is returned as it is; results are the same either way.
+    this. A table with enough splits is returned as it is; results are the same either way. Several tasks per core
+    make up for unequal cores and keep each of them short.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    parts = per_core * scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= parts else scan.repartition(parts)
 
 
 def _rounded_pct(cents: Column, pct: Column) -> Column:
