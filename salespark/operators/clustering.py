@@ -36,7 +36,11 @@ def _spread_out(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def _sums(points: DataFrame, columns: list[str], models: dict[int, Model]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Per model: points and coordinate sums of each group, and the cost. One job; one small row per task, model and group."""
+    """Per model: points and coordinate sums of each group, and the cost. One job; one small row per task, model and group.
+
+    Points have a weight. Squared distances to all centres come from one product of matrices per batch; what all centres
+    share of them, the point's own square, is only added to the cost.
+    """
     all_centres = np.concatenate([m.centres for m in models.values()])
     starts = np.cumsum([0, *[m.k for m in models.values()]])
     of_centre = np.array([[number, group] for number, m in models.items() for group in range(m.k)])
@@ -45,19 +49,21 @@ def _sums(points: DataFrame, columns: list[str], models: dict[int, Model]) -> di
         counts, sums, costs = np.zeros(len(all_centres)), np.zeros_like(all_centres), np.zeros(len(all_centres))
         for batch in batches:
             x = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
-            squared = ((x[:, None, :] - all_centres[None]) ** 2).sum(axis=2)
+            weight = batch.column("weight").to_numpy().astype(float)
+            weighted, own_square = x * weight[:, None], weight @ (x**2).sum(axis=1)
+            squared = (all_centres**2).sum(axis=1)[:, None] - 2 * (all_centres @ x.T)
             for start, stop in zip(starts[:-1], starts[1:], strict=True):
-                own = squared[:, start:stop]
-                group = own.argmin(axis=1)
-                counts[start:stop] += np.bincount(group, minlength=stop - start)
-                costs[start] += own.min(axis=1).sum()
+                own = squared[start:stop]
+                group = own.argmin(axis=0)
+                counts[start:stop] += np.bincount(group, weight, stop - start)
+                costs[start] += own.min(axis=0) @ weight + own_square
                 for d in range(x.shape[1]):
-                    sums[start:stop, d] += np.bincount(group, x[:, d], stop - start)
+                    sums[start:stop, d] += np.bincount(group, weighted[:, d], stop - start)
         made = [pa.array(of_centre[:, 0]), pa.array(of_centre[:, 1]), pa.array(counts), pa.array(costs), *[pa.array(sums[:, d]) for d in range(sums.shape[1])]]
         yield pa.RecordBatch.from_arrays(made, names=["model", "group", "n", "cost", *columns])
 
     schema = "model long, group long, n double, cost double, " + ", ".join(f"{c} double" for c in columns)
-    parts = points.select(*columns).mapInArrow(answer, schema).groupBy("model", "group").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *columns)])
+    parts = points.select(*columns, "weight").mapInArrow(answer, schema).groupBy("model", "group").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *columns)])
     out = {number: (np.zeros(m.k), np.zeros_like(m.centres), np.zeros(m.k)) for number, m in models.items()}
     for row in parts.collect():  # as many rows as there are centres
         counts, sums, costs = out[row["model"]]
@@ -69,23 +75,29 @@ def fit_all(points: DataFrame, columns: list[str], k_values, restarts: int = 10,
     """The cheapest of `restarts` models for each k. All models that still move advance in the same job.
 
     Starting centres are chosen among `start_points` points (those of smallest hash); everything else covers all
-    points. A model has settled when no centre moves by more than `tol`; a group that lost its points keeps its centre.
+    points. Equal points are one with a weight, dealt out to all cores once. A model has settled when no centre moves by
+    more than `tol`; a group that lost its points keeps its centre.
     """
     ship_package(points.sparkSession)
     hashed = F.xxhash64(*columns)
     sample = np.array([[r[c] for c in columns] for r in points.select(*columns).orderBy(hashed, *columns).limit(start_points).collect()])
     models = dict(enumerate(Model(k, _spread_out(sample, k, seed + i)) for k in k_values for i in range(restarts)))
-    for _ in range(max_iter):
-        moving = {number: m for number, m in models.items() if not m.settled}
-        if not moving:
-            break
-        for number, (counts, sums, _) in _sums(points, columns, moving).items():
-            m = models[number]
-            moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], m.centres)
-            m.settled = bool((np.sqrt(((moved - m.centres) ** 2).sum(axis=1)) <= tol).all())
-            m.centres = moved
-    for number, (_, _, cost) in _sums(points, columns, models).items():
-        models[number].cost = cost
+    dealt = points.select(*columns).repartition(points.sparkSession.sparkContext.defaultParallelism, *columns)
+    counted = dealt.groupBy(*columns).agg(F.count(F.lit(1)).alias("weight")).persist()
+    try:
+        for _ in range(max_iter):
+            moving = {number: m for number, m in models.items() if not m.settled}
+            if not moving:
+                break
+            for number, (counts, sums, _) in _sums(counted, columns, moving).items():
+                m = models[number]
+                moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], m.centres)
+                m.settled = bool((np.sqrt(((moved - m.centres) ** 2).sum(axis=1)) <= tol).all())
+                m.centres = moved
+        for number, (_, _, cost) in _sums(counted, columns, models).items():
+            models[number].cost = cost
+    finally:
+        counted.unpersist()
     return {k: min((m for m in models.values() if m.k == k), key=lambda m: m.cost) for k in k_values}
 
 
