@@ -71,33 +71,36 @@ def _sums(points: DataFrame, columns: list[str], models: dict[int, Model]) -> di
     return {number: (counts, sums, float(costs.sum())) for number, (counts, sums, costs) in out.items()}
 
 
+def equal_as_one(points: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per place with the number of its points as `weight`, dealt out to all cores."""
+    dealt = points.select(*columns).repartition(points.sparkSession.sparkContext.defaultParallelism, *columns)
+    return dealt.groupBy(*columns).agg(F.count(F.lit(1)).alias("weight"))
+
+
 def fit_all(points: DataFrame, columns: list[str], k_values, restarts: int = 10, seed: int = 0, max_iter: int = 100, tol: float = 1e-4, start_points: int = 4096) -> dict[int, Model]:
     """The cheapest of `restarts` models for each k. All models that still move advance in the same job.
 
     Starting centres are chosen among `start_points` points (those of smallest hash); everything else covers all
-    points. Equal points are one with a weight, dealt out to all cores once. A model has settled when no centre moves by
+    points. A column `weight` (see `equal_as_one`) makes a row count that often. A model has settled when no centre moves by
     more than `tol`; a group that lost its points keeps its centre.
     """
     ship_package(points.sparkSession)
     hashed = F.xxhash64(*columns)
-    sample = np.array([[r[c] for c in columns] for r in points.select(*columns).orderBy(hashed, *columns).limit(start_points).collect()])
+    weighted = points if "weight" in points.columns else points.withColumn("weight", F.lit(1).cast("bigint"))
+    first = weighted.select(*columns, "weight").orderBy(hashed, *columns).limit(start_points).collect()
+    sample = np.repeat([[r[c] for c in columns] for r in first], [r["weight"] for r in first], axis=0)[:start_points]
     models = dict(enumerate(Model(k, _spread_out(sample, k, seed + i)) for k in k_values for i in range(restarts)))
-    dealt = points.select(*columns).repartition(points.sparkSession.sparkContext.defaultParallelism, *columns)
-    counted = dealt.groupBy(*columns).agg(F.count(F.lit(1)).alias("weight")).persist()
-    try:
-        for _ in range(max_iter):
-            moving = {number: m for number, m in models.items() if not m.settled}
-            if not moving:
-                break
-            for number, (counts, sums, _) in _sums(counted, columns, moving).items():
-                m = models[number]
-                moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], m.centres)
-                m.settled = bool((np.sqrt(((moved - m.centres) ** 2).sum(axis=1)) <= tol).all())
-                m.centres = moved
-        for number, (_, _, cost) in _sums(counted, columns, models).items():
-            models[number].cost = cost
-    finally:
-        counted.unpersist()
+    for _ in range(max_iter):
+        moving = {number: m for number, m in models.items() if not m.settled}
+        if not moving:
+            break
+        for number, (counts, sums, _) in _sums(weighted, columns, moving).items():
+            m = models[number]
+            moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], m.centres)
+            m.settled = bool((np.sqrt(((moved - m.centres) ** 2).sum(axis=1)) <= tol).all())
+            m.centres = moved
+    for number, (_, _, cost) in _sums(weighted, columns, models).items():
+        models[number].cost = cost
     return {k: min((m for m in models.values() if m.k == k), key=lambda m: m.cost) for k in k_values}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salespark.functions.numeric import exact_sum, share_pct
-from salespark.operators.clustering import euclidean_silhouettes, fit_all, nearest
+from salespark.operators.clustering import equal_as_one, euclidean_silhouettes, fit_all, nearest
 from salespark.operators.ranking import row_positions
 from salespark.operators.schema import order_count
 from salespark.operators.selection import order_statistics
@@ -247,10 +247,10 @@ def cluster_customers(rfm: DataFrame, k_values=K_VALUES, restarts: int = 10, see
     """
     columns = [f"{m}_z" for m in METRICS]
     points = stage(cluster_features(rfm), "cluster-points")
-    coordinates = points.select(*columns).persist()
+    coordinates = equal_as_one(points, columns).persist()
     try:
         models = fit_all(coordinates, columns, k_values, restarts, seed)
-        silhouettes = euclidean_silhouettes(coordinates, columns, models, silhouette_grain)
+        silhouettes = euclidean_silhouettes(points, columns, models, silhouette_grain)
     finally:
         coordinates.unpersist()
     usable = [k for k in k_values if k >= MIN_ACTIONABLE_K] or list(k_values)

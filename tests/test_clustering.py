@@ -91,7 +91,7 @@ def test_equal_points_are_one_with_a_weight(spark, monkeypatch):
     points = spark.createDataFrame(rows, "x DOUBLE, y DOUBLE")
     read, sums = [], clustering._sums
     monkeypatch.setattr(clustering, "_sums", lambda p, *rest: read.append(p.count()) or sums(p, *rest))
-    model = clustering.fit_all(points, ["x", "y"], [3], restarts=5)[3]
+    model = clustering.fit_all(clustering.equal_as_one(points, ["x", "y"]), ["x", "y"], [3], restarts=5)[3]
     assert set(read) == {21}
     assert sorted(model.centres[:, 0].round(6)) == [0.0, 5.0, 10.0]
     assert model.centres[:, 1].round(6).tolist() == [0.3] * 3
