@@ -22,6 +22,8 @@ MAX_SCALED_ROUNDING = 0.05
 SMALL_INT_LIMIT = 31
 YEARS = (1990, 2100)
 SLACK = 1e-9
+# a band is less than two buckets wide
+BAND_BUCKETS = 3
 
 
 _GROUP, _PIECE = "\u0001", "\u0002"  # where a text holds them itself, another control character stands in
@@ -157,28 +159,38 @@ def verify_shared(answers: DataFrame, facts: DataFrame, key: list[str], answer:
     facts has the key, value and is_percent. A cited number accepts a band of values around it. Facts are put into
     buckets whose width is the power of two below the band's: then of each bucket that the band touches only the least
     and the largest fact matter, so facts shrink to one row per bucket before they meet the numbers, and neither
-    facts nor numbers of one key ever meet in pairs. The rules are those of `verify`; repeated answers are answered one
-    by one, answers without numbers are ok, and numbers of a null key are not supported.
+    facts nor numbers of one key ever meet in pairs. A band touches two or three neighbouring buckets; their least and
+    largest facts are gathered at the first of them, so every number is looked up once. The rules are those of `verify`;
+    repeated answers are answered one by one, answers without numbers are ok, and numbers of a null key are not supported.
     """
     told = stage(answers.withColumns({"_row": F.monotonically_increasing_id(), "_cited": extract_numbers(F.coalesce(F.col(answer), F.lit("")))}), "shared-answers")
-    cited = told.select("_row", *key, F.posexplode("_cited").alias("at", "c")).select("_row", *key, "at", "c.*")
-    limit = F.col("tolerance") + SLACK
-    cited = cited.withColumns({"limit": limit, "level": F.floor(F.log2(2 * limit)).cast("int")})
-    width = F.pow(F.lit(2.0), F.col("level"))
-    bucket = lambda x: F.floor(x / width)
+    cited = told.select("_row", *key, F.posexplode("_cited").alias("at", "c")).select("_row", *key, "at", "c.value", "c.is_percent", "c.tolerance", "c.signed")
+    # a number without a sign is not negative, so it is near a fact only if it is near the fact's absolute value
+    cited = cited.select("_row", *key, "at", "value", "is_percent", (F.col("tolerance") + SLACK).alias("limit"), (~F.col("signed")).alias("absolute"))
+    cited = cited.withColumn("level", F.floor(F.log2(2 * F.col("limit"))).cast("int"))
+    bucket = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("level")))
     reach = F.col("limit") * (1 + 1e-6)
-    touched = cited.withColumn("bucket", F.explode(F.sequence(bucket(F.col("value") - reach), bucket(F.col("value") + reach))))
-    touched = touched.withColumn("absolute", F.explode(F.when(F.col("signed"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    sides = F.array(F.struct(F.lit(False).alias("absolute"), F.col("value").alias("v")), F.struct(F.lit(True).alias("absolute"), F.abs("value").alias("v")))
-    known = facts.where("value IS NOT NULL").select(*key, F.coalesce("is_percent", F.lit(False)).alias("is_percent"), F.inline(sides)).distinct()
-    bands = known.join(cited.select(*key, "level").distinct(), key).withColumn("bucket", bucket(F.col("v")))
+    first, last = bucket(F.col("value") - reach), bucket(F.col("value") + reach)
+    # a second look-up only where rounding makes the band reach a fourth bucket
+    touched = cited.withColumn("first", F.explode(F.sequence(first, F.greatest(first, F.try_subtract(last, F.lit(BAND_BUCKETS - 1))))))
+    # one small row per key and kind of band, written so that its exact size decides how it meets the facts
+    levels = stage(cited.select(*key, "level", "absolute").distinct(), "shared-levels")
+    known = facts.where("value IS NOT NULL").select(*key, F.coalesce("is_percent", F.lit(False)).alias("is_percent"), "value").distinct()
+    sided = known.join(levels, key).withColumn("v", F.when(F.col("absolute"), F.abs("value")).otherwise(F.col("value")))
     plain = F.when(~F.col("is_percent"), F.col("v"))
-    bands = bands.groupBy(*key, "level", "absolute", "bucket").agg(
+    bands = sided.withColumn("bucket", bucket(F.col("v"))).groupBy(*key, "level", "absolute", "bucket").agg(
         F.min("v").alias("least"), F.max("v").alias("most"), F.min(plain).alias("least_plain"), F.max(plain).alias("most_plain")
     )
-    pick = lambda side: F.when(F.col("is_percent"), F.col(side)).otherwise(F.col(f"{side}_plain"))
-    near = (F.col("value") - pick("most") <= F.col("limit")) & (pick("least") - F.col("value") <= F.col("limit"))
-    supported = touched.join(bands, [*key, "level", "absolute", "bucket"]).where(near).select("_row", "at").distinct()
+    starts = F.array(*[F.try_subtract("bucket", F.lit(i)) for i in range(BAND_BUCKETS)])
+    edges = F.struct("least", "most", "least_plain", "most_plain")
+    bands = bands.select(*key, "level", "absolute", F.explode(starts).alias("first"), edges.alias("edges"))
+    bands = bands.groupBy(*key, "level", "absolute", "first").agg(F.collect_list("edges").alias("bands"))  # at most BAND_BUCKETS
+
+    def near(band: Column) -> Column:
+        pick = lambda side: F.when(F.col("is_percent"), band[side]).otherwise(band[f"{side}_plain"])
+        return (F.col("value") - pick("most") <= F.col("limit")) & (pick("least") - F.col("value") <= F.col("limit"))
+
+    supported = touched.join(bands, [*key, "level", "absolute", "first"]).where(F.exists("bands", near)).select("_row", "at")
     found = supported.groupBy("_row").agg(F.collect_set("at").alias("_found"))  # at most the numbers of one answer
     joined = told.join(found, "_row", "left")
     placed = F.transform("_cited", lambda c, i: F.struct(c["text"].alias("text"), F.coalesce(F.array_contains("_found", i), F.lit(False)).alias("ok")))
