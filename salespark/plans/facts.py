@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from salespark.functions import formatting as fmt
 from salespark.operators import anomalies, customers, forecasting, kpis, periods, series, trends, variance
 from salespark.operators.periods import CURRENT_TAG, PREVIOUS_TAG, SalesFilters
+from salespark.session import stage
 
 # Horizon of the cited forecast, anomalies cited, segments cited.
 FORECAST_HORIZON = 30
@@ -54,7 +55,7 @@ def _anomaly_rows(base: DataFrame, current: DataFrame, end: Column | None) -> Da
 def _segment_rows(base: DataFrame) -> DataFrame:
     """(series, n_customers, pareto_pct, segments) of groups with enough customers."""
     wanted = [c for c in ("series", "customer_id", "order_id", "date", "revenue") if c in base.columns]
-    rfm = customers.stage(customers.rfm_table(base.select(*wanted), by=["series"]), "rfm")
+    rfm = stage(customers.rfm_table(base.select(*wanted), by=["series"]), "rfm")
     sizes = rfm.groupBy("series").agg(F.count(F.lit(1)).alias("n_customers"))
     sizes = sizes.where(F.col("n_customers") >= customers.MIN_CUSTOMERS)
     enough = rfm.join(sizes.select("series"), "series", "left_semi")
@@ -76,6 +77,8 @@ PART_COLUMNS = {
     "customers: BIGINT, revenue: DOUBLE, revenue_pct: DOUBLE>>",
 }
 PARTS = ("kpis", *PART_COLUMNS)
+#: What the parts read of the base.
+USED = ("series", "date", "order_id", "category", "region", "units", "revenue", "cost", "profit", "customer_id")
 
 
 def _trend_rows(current: DataFrame) -> DataFrame:
@@ -117,9 +120,12 @@ def build_facts(
     (with the segment filters), the rest the selected period. Parts without enough data stay null.
 
     A base without customer codes is asked without the `customers` part. Every part ends in one row
-    per group, so the final joins are small whatever the base's size.
+    per group, so the final joins are small whatever the base's size. What the parts use of the base is written
+    once, so that its joins run once and not once per part.
     """
     base = periods.apply_segments(history, filters).withColumn("series", series.series_key(by or []))
+    if set(parts) - {"kpis"}:
+        base = stage(base.select(*[c for c in USED if c in base.columns]), "facts-base")
     tagged = periods.tag_periods(base, filters, dates if dates is not None else history)
     current = tagged.where(F.col("period") == CURRENT_TAG)
     end = F.lit(data_end) if isinstance(data_end, date) else data_end

@@ -84,13 +84,13 @@ def sales(spark: SparkSession, folder: str, columns: Iterable[str] | None = None
     rows = table(spark, folder, "lineitem")
     if need & {"date", "customer_id", "region"}:
         orders = table(spark, folder, "orders").withColumn("customer_code", _customer_code(F.col("o_custkey")))
+        if "region" in need:  # told per order, so that no line is dealt out by customer
+            places = table(spark, folder, "nation").join(
+                table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+            )
+            customers = table(spark, folder, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+            orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if need & {"category", "product"}:
         rows = rows.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    if "region" in need:
-        places = table(spark, folder, "nation").join(
-            table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-        )
-        customers = table(spark, folder, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(*[definitions[name].alias(name) for name in wanted])
