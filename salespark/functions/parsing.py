@@ -34,7 +34,7 @@ def style_evidence(text: Column) -> Column:
     """
     text = strip(text)
     has_dot = F.contains(text, F.lit("."))
-    comma = F.coalesce(F.bool_or(text.rlike(DECIMAL_COMMA)), F.lit(False))
+    comma = F.coalesce(F.bool_or(F.contains(text, F.lit(",")) & text.rlike(DECIMAL_COMMA)), F.lit(False))
     english = F.coalesce(F.bool_or(text.rlike(ENGLISH_GROUPING)), F.lit(False))
     currency = F.coalesce(F.bool_or(F.contains(text, F.lit("R$"))), F.lit(False))
     grouped = F.coalesce(F.bool_and(F.when(has_dot, text.rlike(DOT_GROUPING))), F.lit(False))
@@ -47,15 +47,20 @@ def number_value(text: Column, brazilian: Column) -> Column:
     The last separator is the decimal one; without a comma, several dots (or any dot in a Brazilian
     column) separate thousands. Parentheses mean a negative amount.
     """
-    raw = strip(text)
+    return number_of(strip(text), brazilian)
+
+
+def number_of(raw: Column, brazilian: Column) -> Column:
+    """The same of a text without blanks at its ends."""
     kept = F.regexp_replace(raw, r"[^\d,.\-]", "")
+    comma, dot = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
     plain = (
-        F.when(raw.rlike(r",[^.,]*$"), F.translate(kept, ",.", "."))
-        .when(F.contains(raw, F.lit(",")), F.translate(kept, ",", ""))
-        .when(brazilian | raw.rlike(r"\..*\."), F.translate(kept, ".", ""))
+        F.when(comma & ~F.contains(F.substring_index(raw, ",", -1), F.lit(".")), F.translate(kept, ",.", "."))
+        .when(comma, F.translate(kept, ",", ""))
+        .when(brazilian | (dot & raw.rlike(r"\..*\.")), F.translate(kept, ".", ""))
         .otherwise(kept)
     )
-    accounting = raw.rlike(r"^\([^-]*\)$")
+    accounting = F.startswith(raw, F.lit("(")) & raw.rlike(r"^\([^-]*\)$")
     return F.concat(F.when(accounting, "-").otherwise(""), plain).try_cast("double")
 
 
@@ -83,7 +88,10 @@ def date_value(text: Column) -> Column:
     Every numeric style is rewritten to year-month-day and cast once. In a day-first style a month
     above 12 means the two numbers were written the other way round.
     """
-    text = strip(text)
+    return once(strip(text), _day_of)
+
+
+def _day_of(text: Column) -> Column:
     numeric = F.lit(None).cast("string")
     for pattern, order in reversed(
         [
@@ -95,15 +103,17 @@ def date_value(text: Column) -> Column:
         ]
     ):
         numeric = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, order)).otherwise(numeric)
-    swapped = F.when(~text.rlike(r"^\d{4}"), F.regexp_replace(numeric, r"^(\d+)-(\d+)-(\d+)$", "$1-$3-$2"))
+
+    def calendar_day(written: Column) -> Column:
+        swapped = F.when(~text.rlike(r"^\d{4}"), F.regexp_replace(written, r"^(\d+)-(\d+)-(\d+)$", "$1-$3-$2"))
+        return F.coalesce(written.try_cast("date"), swapped.try_cast("date"))
+
     named = F.when(text.rlike(_NAMED_DAY), F.regexp_replace(text, _NAMED_DAY, "$1 $2 $3")).when(
         text.rlike(_NAMED_MONTH), F.regexp_replace(text, _NAMED_MONTH, "$2 $1 $3")
     )
     serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(text.try_cast("double")).cast("int"))
     return F.when(text.rlike(_SERIAL), serial).otherwise(
-        F.coalesce(
-            numeric.try_cast("date"), swapped.try_cast("date"), F.try_to_date(F.initcap(named), "d MMM yyyy")
-        )
+        F.coalesce(once(numeric, calendar_day), F.try_to_date(F.initcap(named), "d MMM yyyy"))
     )
 
 

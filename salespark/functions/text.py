@@ -19,9 +19,15 @@ def _plain_letters() -> tuple[str, str]:
 _MARKED, _PLAIN = _plain_letters()
 
 
+ASCII_BLANKS = "\t\n\x0b\x0c\r "
+#: What Unicode calls white space.
+BLANKS = ASCII_BLANKS + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without blanks of any kind (no-break spaces, tabs, line ends) at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without blanks of any kind (no-break spaces, tabs, line ends) at either end; the long list only where it can matter."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.btrim(text, F.lit(ASCII_BLANKS))).otherwise(F.btrim(text, F.lit(BLANKS)))
 
 
 def fold(text: Column) -> Column:
