@@ -17,6 +17,8 @@ from salespark.session import stage
 WINDOW = (datetime(2017, 1, 1), datetime(2018, 8, 21, 23, 59, 59))
 EXCLUDED_STATUS = ("canceled", "unavailable")
 OTHER_GROUP, NO_CATEGORY = "Outros", "Sem categoria"
+# what one task groups by order; a session's number of shuffle partitions does not grow with the tables
+LINES_PER_TASK = 500_000
 
 # Brazilian states of each macro-region.
 REGION_STATES = {
@@ -206,15 +208,29 @@ def categorized_items(
         F.coalesce(lookup("product_category_name", group_of), F.lit(OTHER_GROUP)).alias("category"),
         F.coalesce(lookup("product_category_name", name_of), F.lit(NO_CATEGORY)).alias("product"),
     )
-    joined = items.join(named, "product_id", "left")
+    # hashed, so that what a task holds follows the products and no lines are sorted
+    joined = items.join(named.hint("shuffle_hash"), "product_id", "left")
     return joined.fillna({"category": OTHER_GROUP, "product": NO_CATEGORY})
 
 
-def order_lines(items: DataFrame) -> DataFrame:
+def tasks_by_order(items: DataFrame) -> int:
+    """Into how many tasks the rows of a table are dealt out by order, for `LINES_PER_TASK` in each on average."""
+    return max(items.sparkSession.sparkContext.defaultParallelism, -(-items.count() // LINES_PER_TASK))
+
+
+def items_of(items: DataFrame, orders: DataFrame, tasks: int) -> DataFrame:
+    """The items of the given orders (order_id); the orders of a task are hashed, its items only pass by."""
+    wanted = orders.select("order_id").repartition(tasks, "order_id").hint("shuffle_hash")
+    return items.repartition(tasks, "order_id").join(wanted, "order_id", "left_semi")
+
+
+def order_lines(items: DataFrame, tasks: int) -> DataFrame:
     """One row per order and group: units, revenue, and the product with most revenue (last name on ties).
 
-    Items are first summed per product, so the second grouping sees few rows per order.
+    Items are first summed per product, so the second grouping sees few rows per order. They are dealt out by order
+    once for both groupings, to so many tasks (`tasks_by_order`) that what each holds does not grow with the table.
     """
+    items = items.select("order_id", "category", "product", "order_item_id", "price").repartition(tasks, "order_id")
     by_product = items.groupBy("order_id", "category", "product").agg(
         F.count("order_item_id").alias("n"), exact_sum("price").alias("price")
     )
@@ -240,8 +256,9 @@ def prepare_sales(
     `orders` is read three times, so pass the written table (`save_prepared`, or `session.stage`).
     """
     info = orders.select("order_id", "purchased_at", "region", "customer")
-    kept = raw["order_items"].join(info.select("order_id"), "order_id", "left_semi")
-    lines = order_lines(categorized_items(kept, raw["products"], groups)).join(info, "order_id", "left")
+    tasks = tasks_by_order(raw["order_items"])
+    kept = items_of(raw["order_items"], info, tasks)
+    lines = order_lines(categorized_items(kept, raw["products"], groups), tasks).join(info, "order_id", "left")
     codes = surrogate_codes(orders, "order_id", "P", 6, "order_code")
     return lines.join(codes, "order_id").select(
         F.col("order_code").alias("order_id"),

@@ -79,7 +79,7 @@ def surrogate_codes(spark, sf):
 @query(RAW_CTE + "SELECT category, product, count(*) AS items, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS price FROM kept GROUP BY ALL")
 def kept_items_by_group(spark, sf):
     raw, orders = _orders(spark, sf)
-    kept = raw["order_items"].join(orders.select("order_id"), "order_id", "left_semi")
+    kept = preparation.items_of(raw["order_items"], orders, preparation.tasks_by_order(raw["order_items"]))
     named = preparation.categorized_items(kept, raw["products"], GROUPS)
     return named.groupBy("category", "product").agg(
         F.count(F.lit(1)).alias("items"), F.round(preparation.exact_sum("price"), 2).alias("price")
@@ -89,9 +89,9 @@ def kept_items_by_group(spark, sf):
 @query(RAW_CTE + "SELECT order_id, category, product, units, round(revenue, 2) AS revenue FROM lines")
 def order_group_lines(spark, sf):
     raw = raw_tables(spark, sf)
-    valid = preparation.valid_orders(raw["orders"], WINDOW, EXCLUDED).select("order_id")
-    kept = raw["order_items"].join(valid, "order_id", "left_semi")
-    return rounded(preparation.order_lines(preparation.categorized_items(kept, raw["products"], GROUPS)), 2)
+    tasks = preparation.tasks_by_order(raw["order_items"])
+    kept = preparation.items_of(raw["order_items"], preparation.valid_orders(raw["orders"], WINDOW, EXCLUDED), tasks)
+    return rounded(preparation.order_lines(preparation.categorized_items(kept, raw["products"], GROUPS), tasks), 2)
 
 
 @query(RAW_CTE + "SELECT *, CAST(NULL AS DOUBLE) AS cost, CAST(NULL AS DOUBLE) AS profit FROM sales")
