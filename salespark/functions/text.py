@@ -31,8 +31,9 @@ def strip(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents (composed letters and stray combining marks)."""
-    return F.regexp_replace(F.lower(F.translate(text, _MARKED, _PLAIN)), r"\p{M}", "")
+    """Lower case without accents (composed letters and stray combining marks); ASCII holds none."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.regexp_replace(F.lower(F.translate(text, _MARKED, _PLAIN)), r"\p{M}", ""))
 
 
 def normalize_name(text: Column) -> Column:

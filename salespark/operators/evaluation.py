@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from salespark.functions.formatting import format_number
+from salespark.functions.parsing import once
 from salespark.functions.text import fold
 from salespark.operators.textnum import extract_numbers, matches
 
@@ -19,9 +20,13 @@ PASSAGE_END = r"\n|;|\.\s"
 
 def numbered_passages(answer: Column, nears: Column) -> Column:
     """array<struct<folded, numbers>> of the passages that contain one of the folded words `nears`."""
-    folded = F.transform(F.split(answer, PASSAGE_END), lambda p: F.struct(fold(p).alias("folded"), p.alias("passage")))
-    wanted = F.filter(folded, lambda p: F.exists(nears, lambda near: F.contains(p["folded"], near)))
-    return F.transform(wanted, lambda p: F.struct(p["folded"].alias("folded"), extract_numbers(p["passage"]).alias("numbers")))
+
+    def wanted(nears: Column) -> Column:
+        passages = F.when(F.size(nears) > 0, F.split(answer, PASSAGE_END)).otherwise(F.array().cast("array<string>"))
+        folded = F.transform(passages, lambda p: F.struct(fold(p).alias("folded"), p.alias("passage")))
+        return F.filter(folded, lambda p: F.exists(nears, lambda near: F.contains(p["folded"], near)))
+
+    return F.transform(once(nears, wanted), lambda p: F.struct(p["folded"].alias("folded"), extract_numbers(p["passage"]).alias("numbers")))
 
 
 def _number_label(n: Column) -> Column:
@@ -42,23 +47,27 @@ def rescore(df: DataFrame, extracted: str | None = None) -> DataFrame:
     def among(numbers: Column, n: Column) -> Column:
         return F.exists(numbers, lambda c: (c["is_percent"] == n["percent"]) & matches(c, n["value"]))
 
-    def found(n: Column) -> Column:
-        near = fold(n["near"])
-        nearby = F.exists("_passages", lambda part: F.contains(part["folded"], near) & among(part["numbers"], n))
-        return F.when(n["near"].isNull(), among(cited, n)).otherwise(nearby)
+    def found(s: Column, passages: Column) -> Column:
+        nearby = F.exists(passages, lambda part: F.contains(part["folded"], s["near"]) & among(part["numbers"], s["n"]))
+        return F.when(s["near"].isNull(), among(cited, s["n"])).otherwise(nearby)
 
-    missing_numbers = F.transform(F.filter("numbers", lambda n: ~found(n)), _number_label)
-    missing_texts = F.transform(
-        F.filter("texts", lambda group: ~F.exists(group, lambda t: F.contains(F.col("_folded"), fold(t)))),
-        lambda group: F.array_join(group, " ou "),
-    )
-    forbidden = F.filter("forbidden", lambda t: F.contains(F.lower(answer), F.lower(t)))
+    def not_found(sought: Column) -> Column:
+        nears = F.transform(F.filter(sought, lambda s: s["near"].isNotNull()), lambda s: s["near"])
+        return once(numbered_passages(answer, nears), lambda passages: F.filter(sought, lambda s: ~found(s, passages)))
+
+    def not_said(folded: Column) -> Column:
+        return F.filter("texts", lambda group: ~F.exists(group, lambda t: F.contains(folded, fold(t))))
+
+    # what is looked up in the elements of an array is told once per answer: as a column of its own the optimizer would
+    # write it into the look-up, and so tell it anew for every element
+    sought = F.transform("numbers", lambda n: F.struct(n.alias("n"), fold(n["near"]).alias("near")))
+    missing_numbers = F.transform(once(sought, not_found), lambda s: _number_label(s["n"]))
+    missing_texts = F.transform(once(fold(answer), not_said), lambda group: F.array_join(group, " ou "))
+    forbidden = once(F.lower(answer), lambda said: F.filter("forbidden", lambda t: F.contains(said, F.lower(t))))
     nothing = F.array().cast("array<string>")
-    nears = F.transform(F.filter("numbers", lambda n: n["near"].isNotNull()), lambda n: fold(n["near"]))
     return (
         # numbers are extracted once per answer, and per passage that some expected value is sought in; these only look them up
-        df.withColumns({"_folded": fold(answer), "_cited": F.col(extracted) if extracted else extract_numbers(answer), "_nears": nears})
-        .withColumn("_passages", numbered_passages(answer, F.col("_nears")))
+        df.withColumn("_cited", F.col(extracted) if extracted else extract_numbers(answer))
         .withColumns(
             {
                 "missing_numbers": missing_numbers,
@@ -70,7 +79,7 @@ def rescore(df: DataFrame, extracted: str | None = None) -> DataFrame:
                 "expects_numbers": F.size("numbers") > 0,
             }
         )
-        .drop("_folded", "_cited", "_nears", "_passages")
+        .drop("_cited")
     )
 
 

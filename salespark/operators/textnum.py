@@ -29,11 +29,15 @@ BAND_BUCKETS = 3
 _GROUP, _PIECE = "\u0001", "\u0002"  # where a text holds them itself, another control character stands in
 
 
+def _unmarked(text: Column) -> Column:
+    """Without the control characters that mark matches."""
+    held = F.contains(text, F.lit(_GROUP)) | F.contains(text, F.lit(_PIECE))
+    return F.when(held, F.translate(text, _GROUP + _PIECE, "\u0003\u0003")).otherwise(text)
+
+
 def _pieces(text: Column) -> Column:
     """The matches in a text, each with its currency, number, scale and % (the pattern's four adjoining groups)."""
-    marked = F.regexp_replace(
-        F.translate(text, _GROUP + _PIECE, "\u0003\u0003"), NUMBER_PATTERN, f"{_PIECE}$1{_GROUP}$2{_GROUP}$3{_GROUP}$4{_PIECE}"
-    )
+    marked = F.regexp_replace(text, NUMBER_PATTERN, f"{_PIECE}$1{_GROUP}$2{_GROUP}$3{_GROUP}$4{_PIECE}")
     between = F.split(marked, _PIECE)  # every second part is a match
     return F.transform(F.filter(between, lambda _, i: i % 2 == 1), lambda part: F.split(part, _GROUP))
 
@@ -102,7 +106,8 @@ def extract_numbers(text: Column) -> Column:
     Dates, years and small counts are vocabulary. The text is searched once; only the matched
     pieces are taken apart.
     """
-    without_dates = F.regexp_replace(text, DATE_PATTERN, " ")
+    text = _unmarked(text)
+    without_dates = F.when(F.contains(text, F.lit("/")), F.regexp_replace(text, DATE_PATTERN, " ")).otherwise(text)
     parsed = F.transform(_pieces(without_dates), _parsed)
     return F.transform(F.transform(F.filter(parsed, _is_metric), _scaled), _cited)
 
