@@ -35,40 +35,76 @@ def _spread_out(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(centres)
 
 
-def _sums(points: DataFrame, columns: list[str], models: dict[int, Model]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Per model: points and coordinate sums of each group, and the cost. One job; one small row per task, model and group.
+def _add_up(x: np.ndarray, weight: np.ndarray, models: list[Model], piece: int = 1024) -> np.ndarray:
+    """Per centre of the models: the weight and the weighted sums of the points nearest to it, and its share of the cost.
 
-    Points have a weight. Squared distances to all centres come from one product of matrices per batch; what all centres
-    share of them, the point's own square, is only added to the cost.
+    Squared distances to all centres come from one product of matrices per piece, models with the same number of groups
+    are compared at once, and sums are a product with the marks of who belongs where. What all centres share of the
+    distances, the point's own square, is only added to the cost.
     """
-    all_centres = np.concatenate([m.centres for m in models.values()])
-    starts = np.cumsum([0, *[m.k for m in models.values()]])
-    of_centre = np.array([[number, group] for number, m in models.items() for group in range(m.k)])
+    centres = np.concatenate([m.centres for m in models])
+    starts = np.cumsum([0, *[m.k for m in models]])[:-1]
+    of_k = {k: np.array([start for start, m in zip(starts, models, strict=True) if m.k == k]) for k in sorted({m.k for m in models})}
+    order = np.concatenate([firsts + group for k, firsts in of_k.items() for group in range(k)])
+    factors = np.column_stack([-2 * centres, (centres**2).sum(axis=1)])[order]
+    valued = np.column_stack([x, np.ones(len(x))])
+    weighted, own_square = valued * weight[:, None], weight @ (x**2).sum(axis=1)
+    missing = ~np.isfinite(x).all(axis=1)
+    weighted[missing, :-1] = 0
+    sums, costs = np.zeros((len(centres), x.shape[1] + 1)), np.zeros(len(centres))
+    for start in range(0, len(x), piece):
+        these = slice(start, start + piece)
+        squared = factors @ valued[these].T
+        marks, at = np.empty(squared.shape), 0
+        for k, firsts in of_k.items():
+            own = squared[at : at + k * len(firsts)].reshape(k, len(firsts), -1)
+            least = own[0]
+            for group in range(1, k):
+                least = np.minimum(least, own[group])
+            hit = own == least
+            if np.count_nonzero(hit) != least.size:  # ties, or no number
+                hit = own.argmin(axis=0) == np.arange(k)[:, None, None]
+            marks[at : at + k * len(firsts)] = hit.reshape(-1, own.shape[2])
+            costs[firsts] += least @ weight[these]
+            at += k * len(firsts)
+        sums[order] += marks @ weighted[these]
+        if missing[these].any():  # such a point spoils the group it is put in, and no other
+            sums[order[marks[:, missing[these]].any(axis=1)], :-1] = np.nan
+    costs[starts] += own_square
+    return np.column_stack([sums[:, -1], costs, sums[:, :-1]])
+
+
+def _packed(points: DataFrame, columns: list[str]) -> DataFrame:
+    """The points as one row of plain numbers per batch, which costs less to hand to Python again and again than rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in [*columns, "weight"]])
+            yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], names=["numbers"])
+
+    return points.select(*columns, "weight").mapInArrow(pack, "numbers binary")
+
+
+def _sums(points: DataFrame, columns: list[str], models: dict[int, Model], packed: DataFrame | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per model: points and coordinate sums of each group, and the cost. One job of one stage; one small row per task.
+
+    Points have a weight; they are read from `packed` where the caller keeps them.
+    """
+    listed = list(models.values())
+    shape = (sum(m.k for m in listed), len(columns) + 2)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sums, costs = np.zeros(len(all_centres)), np.zeros_like(all_centres), np.zeros(len(all_centres))
+        total = np.zeros(shape)
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
-            weight = batch.column("weight").to_numpy().astype(float)
-            weighted, own_square = x * weight[:, None], weight @ (x**2).sum(axis=1)
-            squared = (all_centres**2).sum(axis=1)[:, None] - 2 * (all_centres @ x.T)
-            for start, stop in zip(starts[:-1], starts[1:], strict=True):
-                own = squared[start:stop]
-                group = own.argmin(axis=0)
-                counts[start:stop] += np.bincount(group, weight, stop - start)
-                costs[start] += own.min(axis=0) @ weight + own_square
-                for d in range(x.shape[1]):
-                    sums[start:stop, d] += np.bincount(group, weighted[:, d], stop - start)
-        made = [pa.array(of_centre[:, 0]), pa.array(of_centre[:, 1]), pa.array(counts), pa.array(costs), *[pa.array(sums[:, d]) for d in range(sums.shape[1])]]
-        yield pa.RecordBatch.from_arrays(made, names=["model", "group", "n", "cost", *columns])
-
-    schema = "model long, group long, n double, cost double, " + ", ".join(f"{c} double" for c in columns)
-    parts = points.select(*columns, "weight").mapInArrow(answer, schema).groupBy("model", "group").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *columns)])
-    out = {number: (np.zeros(m.k), np.zeros_like(m.centres), np.zeros(m.k)) for number, m in models.items()}
-    for row in parts.collect():  # as many rows as there are centres
-        counts, sums, costs = out[row["model"]]
-        counts[row["group"]], costs[row["group"]], sums[row["group"]] = row["n"], row["cost"], [row[c] for c in columns]
-    return {number: (counts, sums, float(costs.sum())) for number, (counts, sums, costs) in out.items()}
+            for numbers in batch.column("numbers"):
+                held = np.frombuffer(numbers.as_buffer()).reshape(len(columns) + 1, -1)
+                total += _add_up(held[:-1].T, held[-1], listed)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = (packed or _packed(points, columns)).mapInArrow(answer, "sums binary").collect()  # as many rows as tasks
+    total = sum((np.frombuffer(part["sums"]).reshape(shape) for part in parts), np.zeros(shape))
+    split = np.split(total, np.cumsum([m.k for m in listed])[:-1])
+    return {number: (part[:, 0], part[:, 2:], float(part[:, 1].sum())) for number, part in zip(models, split, strict=True)}
 
 
 def equal_as_one(points: DataFrame, columns: list[str]) -> DataFrame:
@@ -90,17 +126,21 @@ def fit_all(points: DataFrame, columns: list[str], k_values, restarts: int = 10,
     first = weighted.select(*columns, "weight").orderBy(hashed, *columns).limit(start_points).collect()
     sample = np.repeat([[r[c] for c in columns] for r in first], [r["weight"] for r in first], axis=0)[:start_points]
     models = dict(enumerate(Model(k, _spread_out(sample, k, seed + i)) for k in k_values for i in range(restarts)))
-    for _ in range(max_iter):
-        moving = {number: m for number, m in models.items() if not m.settled}
-        if not moving:
-            break
-        for number, (counts, sums, _) in _sums(weighted, columns, moving).items():
-            m = models[number]
-            moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], m.centres)
-            m.settled = bool((np.sqrt(((moved - m.centres) ** 2).sum(axis=1)) <= tol).all())
-            m.centres = moved
-    for number, (_, _, cost) in _sums(weighted, columns, models).items():
-        models[number].cost = cost
+    packed = _packed(weighted, columns).persist()
+    try:
+        for _ in range(max_iter):
+            moving = {number: m for number, m in models.items() if not m.settled}
+            if not moving:
+                break
+            for number, (counts, sums, _) in _sums(weighted, columns, moving, packed).items():
+                m = models[number]
+                moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], m.centres)
+                m.settled = bool((np.sqrt(((moved - m.centres) ** 2).sum(axis=1)) <= tol).all())
+                m.centres = moved
+        for number, (_, _, cost) in _sums(weighted, columns, models, packed).items():
+            models[number].cost = cost
+    finally:
+        packed.unpersist()
     return {k: min((m for m in models.values() if m.k == k), key=lambda m: m.cost) for k in k_values}
 
 
