@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salespark.operators.distances import basis, far_sums, near_sums
 from salespark.session import ship_package, stage
 
 
@@ -150,58 +152,161 @@ def nearest(model: Model, columns: list[str]) -> Column:
     return F.array_min(F.array(*[F.struct(d.alias("far"), F.lit(i).alias("group")) for i, d in enumerate(far)]))["group"]
 
 
-def euclidean_silhouettes(points: DataFrame, columns: list[str], models: dict[int, Model], grain: float | None = None, block: int = 16384) -> dict[int, float]:
+def euclidean_silhouettes(points: DataFrame, columns: list[str], models: dict[int, Model], grain: float | None = None, block: int = 16384, all_pairs: int = 65536, crowd: int = 1024) -> dict[int, float]:
     """Per k: the mean of (b - a) / max(a, b) over all points; 0 where all points are in one group.
 
     a is a point's mean distance to the others of its group, b the smallest mean distance to another group; a point
-    alone in its group counts 0. Points at the same place are one place with a weight. Places are dealt into blocks of
-    about `block`; a task gets two blocks and adds up the distances of each place of the first to the groups of the
-    second, so neither pairs of points nor a whole table ever meet in one task. The work grows with the square of the
-    number of places; `grain` rounds coordinates to its multiples, which bounds that number by the extent of the data,
-    whatever the number of points, and moves no distance by more than grain * sqrt(dimensions).
+    alone in its group counts 0. Points at the same place are one place with a weight; `grain` rounds coordinates to its
+    multiples, which bounds the number of places by the extent of the data, whatever the number of points, and moves no
+    distance by more than grain * sqrt(dimensions).
+
+    Up to `all_pairs` places every distance is computed: places are dealt into blocks of about `block`, and a task adds up
+    the distances of each place of one block to the groups of another. Beyond, the same sums are taken cell by cell
+    (`_scores_by_cell`, to about ten digits of the mean), so that the work does not grow with the square of the places.
     """
     ship_package(points.sparkSession)
     rounded = [F.col(c) if grain is None else (F.round(F.col(c) / grain) * grain).alias(c) for c in columns]
     places = points.select(*rounded).groupBy(*columns).agg(F.count(F.lit(1)).alias("weight"))
     labels = {f"group_{k}": nearest(m, columns) for k, m in models.items()}
     places = stage(places.select("*", *[label.alias(name) for name, label in labels.items()], F.xxhash64(*columns).alias("place")), "silhouette-places")
-    blocks = max(1, math.ceil(places.count() / block))
+    offsets = dict(zip(models, np.cumsum([0, *models]).tolist(), strict=False))
+    sizes = {k: {} for k in models}
+    for row in places.groupBy(*labels).agg(F.sum("weight").alias("n")).collect():  # as many rows as groups that meet
+        for k in models:
+            sizes[k][row[f"group_{k}"]] = sizes[k].get(row[f"group_{k}"], 0) + row["n"]
+    numbers = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf) for c in columns]
+    extent = [f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in columns]
+    told = places.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~ok).alias(f"not_{c}") for ok, c in zip(numbers, columns, strict=True)], *extent).first()
+    by_cell = told["n"] > all_pairs and not any(told[f"not_{c}"] for c in columns)
+    if by_cell:
+        scored = _scores_by_cell(places, columns, offsets, sizes, told["n"], max(told[f"max_{c}"] - told[f"min_{c}"] for c in columns), crowd)
+    else:
+        scored = _scores_of_pairs(places, columns, offsets, sizes, max(1, math.ceil(told["n"] / block)))
+    means = scored.agg(*[(F.sum(f"score_{k}") / F.sum("weight")).alias(f"score_{k}") for k in models]).first()
+    return {k: means[f"score_{k}"] if len(sizes[k]) > 1 else 0.0 for k in models}
+
+
+def _shares(table: pa.Table, offsets: dict[int, int]) -> np.ndarray:
+    """The weight of each place, in the column of its group for each k."""
+    share = np.zeros((len(table), sum(offsets)))
+    for k, offset in offsets.items():
+        share[np.arange(len(table)), offset + table.column(f"group_{k}").to_numpy()] = table.column("weight").to_numpy()
+    return share
+
+
+def _scores_of_pairs(places: DataFrame, columns: list[str], offsets: dict[int, int], sizes: dict[int, dict[int, int]], blocks: int) -> DataFrame:
+    """Per place: its weight and weighted score for each k, from the distances to all places."""
+    width = sum(offsets)
     placed = places.withColumn("own", F.pmod("place", F.lit(blocks)))
     ids = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = placed.withColumn("other", ids).withColumn("row", F.lit(True))
     against = placed.withColumnRenamed("own", "mine").withColumn("own", ids).withColumnRenamed("mine", "other").withColumn("row", F.lit(False))
-    offsets, width = {}, 0
-    for k in models:
-        offsets[k], width = width, width + k
 
     def add_up(table: pa.Table) -> pa.Table:
         is_row = table.column("row").to_numpy()
         x = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
-        y, weight = x[~is_row], table.column("weight").to_numpy()[~is_row].astype(float)
-        share = np.zeros((len(y), width))
-        for k, offset in offsets.items():
-            share[np.arange(len(y)), offset + table.column(f"group_{k}").to_numpy()[~is_row]] = weight
-        x, sums = x[is_row], []
-        for start in range(0, len(x), 256):
-            part = x[start : start + 256]
-            squared = sum((part[:, d, None] - y[None, :, d]) ** 2 for d in range(x.shape[1]))
-            sums.append(np.sqrt(squared) @ share)
-        listed = np.concatenate(sums) if sums else np.empty((0, width))
-        return pa.table({"place": table.filter(table.column("row")).column("place"), **{f"s{i}": pa.array(listed[:, i]) for i in range(width)}})
+        sums = near_sums(x[is_row], x[~is_row], _shares(table.filter(pa.array(~is_row)), offsets))
+        return pa.table({"place": table.filter(table.column("row")).column("place"), **{f"s{i}": pa.array(sums[:, i]) for i in range(width)}})
 
     met = rows.unionByName(against).groupBy("own", "other").applyInArrow(add_up, "place long, " + ", ".join(f"s{i} double" for i in range(width)))
     totals = met.groupBy("place").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
-    told = stage(totals.join(places, "place"), "silhouette-sums")
-    out = {}
+    scores = {}
     for k, offset in offsets.items():
-        sizes = {r[0]: r[1] for r in places.groupBy(f"group_{k}").agg(F.sum("weight")).collect()}
-        if len(sizes) < 2:
-            out[k] = 0.0
+        if len(sizes[k]) < 2:
+            scores[k] = F.lit(0.0)
             continue
         own = F.col(f"group_{k}")
-        inside = F.coalesce(*[F.when(own == g, F.col(f"s{offset + g}") / (n - 1) if n > 1 else F.lit(None)) for g, n in sizes.items()])
-        outside = F.least(*[F.when(own != g, F.col(f"s{offset + g}") / n) for g, n in sizes.items()], F.lit(None).cast("double"))
+        inside = F.coalesce(*[F.when(own == g, F.col(f"s{offset + g}") / (n - 1) if n > 1 else F.lit(None)) for g, n in sizes[k].items()])
+        outside = F.least(*[F.when(own != g, F.col(f"s{offset + g}") / n) for g, n in sizes[k].items()], F.lit(None).cast("double"))
         larger = F.greatest(inside, outside)
-        score = F.when(larger > 0, (outside - inside) / larger).otherwise(0.0)
-        out[k] = told.agg(F.sum(F.coalesce(score, F.lit(0.0)) * F.col("weight")) / F.sum("weight")).first()[0]
-    return out
+        scores[k] = F.coalesce(F.when(larger > 0, (outside - inside) / larger).otherwise(0.0), F.lit(0.0))
+    return totals.join(places, "place").select("weight", *[(score * F.col("weight")).alias(f"score_{k}") for k, score in scores.items()])
+
+
+def _scores_by_cell(places: DataFrame, columns: list[str], offsets: dict[int, int], sizes: dict[int, dict[int, int]], n: int, extent: float, crowd: int, most_cells: int = 16384) -> DataFrame:
+    """Per cube of cells: the weight of its places and their weighted scores for each k.
+
+    Cells are halved until a place shares its cell with `crowd` others or there are about `most_cells`. Places share their
+    weight out to the nodes of their cell; a task per group takes these to the nodes of all cells that do not touch
+    (`far_sums`); a task per cube of cells has its places and those of the cells around, whose distances it computes.
+    If the places crowd so closely that cells cannot be made small enough, only the time grows.
+    """
+    width, side = sum(offsets), 2
+    cell, cube = [f"cell_{c}" for c in columns], [f"cube_{c}" for c in columns]
+    level = max(0, math.ceil(math.log(n / crowd, 2 ** len(columns))))
+    edge = 2.0 ** (math.ceil(math.log2(extent)) - level)
+    while True:
+        placed = places.withColumns({name: F.floor(F.col(c) / edge) for name, c in zip(cell, columns, strict=True)})
+        counted = placed.groupBy(*cell).count()
+        found = counted.agg(F.count(F.lit(1)).alias("cells"), (F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("crowd")).first()
+        if found["crowd"] <= crowd or 4 * found["cells"] > most_cells or extent / edge > 2 ** (60 // len(columns) - 1):  # keys of 63 bits
+            break
+        edge /= 2
+    occupied = np.array([tuple(row) for row in counted.select(*cell).collect()])  # as many rows as cells
+    numbers = lambda table, names: np.stack([table.column(c).to_numpy() for c in names], axis=1)
+    within = lambda x, cells: basis((x / edge - cells - 0.5) * 2)
+
+    def apart(cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each cell with the rows that lie there."""
+        names, place = np.unique(cells, axis=0, return_inverse=True)
+        order, counts = np.argsort(place.reshape(-1), kind="stable"), np.bincount(place.reshape(-1))
+        yield from zip(names, np.split(order, np.cumsum(counts)[:-1]), strict=True)
+
+    def share_out(table: pa.Table) -> pa.Table:
+        x, share, made = numbers(table, columns), _shares(table, offsets), []
+        for name, rows in apart(numbers(table, cell)):
+            moments = sum(within(x[part], name).T @ share[part] for part in np.array_split(rows, math.ceil(len(rows) / 2048)))
+            made += [(i, *name.tolist(), moments[:, i].tobytes()) for i in np.flatnonzero(share[rows].any(axis=0)).tolist()]
+        return pa.table(dict(zip(["sums", *cell, "moments"], map(list, zip(*made, strict=True)), strict=True)))
+
+    def carry(table: pa.Table) -> pa.Table:
+        moments = np.frombuffer(b"".join(table.column("moments").to_pylist())).reshape(len(table), -1)
+        sums = far_sums(occupied, numbers(table, cell), moments, edge)
+        names = {name: occupied[:, d] for d, name in enumerate(cell)}
+        return pa.table({**names, "sums": np.full(len(sums), table.column("sums")[0].as_py()), "far": [row.tobytes() for row in sums]})
+
+    def score(key: tuple, table: pa.Table, carried: pa.Table) -> pa.Table:
+        cells, x, share = numbers(table, cell), numbers(table, columns), _shares(table, offsets)
+        rows_of = {tuple(name): rows for name, rows in apart(cells)}
+        far = {}
+        for name, i, sums in zip(numbers(carried, cell), carried.column("sums").to_pylist(), carried.column("far").to_pylist(), strict=True):
+            far.setdefault(tuple(name), {})[i] = np.frombuffer(sums)
+        total = np.zeros(1 + len(offsets))
+        for name, rows in rows_of.items():
+            if any(at // side != own.as_py() for at, own in zip(name, key, strict=True)):
+                continue
+            around = np.concatenate([rows_of[other] for step in product((-1, 0, 1), repeat=len(name)) if (other := tuple(np.add(name, step))) in rows_of])
+            used = np.flatnonzero(share[around].any(axis=0))
+            for part in np.array_split(rows, math.ceil(len(rows) / 2048)):
+                sums = np.zeros((len(part), width))
+                sums[:, used] = near_sums(x[part], x[around], share[around][:, used])
+                carried_here = far.get(name, {})
+                sums[:, list(carried_here)] += within(x[part], np.array(name)) @ np.array([*carried_here.values()]).T.reshape(-1, len(carried_here))
+                weight = table.column("weight").to_numpy()[part]
+                total[0] += weight.sum()
+                for i, (k, offset) in enumerate(offsets.items(), start=1):
+                    total[i] += weight @ _scores(sums[:, offset : offset + k], table.column(f"group_{k}").to_numpy()[part], sizes[k])
+        return pa.table({name: [value] for name, value in zip(["weight", *[f"score_{k}" for k in offsets]], total.tolist(), strict=True)})
+
+    long = ", ".join(f"{c} long" for c in cell)
+    in_cube = {own: F.floor(F.col(c) / side) for own, c in zip(cube, cell, strict=True)}
+    shared = stage(placed.withColumns(in_cube).groupBy(*cube).applyInArrow(share_out, f"sums long, {long}, moments binary"), "silhouette-moments")
+    carried = shared.repartitionByRange(2 * width, "sums").groupBy("sums").applyInArrow(carry, f"{long}, sums long, far binary").withColumns(in_cube)
+    around = placed
+    for own, c in zip(cube, cell, strict=True):
+        around = around.withColumn(own, F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / side), F.floor((F.col(c) + 1) / side)))))
+    parts = 16 * places.sparkSession.sparkContext.defaultParallelism
+    pairs = around.repartition(parts, *cube).groupBy(*cube).cogroup(carried.repartition(parts, *cube).groupBy(*cube))
+    return pairs.applyInArrow(score, "weight double, " + ", ".join(f"score_{k} double" for k in offsets))
+
+
+def _scores(sums: np.ndarray, label: np.ndarray, sizes: dict[int, int]) -> np.ndarray:
+    """Per place: (b - a) / max(a, b) from its summed distances to each group."""
+    n, each = np.array([sizes.get(g, 0) for g in range(sums.shape[1])]), np.arange(len(sums))
+    inside = sums[each, label] / np.maximum(n[label] - 1, 1)
+    outside = sums / np.where(n > 0, n, 1)
+    outside[:, n == 0], outside[each, label] = np.inf, np.inf
+    outside = outside.min(axis=1)
+    larger = np.maximum(inside, outside)
+    scored = (n[label] > 1) & np.isfinite(outside) & (larger > 0)
+    return np.where(scored, (outside - inside) / np.where(scored, larger, 1), 0.0)
